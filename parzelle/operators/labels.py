@@ -48,7 +48,7 @@ def screen_labels(labels: DataFrame, fonts: DataFrame, colors: DataFrame, keep:
         "replace(umn, ' ', ',') as tcolor",
         "case when grad_pt < 0 then 0 else 1 end as tshow",
         "case va when 'oben' then 'AL' when 'Basis' then 'BL' else 'OL' end as placement",
-        "-drehwinkel_grad as rotation")
+        "0 - drehwinkel_grad as rotation")
 
 
 def server_labels(labels: DataFrame, fonts: DataFrame, colors: DataFrame, keep: list[str],

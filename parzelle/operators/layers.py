@@ -49,7 +49,7 @@ def layer_extract(themes: list[Theme], models: Iterable[str] = (),
     ``partitionBy("theme", "kind")`` to let a layer be read alone.
     """
     models = list(models)
-    sign = "-" if negate_rotation else ""
+    sign = "0 - " if negate_rotation else ""
     parts = []
 
     def add(table: DataFrame, kind: str, sn: str, rotation: str, geom: str, need: str) -> None:

@@ -246,7 +246,8 @@ def symbol_geometry(used: DataFrame, symbols: DataFrame, extents: DataFrame,
             .select(*used.columns, "cx", "cy", "width", "height",
                     (0.5 + F.try_divide("cx", "width")).alias("anchor_x"),
                     (0.5 + F.try_divide("cy", "height")).alias("anchor_y"),
-                    (-F.col("cx")).alias("offset_x"), (-F.col("cy")).alias("offset_y")))
+                    (F.lit(0.0) - F.col("cx")).alias("offset_x"),
+                    (F.lit(0.0) - F.col("cy")).alias("offset_y")))
 
 
 def point_styles(used: DataFrame, symbols: DataFrame, extents: DataFrame, classes: DataFrame,

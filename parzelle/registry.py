@@ -150,14 +150,14 @@ def label_hits(spark, sf):
 @query
 def parcels_by_parts(spark, sf):
     parcels = V.parcels(spark, sf)
-    return P.parcels_by_parts(parcels, _fs(parcels), district="030007", num="12") \
+    return P.parcels_by_parts(parcels, _fs(parcels), section="004", den="3") \
         .select("gml_id", "flsnr")
 
 
 @query
 def parcels_by_prefix(spark, sf):
     parcels = V.parcels(spark, sf)
-    return P.parcels_by_parts(parcels, _fs(parcels), district="030007", section="004") \
+    return P.parcels_by_parts(parcels, _fs(parcels), district="030007") \
         .select("gml_id", "flsnr")
 
 
