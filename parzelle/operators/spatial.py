@@ -10,20 +10,26 @@ coarser of their two levels. To keep small features of both sides from meeting i
 coarse cell, the join key holds a role: role 0 pairs the left side's own level with
 right features of that level or finer, role 1 pairs finer left features with the
 right side's own level. A finer feature is only filed at the coarser levels that the
-other side really uses (a set of at most sixteen numbers).
+other side really uses.
+
+*Profile.* Which levels a side uses (at most sixteen numbers) and how many features
+it has is found by one aggregation over the box columns before the join is planned.
 
 *Duplicates.* A pair is kept in the one cell that holds the lower left corner of the
 boxes' intersection, so no ``distinct`` is needed.
 
-*Hot cells.* A cell holding more than one part in ``HOT_SHARE`` of a side's features
-is split into slices of that size by a hash of the feature id; the other side is
-copied to each slice. A feature is in at most four cells per level, so there can be
-at most ``4 * (TOP_LEVEL + 1) * HOT_SHARE`` such cells (in practice a few), which
-bounds the broadcast table of slice counts whatever the size of the data.
+*Hot cells.* A cell whose features make more than ``SLICE_WORK`` pairs is cut into
+slices of about that many: a hash of the feature id picks the slice row of a left and
+the slice column of a right feature, and each is copied along the other axis. The
+counts come from a pass over the box columns alone. The ``MAX_HOT`` heaviest cells
+are sliced, which bounds the broadcast table of slice counts; any further cell is
+joined whole, with the same result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +38,10 @@ from parzelle.functions import geometry as G
 BASE_CELL = 16.0
 FACTOR = 4
 TOP_LEVEL = 15
-HOT_SHARE = 2048
-# Cells below this many features are never split, however small the data.
-HOT_FLOOR = 20_000
+SLICE_WORK = 100_000_000
+MAX_HOT = 10_000
+# Below this many features on both sides no cell is worth a counting pass.
+SMALL_SIDE = 100_000
 
 _KEY = ["__role", "__level", "__cx", "__cy"]
 _BOX = ["minx", "miny", "maxx", "maxy"]
@@ -44,14 +51,25 @@ _OWN_LEVEL = (f"least(cast(ceil(log({FACTOR}, greatest("
               f"greatest(maxx - minx, maxy - miny) / {BASE_CELL}D, 1D))) as int), {TOP_LEVEL})")
 
 
-def _profile(df: DataFrame):
-    """Levels in use and number of features, as a scalar subquery over the boxes."""
-    return df.select(*_BOX).agg(F.struct(
-        F.collect_set(F.expr(_OWN_LEVEL)).alias("levels"),
-        F.count(F.lit(1)).alias("n"))).scalar()
+@dataclass(frozen=True)
+class Profile:
+    """Levels a side uses and the number of its features."""
+
+    levels: tuple[int, ...]
+    n: int
 
 
-def _file_in_cells(df: DataFrame, other: DataFrame, left: bool) -> DataFrame:
+def _profiles(left: DataFrame, right: DataFrame) -> tuple[Profile, Profile]:
+    def summary(df: DataFrame, side: int) -> DataFrame:
+        return df.select(*_BOX).agg(F.lit(side).alias("side"),
+                                    F.collect_set(F.expr(_OWN_LEVEL)).alias("levels"),
+                                    F.count(F.lit(1)).alias("n"))
+    rows = summary(left, 0).union(summary(right, 1)).collect()
+    made = {r["side"]: Profile(tuple(sorted(r["levels"])), r["n"]) for r in rows}
+    return made[0], made[1]
+
+
+def _file_in_cells(df: DataFrame, other: Profile, left: bool) -> DataFrame:
     """One row per role, level and cell that the feature has to appear in.
 
     The left side's own level serves role 0, the right side's own level role 1 and,
@@ -59,18 +77,19 @@ def _file_in_cells(df: DataFrame, other: DataFrame, left: bool) -> DataFrame:
     """
     keep = df.columns
     own = "named_struct('role', {}, 'level', own)"
-    fixed = own.format(0) if left else f"{own.format(1)}, {own.format(0)}"
-    up = "named_struct('role', {}, 'level', lv)".format(1 if left else 0)
-    entries = (f"concat(array({fixed}), transform(filter(__p.levels, lv -> lv > own),"
-               f" lv -> {up}))")
+    entries = f"array({own.format(0) if left else own.format(1) + ', ' + own.format(0)})"
+    if other.levels and max(other.levels) > 0:
+        up = "named_struct('role', {}, 'level', lv)".format(1 if left else 0)
+        levels = ", ".join(map(str, other.levels))
+        entries = (f"concat({entries}, transform(filter(array({levels}), lv -> lv > own),"
+                   f" lv -> {up}))")
     side = f"({BASE_CELL}D * power({FACTOR}D, __level))"
 
     def cells(axis: str) -> str:
         return f"sequence(floor(min{axis} / {side}), floor(max{axis} / {side}))"
 
     # generators sit in selects of their own: Spark allows one per select
-    return (df.withColumn("__p", _profile(other))
-            .selectExpr(*keep, "__p", f"{_OWN_LEVEL} as own")
+    return (df.selectExpr(*keep, f"{_OWN_LEVEL} as own")
             .selectExpr(*keep, f"inline({entries}) as (__role, __level)")
             .selectExpr(*keep, "__role", "__level", f"floor(minx / {side}) as __c0x",
                         f"floor(miny / {side}) as __c0y", f"explode({cells('x')}) as __cx")
@@ -78,24 +97,27 @@ def _file_in_cells(df: DataFrame, other: DataFrame, left: bool) -> DataFrame:
                         f"explode({cells('y')}) as __cy"))
 
 
-def _hot_cells(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Cells to split, with the number of slices of each side.
+def _hot_cells(left: DataFrame, right: DataFrame, profiles: tuple[Profile, Profile]) -> DataFrame:
+    """The heaviest cells with the number of slices of each side.
 
     Counted on the box columns alone, so the scan behind it reads neither geometry
-    nor attributes; the counts combine on the map side.
+    nor attributes; the counts combine on the map side. The order is total, so that
+    the same cells are found whenever this is evaluated.
     """
-    slim_left, slim_right = left.select(*_BOX), right.select(*_BOX)
-    counted = (_file_in_cells(slim_left, slim_right, True).selectExpr(*_KEY, "1 as l", "0 as r")
-               .union(_file_in_cells(slim_right, slim_left, False)
+    counted = (_file_in_cells(left.select(*_BOX), profiles[1], True)
+               .selectExpr(*_KEY, "1 as l", "0 as r")
+               .union(_file_in_cells(right.select(*_BOX), profiles[0], False)
                       .selectExpr(*_KEY, "0 as l", "1 as r"))
-               .groupBy(*_KEY).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-               .withColumns({"__pl": _profile(left), "__pr": _profile(right)}))
-
-    def slices(n: str, profile: str) -> str:
-        return f"cast(ceil({n} / greatest({profile}.n / {HOT_SHARE}D, {HOT_FLOOR}D)) as int)"
-    return (counted.selectExpr(*_KEY, f"{slices('l', '__pl')} as __n_a",
-                               f"{slices('r', '__pr')} as __n_b")
-            .filter("__n_a > 1 or __n_b > 1"))
+               .groupBy(*_KEY).agg(F.sum("l").alias("l"), F.sum("r").alias("r")))
+    heavy = (counted.withColumn("work", F.expr("cast(l as double) * r"))
+             .filter(F.col("work") > SLICE_WORK)
+             .orderBy(F.desc("work"), *_KEY).limit(MAX_HOT))
+    # slices in all, then shared out so that both sides' slices have a like size
+    total = f"ceil(work / {SLICE_WORK}D)"
+    return (heavy.selectExpr(*_KEY, "l", "r", f"{total} as slices",
+                             f"least(greatest(ceil(sqrt({total} * l / r)), 1), {total}) as n_a")
+            .selectExpr(*_KEY, "cast(n_a as int) as __n_a",
+                        "cast(ceil(slices / n_a) as int) as __n_b"))
 
 
 def _slice_hot(cells: DataFrame, hot: DataFrame, ident: str, mine: str, other: str) -> DataFrame:
@@ -104,24 +126,24 @@ def _slice_hot(cells: DataFrame, hot: DataFrame, ident: str, mine: str, other: s
     return (cells.join(F.broadcast(hot), _KEY, "left")
             .selectExpr(
                 *keep,
-                f"cast(pmod(xxhash64(cast({ident} as string)), greatest(__n_{mine}, 1)) as int)"
+                f"cast(pmod(xxhash64(cast({ident} as string)), coalesce(__n_{mine}, 1)) as int)"
                 f" as __{mine}",
-                f"explode(sequence(0, greatest(__n_{other}, 1) - 1)) as __{other}"))
+                f"explode(sequence(0, coalesce(__n_{other}, 1) - 1)) as __{other}"))
 
 
-def candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
-               split_hot: bool = True) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
     """Pairs whose boxes meet (borders included), each exactly once.
 
     Both inputs need ``minx, miny, maxx, maxy``. The left columns come out with the
     prefix ``a_``, the right ones with ``b_``. Rows with a null box drop out.
     """
     left, right = left.filter("minx is not null"), right.filter("minx is not null")
-    a = _file_in_cells(left, right, left=True)
-    b = _file_in_cells(right, left, left=False)
+    profiles = _profiles(left, right)
+    a = _file_in_cells(left, profiles[1], left=True)
+    b = _file_in_cells(right, profiles[0], left=False)
     keys = list(_KEY)
-    if split_hot:
-        hot = _hot_cells(left, right)
+    if max(p.n for p in profiles) > SMALL_SIDE:
+        hot = _hot_cells(left, right, profiles)
         a = _slice_hot(a, hot, left_id, "a", "b")
         b = _slice_hot(b, hot, right_id, "b", "a")
         keys += ["__a", "__b"]

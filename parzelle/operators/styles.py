@@ -123,7 +123,7 @@ def style_priority(styles: DataFrame, keys: list[str] | None = None) -> DataFram
 
 def parse_gaps(text: Column) -> Column:
     """``{a,b}`` or a single number to doubles in map units (hundredths); null is none."""
-    bare = F.regexp_replace(text.cast("string"), "[{} ]", "")
+    bare = F.translate(text.cast("string"), "{} ", "")
     return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<double>")).otherwise(
         F.transform(F.split(bare, ","), lambda v: v.cast("double") / 100.0))
 
@@ -173,17 +173,18 @@ def line_style_check(strokes: DataFrame) -> DataFrame:
     tested by minimum and maximum, which combine on the map side whatever the number
     of strokes of a style; a distinct count would not.
     """
-    total = F.round(pattern_length(), 9)
-    indent = F.when(F.col("laenge") > 0, F.col("einzug"))
-    rank = F.struct(F.abs("strichstaerke").alias("a"), F.col("strichstaerke").alias("s"))
-    return (strokes.groupBy("sn")
-            .agg(F.count(F.lit(1)).alias("strokes"), F.min(total).alias("total"),
-                 F.max(total).alias("__max"), F.min(indent).alias("lead"),
-                 F.max(indent).alias("__lead"), F.max(rank).alias("__widest"))
-            .select("sn", "strokes", "total", (F.col("total") == F.col("__max"))
-                    .alias("same_length"),
-                    F.coalesce(F.col("lead") == F.col("__lead"), F.lit(True))
-                    .alias("same_indent"), "lead", F.col("__widest.s").alias("widest")))
+    # projected first: the pattern length is then computed once per stroke
+    rows = strokes.select("sn", "strichstaerke", F.round(pattern_length(), 9).alias("total"),
+                          F.when(F.col("laenge") > 0, F.col("einzug")).alias("indent"))
+    grouped = rows.groupBy("sn").agg(
+        F.count(F.lit(1)).alias("strokes"), F.min("total").alias("total"),
+        F.max("total").alias("__total"), F.min("indent").alias("lead"),
+        F.max("indent").alias("__lead"), F.min("strichstaerke").alias("__thin"),
+        F.max("strichstaerke").alias("__thick"))
+    return grouped.selectExpr(
+        "sn", "strokes", "total", "total = __total as same_length",
+        "coalesce(lead = __lead, true) as same_indent", "lead",
+        "if(__thick >= abs(__thin), __thick, __thin) as widest")
 
 
 def stroke_symbols(strokes: DataFrame, check: DataFrame, outline: bool = False) -> DataFrame:

@@ -22,6 +22,7 @@ from parzelle.operators.grouping import nest
 from parzelle.operators.predicates import current, current_book
 from parzelle.operators.selection import parcel_number_of
 from parzelle.operators.spatial import points_in_parcels
+from parzelle.session import ensure_checkpoint_dir
 from parzelle.sources.audit import release_with_audit
 from parzelle.sources.export import union_all
 from parzelle.sources.tables import data_currency, has_columns, optional
@@ -30,6 +31,7 @@ Tables = Mapping[str, DataFrame]
 
 # Order of lines within the export. Section, then up to five sort values.
 PLACE = ["section", "n1", "n2", "s1", "s2", "s3", "line"]
+SORT_VALUES = {"n1": "bigint", "n2": "bigint", "s1": "string", "s2": "string", "s3": "string"}
 ORDER = ["flsnr", *PLACE]
 SECTIONS = ("head", "master", "streets", "landuse", "valuation", "soil", "yield", "offices",
             "holdings", "foot")
@@ -80,7 +82,9 @@ def report_blocks(tables: Tables, wanted: DataFrame | None = None) -> dict[str,
         blocks["valuation"] = soil.valuation(cut(current(parcels)), rows, codes, "flsnr")
     if found := optional(tables, "parcel", "soil"):
         parcels, surveys = found
-        shared = soil.parcel_soil(cut(current(parcels)), surveys, "flsnr")
+        # both sections need the overlay: it is computed once and kept
+        ensure_checkpoint_dir(surveys.sparkSession)
+        shared = soil.parcel_soil(cut(current(parcels)), surveys, "flsnr").checkpoint()
         lists = {name[len("soil_"):]: df for name, df in tables.items()
                  if name.startswith("soil_")}
         blocks["soil"] = soil.soil_description(shared, surveys, lists)
@@ -134,10 +138,9 @@ NO_OWNER = "Kein Eigentümer gefunden."
 def _place(df: DataFrame, section: str, html: Column, line: int = 1, closing: bool = False,
            **keys: Column) -> DataFrame:
     """A line of the document with its sort values; closing lines follow their section."""
-    columns = {"n1": "bigint", "n2": "bigint", "s1": "string", "s2": "string", "s3": "string"}
     return df.select(
         "flsnr", F.lit(2 * SECTIONS.index(section) + closing).alias("section"),
-        *[keys.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in columns.items()],
+        *[keys.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in SORT_VALUES.items()],
         F.lit(line).alias("line"), html.alias("html"))
 
 
@@ -182,17 +185,11 @@ def report_lines(blocks: Mapping[str, DataFrame], currency: DataFrame | None = N
                              _row(esc(F.col("lagebez")), esc(F.col("anl_verm"))))),
         F.lit("</table>"))
     lines = [_place(dated, "head", head), _place(dated, "master", facts)]
+    tables: list[DataFrame] = []
 
     def section(name: str, html: Column, line: int = 1, **keys: Column) -> None:
-        title, columns = HEADINGS[name]
-        rows = blocks[name]
-        # the heading belongs to parcels that have the section at all
-        having = rows.select("flsnr").distinct()
-        lines.append(_place(having, name, F.lit(f"<h2>{title}</h2><table>{columns}"), line=0))
-        lines.append(_place(having, name, F.lit("</table>"), closing=True))
-        lines.append(_place(rows, name, html, line, **keys))
-
-    # headings sort first in their section: their sort values are null
+        tables.append(_place(blocks[name], name, html, line, **keys))
+
     if "streets" in blocks:
         section("streets", _row(esc(F.col("strname")), esc(F.col("hausnr"))),
                 s1=F.coalesce("strname", F.lit("")), s3=F.col("hausnr"),
@@ -201,9 +198,7 @@ def report_lines(blocks: Mapping[str, DataFrame], currency: DataFrame | None = N
         use = F.concat(esc(F.col("nutzung")), F.lit(" ("), esc(F.col("nutzshl")), F.lit(")"))
         section("landuse", _row(use, _area(F.col("fl"))), s1=F.coalesce("nutzshl", F.lit("")))
         none = master.select("flsnr").join(blocks["landuse"].select("flsnr"), "flsnr", "left_anti")
-        title, columns = HEADINGS["landuse"]
-        lines.append(_place(none, "landuse", F.lit(
-            f"<h2>{title}</h2><table>{columns}<tr><td>{NO_LAND_USE}</td></tr></table>"), line=0))
+        tables.append(_place(none, "landuse", _row(F.lit(NO_LAND_USE))))
     if "valuation" in blocks:
         section("valuation", _row(esc(F.col("klf_text")), _area(F.col("fl"))),
                 s1=F.coalesce("klf_text", F.lit("")))
@@ -235,13 +230,36 @@ def report_lines(blocks: Mapping[str, DataFrame], currency: DataFrame | None = N
                             esc(F.col("name4")))
             html = F.when(F.col("owner_key").isNull(), _row(F.lit(NO_OWNER))).otherwise(
                 _row(esc(F.col("antverh")), esc(F.col("namensnr")), name))
-            lines.append(_place(owner, "holdings", html, line=2, s3=F.coalesce(
+            tables.append(_place(owner, "holdings", html, line=2, s3=F.coalesce(
                 "owner_key", F.lit("")), **folio_keys()))
     foot = _tag("footer", esc(F.lit(footnote))) if footnote else F.lit("")
     lines.append(_place(master, "foot", foot))
+    if tables:
+        rows = union_all(tables)
+        lines += [rows, _frames(rows)]
     return union_all(lines)
 
 
+def _frames(rows: DataFrame) -> DataFrame:
+    """Heading and closing line of every table section that a parcel has.
+
+    The heading sorts first in its section because its sort values are null; the
+    closing line has a section number of its own.
+    """
+    opening = F.create_map(*[F.lit(v) for name, (title, columns) in HEADINGS.items() for v in (
+        2 * SECTIONS.index(name), f"<h2>{title}</h2><table>{columns}")])
+    having = rows.select("flsnr", "section").distinct()
+    frame = F.explode(F.array(
+        F.struct(F.col("section"), F.lit(0).alias("line"),
+                 F.element_at(opening, F.col("section")).alias("html")),
+        F.struct((F.col("section") + 1).alias("section"), F.lit(1).alias("line"),
+                 F.lit("</table>").alias("html"))))
+    framed = having.select("flsnr", frame.alias("f"))
+    return framed.select(
+        "flsnr", "f.section", *[F.lit(None).cast(t).alias(n) for n, t in SORT_VALUES.items()],
+        "f.line", "f.html")
+
+
 def report_documents(lines: DataFrame, max_lines: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """``(flsnr, html)`` with one document per parcel, and the ordered lines of the
     parcels whose document would exceed ``max_lines`` lines."""
