@@ -1,0 +1,147 @@
+import datetime as dt
+import random
+
+import pytest
+from conftest import rows
+from pyspark.sql import functions as F
+
+from parzelle.functions import geometry as G
+from parzelle.operators import soil as O
+from parzelle.operators import spatial as S
+
+
+def boxes(spark, data):
+    df = spark.createDataFrame([(i, float(a), float(b), float(c), float(d))
+                                for i, a, b, c, d in data],
+                               "id int, minx double, miny double, maxx double, maxy double")
+    return df.withColumn("geom", F.expr(G.box_rings("minx", "miny", "maxx", "maxy")))
+
+
+def random_boxes(rng, n, sizes):
+    out = []
+    for i in range(n):
+        x, y = rng.uniform(-500, 500), rng.uniform(-500, 500)
+        w, h = rng.choice(sizes) * rng.uniform(0.2, 1), rng.choice(sizes) * rng.uniform(0.2, 1)
+        out.append((i, x, y, x + w, y + h))
+    return out
+
+
+def brute(a, b, closed=True):
+    def meet(p, q):
+        if closed:
+            return p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]
+        return p[1] < q[3] and q[1] < p[3] and p[2] < q[4] and q[2] < p[4]
+    return sorted((p[0], q[0]) for p in a for q in b if meet(p, q))
+
+
+MIXED = [1, 10, 10, 30, 200, 3000]
+
+
+@pytest.mark.parametrize("left_sizes, right_sizes", [
+    (MIXED, MIXED), ([5], [900]), ([900], [5]), ([10], [10]), ([1, 4000], [20])])
+def test_candidates_are_exactly_the_meeting_boxes(spark, left_sizes, right_sizes):
+    rng = random.Random(7)
+    a, b = random_boxes(rng, 150, left_sizes), random_boxes(rng, 120, right_sizes)
+    got = S.candidates(boxes(spark, a), boxes(spark, b), "id", "id")
+    assert rows(got, "a_id", "b_id") == brute(a, b)
+
+
+def test_sliced_hot_cells_give_the_same_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    # a third of all features share one spot
+    a = random_boxes(rng, 120, MIXED) + [(1000 + i, 5, 5, 6, 6) for i in range(60)]
+    b = random_boxes(rng, 100, MIXED) + [(2000 + i, 5.5, 5.5, 7, 7) for i in range(50)]
+    monkeypatch.setattr(S, "SMALL_SIDE", 0)
+    monkeypatch.setattr(S, "SLICE_WORK", 40)
+    left, right = boxes(spark, a), boxes(spark, b)
+    hot = S._hot_cells(left, right, S._profiles(left, right))
+    assert hot.agg(F.max("__n_a"), F.max("__n_b")).first()[0] > 1
+    assert rows(S.candidates(left, right, "id", "id"), "a_id", "b_id") == brute(a, b)
+    # more hot cells than fit the table: the rest is joined whole
+    monkeypatch.setattr(S, "MAX_HOT", 1)
+    assert rows(S.candidates(left, right, "id", "id"), "a_id", "b_id") == brute(a, b)
+
+
+def test_no_nested_loop_or_cartesian_join(spark):
+    a, b = boxes(spark, random_boxes(random.Random(1), 20, [10])), boxes(
+        spark, random_boxes(random.Random(2), 20, [10]))
+    plan = S.overlay(a.withColumnRenamed("id", "p"), b.withColumnRenamed("id", "s"), "p", "s") \
+        ._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_empty_side(spark):
+    a = boxes(spark, random_boxes(random.Random(1), 5, [10]))
+    assert S.candidates(a, a.filter("false"), "id", "id").count() == 0
+
+
+L = "POLYGON((0 0,8 0,8 3,3 3,3 8,0 8,0 0),(1 1,1 2,2 2,2 1,1 1))"
+
+
+def shapes(spark, *pairs):
+    return spark.createDataFrame(list(pairs), "gml_id string, w string").selectExpr(
+        "gml_id", f"{G.from_wkt('w')} as geom", "cast(null as timestamp) as endet")
+
+
+def test_points_in_concave_parcel(spark):
+    parcels = shapes(spark, ("l", L), ("m", "POLYGON((8 0,20 0,20 3,8 3,8 0))"))
+    points = spark.createDataFrame(
+        [(1, 0.5, 0.5), (2, 1.5, 1.5), (3, 5.0, 5.0), (4, 8.0, 1.0), (5, 10.0, 1.0),
+         (6, 8.0004, 1.0), (7, 8.0006, 1.0)], "point_id int, x double, y double")
+    # 6 rounds onto the common border, which belongs to neither parcel
+    assert rows(S.points_in_parcels(points, parcels)) == [(1, "l"), (5, "m"), (7, "m")]
+
+
+def test_parcels_touching_area(spark):
+    parcels = shapes(spark, ("l", L), ("m", "POLYGON((8 0,20 0,20 3,8 3,8 0))"),
+                     ("far", "POLYGON((90 90,91 90,91 91,90 90))"))
+    areas = shapes(spark, ("corner", "POLYGON((8 3,9 9,7 9,8 3))"),
+                   ("hole", "POLYGON((1.2 1.2,1.8 1.2,1.8 1.8,1.2 1.2))"),
+                   ("line", "POLYGON((0 0,1 1,0 0))")).withColumnRenamed("gml_id", "area_id")
+    assert rows(S.parcels_touching(areas, parcels)) == [("corner", "l"), ("corner", "m")]
+
+
+def test_overlay_yield_and_description(spark):
+    parcels = shapes(spark, ("l", L))
+    surveys = shapes(spark, ("s1", "POLYGON((0 0,8 0,8 1,0 1,0 0))"),
+                     ("s2", "POLYGON((3 3,8 3,8 8,3 8,3 3))"),
+                     ("s3", "POLYGON((0 4,3 4,3 8,0 8,0 4))"),
+                     ("s4", "POLYGON((1 1,2 1,2 2,1 2,1 1))")) \
+        .withColumnRenamed("gml_id", "soil_id") \
+        .withColumn("ackerzahl", F.expr("case soil_id when 's1' then '50' when 's3' then '55x'"
+                                        " else '60' end")) \
+        .withColumn("nutzungsart", F.expr("if(soil_id = 's1', 2999, 3000)")) \
+        .withColumn("bodenzahl", F.lit("40")) \
+        .withColumn("entstehungsart", F.array(F.lit("b"), F.lit("a"), F.lit("b"))) \
+        .withColumn("bodenart", F.lit("T"))
+    shared = O.parcel_soil(parcels, surveys)
+    # s2 only touches the parcel, s4 is its hole
+    assert rows(shared) == [("l", "s1", 8.0), ("l", "s3", 12.0)]
+    assert rows(O.yield_index(shared, surveys)) == [("l", 4)]
+    lists = {"entstehungsart": spark.createDataFrame([("a", "Alluvium"), ("b", "Berg")],
+                                                     "wert string, beschreibung string"),
+             "bodenart": spark.createDataFrame([("T", "Ton")], "wert string, beschreibung string")}
+    texts = dict(rows(O.soil_description(shared, surveys, lists), "soil_id", "klf_text"))
+    assert texts["s1"] == ("Bodenart Ton, Entstehungsart(en) Alluvium, Berg, Bodenzahl 40, "
+                           "Ackerzahl 50, Ertragsmesszahl 4")
+    # a number that is none: no yield part; grassland labels from 3000 on
+    assert texts["s3"] == ("Bodenart Ton, Entstehungsart(en) Alluvium, Berg, Grünlandgrundzahl 40,"
+                           " Grünlandzahl 55x")
+
+
+def test_ended_rows_do_not_overlap(spark):
+    parcels = shapes(spark, ("l", L)).withColumn("endet", F.lit(dt.datetime(2020, 1, 1)))
+    surveys = shapes(spark, ("s1", L)).withColumnRenamed("gml_id", "soil_id")
+    assert O.parcel_soil(parcels, surveys).count() == 0
+
+
+def test_valuation_texts(spark):
+    parcels = shapes(spark, ("l", L))
+    valuations = shapes(spark, ("v1", L), ("v2", "POLYGON((0 0,1 0,1 1,0 1,0 0))"),
+                        ("v3", "POLYGON((0 0,1 0,1 1,0 1,0 0))")) \
+        .withColumnRenamed("gml_id", "valuation_id") \
+        .withColumn("klassifizierung", F.expr(
+            "case valuation_id when 'v1' then 10 when 'v2' then 11 end"))
+    codes = spark.createDataFrame([("10", "Unland")], "wert string, beschreibung string")
+    assert rows(O.valuation(parcels, valuations, codes), "klf_text", "fl") == [
+        ("(11)", 1), ("(Klassifizierung fehlt)", 1), ("Unland", 38)]
