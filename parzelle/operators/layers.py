@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,38 @@ def _routed(objects: DataFrame, themes: list[Theme], models: Iterable[str]) -> D
     return assign_sublayer(in_models(objects, models), themes)
 
 
+def _objects(themes: list[Theme], models: Iterable[str], polygons: DataFrame | None,
+             lines: DataFrame | None, points: DataFrame | None, labels: DataFrame | None,
+             negate_rotation: bool) -> DataFrame:
+    """Objects of every layer with ``shown``: whether they are drawn at all.
+
+    Each table is read once; a polygon serves both its area and its outline layer.
+    """
+    models = list(models)
+    sign = "0 - " if negate_rotation else ""
+    parts = []
+
+    def kind(name: str, sn: str, shown: str) -> str:
+        return f"'{name}', cast({sn} as string), {shown}"
+
+    def add(table: DataFrame | None, kinds: list[str], rotation: str, geom: str) -> None:
+        if table is None:
+            return
+        entries = f"stack({len(kinds)}, {', '.join(kinds)}) as (kind, sn, shown)"
+        parts.append(_routed(table, themes, models).selectExpr(
+            "thema as theme", "sublayer", entries, "ogc_fid", "gml_id", "layer",
+            f"cast({rotation} as double) as rotation", f"{geom} as geom"))
+
+    add(polygons, [kind("area", "sn_flaeche", "sn_flaeche is not null"),
+                   kind("outline", "sn_randlinie", "polygon is not null")], "null", "polygon")
+    add(lines, [kind("line", "signaturnummer", "line is not null")], "null", "line")
+    add(points, [kind("point", "signaturnummer", "point is not null")],
+        f"{sign}drehwinkel_grad", "point")
+    add(labels, [kind("label", "signaturnummer", "point is not null or line is not null")],
+        f"{sign}drehwinkel_grad", "coalesce(point, line)")
+    return reduce(DataFrame.unionByName, parts)
+
+
 def layer_extract(themes: list[Theme], models: Iterable[str] = (),
                   polygons: DataFrame | None = None, lines: DataFrame | None = None,
                   points: DataFrame | None = None, labels: DataFrame | None = None,
@@ -48,46 +81,37 @@ def layer_extract(themes: list[Theme], models: Iterable[str] = (),
     turn the other way round, hence ``negate_rotation``. Write the result with
     ``partitionBy("theme", "kind")`` to let a layer be read alone.
     """
-    models = list(models)
-    sign = "0 - " if negate_rotation else ""
-    parts = []
+    found = _objects(themes, models, polygons, lines, points, labels, negate_rotation)
+    return found.filter("shown").select("theme", "sublayer", "kind", "ogc_fid", "gml_id", "layer",
+                                        "sn", "rotation", "geom")
+
+
+def layer_inventory(themes: list[Theme], models: Iterable[str] = (),
+                    polygons: DataFrame | None = None, lines: DataFrame | None = None,
+                    points: DataFrame | None = None,
+                    labels: DataFrame | None = None) -> DataFrame:
+    """``(theme, sublayer, kind, sn, features)``: every style key in use and how many
+    drawn objects carry it.
+
+    One aggregation over all objects, combined on the map side. Its result is as
+    small as layers times styles, and all style tables start from it.
+    """
+    found = _objects(themes, models, polygons, lines, points, labels, True)
+    return (found.groupBy("theme", "sublayer", "kind", "sn")
+            .agg(F.count_if("shown").alias("features")))
+
 
-    def add(table: DataFrame, kind: str, sn: str, rotation: str, geom: str, need: str) -> None:
-        parts.append(_routed(table.filter(need), themes, models).selectExpr(
-            "thema as theme", "sublayer", f"'{kind}' as kind", "ogc_fid", "gml_id", "layer",
-            f"cast({sn} as string) as sn", f"cast({rotation} as double) as rotation",
-            f"{geom} as geom"))
-
-    if polygons is not None:
-        add(polygons, "area", "sn_flaeche", "null", "polygon", "sn_flaeche is not null")
-        add(polygons, "outline", "sn_randlinie", "null", "polygon", "polygon is not null")
-    if lines is not None:
-        add(lines, "line", "signaturnummer", "null", "line", "line is not null")
-    if points is not None:
-        add(points, "point", "signaturnummer", f"{sign}drehwinkel_grad", "point",
-            "point is not null")
-    if labels is not None:
-        add(labels, "label", "signaturnummer", f"{sign}drehwinkel_grad", "coalesce(point, line)",
-            "point is not null or line is not null")
-    extract = parts[0]
-    for part in parts[1:]:
-        extract = extract.unionByName(part)
-    return extract
-
-
-def layer_manifest(extract: DataFrame, scales: DataFrame, styles: DataFrame) -> DataFrame:
+def layer_manifest(inventory: DataFrame, scales: DataFrame, styles: DataFrame) -> DataFrame:
     """One row per non-empty layer: features, classes, scale range, priority, title.
 
     ``styles`` holds ``(theme, sublayer, kind, sn, priority)`` of all usable styles.
     A layer exists when it has a usable style that one of its objects refers to;
     label layers exist as soon as they have a label.
     """
-    counted = (extract.groupBy("theme", "sublayer", "kind", "sn")
-               .agg(F.count(F.lit(1)).alias("features")))
     keys = ["theme", "sublayer", "kind"]
     styled = styles.select(*keys, "sn", "priority").distinct() \
         .withColumn("usable", F.lit(1))
-    layers = (counted.join(styled, [*keys, "sn"], "left")
+    layers = (inventory.join(styled, [*keys, "sn"], "left")
               .groupBy(*keys)
               .agg(F.sum("features").alias("features"),
                    F.count("usable").alias("classes"),
@@ -95,7 +119,7 @@ def layer_manifest(extract: DataFrame, scales: DataFrame, styles: DataFrame) ->
                    F.min("priority").alias("min_priority"),
                    F.max("priority").alias("max_priority")))
     titles = F.create_map(*[F.lit(v) for pair in TITLES.items() for v in pair])
-    return (layers.filter("classes > 0 or kind = 'label'")
+    return (layers.filter("if(kind = 'label', features > 0, classes > 0)")
             .join(scales, keys, "left")
             .withColumn("zindex", F.when(F.col("kind") == "label", F.lit(LABEL_PRIORITY))
                         .otherwise(F.col("zindex")))

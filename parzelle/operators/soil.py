@@ -16,20 +16,25 @@ ARABLE_BELOW = 3000
 
 def parcel_soil(parcels: DataFrame, soil: DataFrame, parcel_id: str = "gml_id",
                 soil_id: str = "soil_id") -> DataFrame:
-    """``(parcel_id, soil_id, shared)`` of current parcels and current surveys."""
-    return overlay(current(parcels), current(soil), parcel_id, soil_id)
+    """``(parcel_id, soil_id, shared, number)`` of current parcels and current surveys.
 
+    ``number`` is the survey's yield number as int. It travels through the overlay:
+    joined on afterwards, a survey under very many parcels would be a skewed key.
+    """
+    found = text.to_int(F.col("ackerzahl")) if "ackerzahl" in soil.columns \
+        else F.lit(None).cast("int")
+    surveys = current(soil).withColumn("number", found)
+    return overlay(current(parcels), surveys, parcel_id, soil_id, keep_right=["number"])
 
-def yield_index(shared: DataFrame, soil: DataFrame, parcel_id: str = "gml_id",
-                soil_id: str = "soil_id") -> DataFrame:
+
+def yield_index(shared: DataFrame, parcel_id: str = "gml_id") -> DataFrame:
     """``(parcel_id, emz)``: sum over surveys of number times area over 100.
 
     Each survey's contribution is rounded half to even. Parcels whose surveys carry
     no number drop out. The sum combines on the map side.
     """
-    numbers = soil.select(soil_id, text.to_int(F.col("ackerzahl")).alias("number"))
     part = F.bround(F.col("number") * F.col("shared") / 100.0, 0).cast("bigint")
-    return (shared.join(numbers.filter("number is not null"), soil_id, "inner")
+    return (shared.filter("number is not null")
             .groupBy(parcel_id).agg(F.sum(part).alias("emz")))
 
 
@@ -94,8 +99,9 @@ def soil_description(rows: DataFrame, soil: DataFrame, catalogs: dict[str, DataF
              "'Zustandsstufe ' || t_zustandsstufe", "'Entstehungsart(en) ' || t_entstehungsart",
              "t_klimastufe", "t_ground", "t_field", "'sonstige Angaben ' || t_sonstigeangaben",
              f"'Ertragsmesszahl ' || (try_cast(__number as int) * cast({fl} as bigint) div 100)"]
+    kept = [c for c in rows.columns if c != "number"]
     return rows.join(described, soil_id, "inner").selectExpr(
-        *rows.columns, f"concat_ws(', ', {', '.join(parts)}) as klf_text", f"{fl} as fl")
+        *kept, f"concat_ws(', ', {', '.join(parts)}) as klf_text", f"{fl} as fl")
 
 
 def valuation(parcels: DataFrame, valuations: DataFrame, catalog: DataFrame,

@@ -73,16 +73,21 @@ def _file_in_cells(df: DataFrame, other: Profile, left: bool) -> DataFrame:
     """One row per role, level and cell that the feature has to appear in.
 
     The left side's own level serves role 0, the right side's own level role 1 and,
-    for pairs of equal level, role 0 too.
+    for pairs of equal level, role 0 too. Entries that the other side's levels leave
+    without a partner are not made.
     """
     keep = df.columns
-    own = "named_struct('role', {}, 'level', own)"
-    entries = f"array({own.format(0) if left else own.format(1) + ', ' + own.format(0)})"
-    if other.levels and max(other.levels) > 0:
-        up = "named_struct('role', {}, 'level', lv)".format(1 if left else 0)
-        levels = ", ".join(map(str, other.levels))
-        entries = (f"concat({entries}, transform(filter(array({levels}), lv -> lv > own),"
-                   f" lv -> {up}))")
+    lowest = min(other.levels, default=TOP_LEVEL + 1)
+    levels = f"array({', '.join(map(str, other.levels))})" if other.levels else \
+        "cast(array() as array<int>)"
+
+    def entry(test: str, role: int) -> str:
+        return f"if({test}, named_struct('role', {role}, 'level', own), null)"
+    own = [entry(f"own >= {lowest}", 0)] if left else \
+        [entry(f"own > {lowest}", 1), entry(f"array_contains({levels}, own)", 0)]
+    up = (f"transform(filter({levels}, lv -> lv > own),"
+          f" lv -> named_struct('role', {1 if left else 0}, 'level', lv))")
+    entries = f"concat(array_compact(array({', '.join(own)})), {up})"
     side = f"({BASE_CELL}D * power({FACTOR}D, __level))"
 
     def cells(axis: str) -> str:
@@ -163,11 +168,13 @@ def with_box(df: DataFrame, geom: str = "geom") -> DataFrame:
             .selectExpr(*df.columns, *[f"__b.{k}" for k in _BOX]))
 
 
-def _prepared(df: DataFrame, ident: str, geom: str, with_area: bool = False) -> DataFrame:
-    """Id, box and edges of a polygon side; everything else stays behind."""
+def _prepared(df: DataFrame, ident: str, geom: str, with_area: bool = False,
+              keep: list[str] | None = None) -> DataFrame:
+    """Id, box, edges and the columns to keep of a polygon side."""
     boxed = df if set(_BOX) <= set(df.columns) else with_box(df, geom)
     extra = [f"{G.area(geom)} as area"] if with_area else []
-    return boxed.selectExpr(f"{ident} as id", *_BOX, f"{G.edges(geom)} as edges", *extra)
+    return boxed.selectExpr(f"{ident} as id", *_BOX, f"{G.edges(geom)} as edges", *extra,
+                            *(keep or []))
 
 
 def points_in_parcels(points: DataFrame, parcels: DataFrame, point_id: str = "point_id",
@@ -196,17 +203,20 @@ def parcels_touching(areas: DataFrame, parcels: DataFrame, area_id: str = "area_
             .selectExpr(f"a_id as {area_id}", f"b_id as {parcel_id}"))
 
 
-def overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
-            geom: str = "geom") -> DataFrame:
-    """``(left_id, right_id, shared)`` for every pair whose interiors overlap.
+def overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str, geom: str = "geom",
+            keep_right: list[str] | None = None) -> DataFrame:
+    """``(left_id, right_id, shared, *keep_right)`` for every pair of overlapping interiors.
 
-    Boxes that only touch along a side cannot share an interior and skip the
-    geometry.
+    Columns in ``keep_right`` travel with the right side, which saves joining them
+    back by id. Boxes that only touch along a side cannot share an interior and skip
+    the geometry.
     """
+    keep = keep_right or []
     return (candidates(_prepared(left, left_id, geom, with_area=True),
-                       _prepared(right, right_id, geom, with_area=True), "id", "id")
+                       _prepared(right, right_id, geom, with_area=True, keep=keep), "id", "id")
             .filter("a_minx < b_maxx and b_minx < a_maxx and a_miny < b_maxy and b_miny < a_maxy")
             .selectExpr(f"a_id as {left_id}", f"b_id as {right_id}", "a_area", "b_area",
-                        f"{G.overlap_area('a_edges', 'b_edges')} as shared")
+                        f"{G.overlap_area('a_edges', 'b_edges')} as shared",
+                        *[f"b_{c} as {c}" for c in keep])
             .filter(G.interiors_overlap("shared", "a_area", "b_area"))
-            .select(left_id, right_id, "shared"))
+            .select(left_id, right_id, "shared", *keep))

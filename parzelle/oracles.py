@@ -297,6 +297,14 @@ EXTRACT = """extract as (
       0 - drehwinkel_grad, cast(ogc_fid % 100 as double) from routed where ogc_fid % 5 <> 0
     union all select thema, sublayer, 'label', ogc_fid, gml_id, layer, modell, sn,
       0 - drehwinkel_grad, cast(ogc_fid % 100 as double) from routed where ogc_fid % 3 <> 2)"""
+# style keys in use count even when the object itself is not drawn
+INVENTORY = """inventory as (select theme, sublayer, kind, sn, sum(shown) as n from (
+    select thema as theme, sublayer, 'area' as kind, sn, 1 as shown from routed
+    union all select thema, sublayer, 'outline', sn, least(ogc_fid % 9, 1) from routed
+    union all select thema, sublayer, 'line', sn, least(ogc_fid % 8, 1) from routed
+    union all select thema, sublayer, 'point', sn, least(ogc_fid % 5, 1) from routed
+    union all select thema, sublayer, 'label', sn, least((ogc_fid + 1) % 3, 1) from routed)
+    group by all)"""
 oracle("sublayer_routing", "select ogc_fid, thema, sublayer from routed", "po", more=(ROUTED,))
 oracle("sublayer_filter", "select ogc_fid, layer from po_v where layer not like 'ax_flurstueck%'",
        "po")
@@ -431,11 +439,11 @@ MANIFEST = """manifest as (
     select f.theme, f.sublayer, f.kind, sum(n)::bigint as features, count(e.sn) as classes,
       case when f.kind = 'label' then 999 else cast(trunc(avg(priority)) as int) end as zindex,
       min(priority) as min_priority, max(priority) as max_priority
-    from (select theme, sublayer, kind, sn, count(*) as n from extract group by all) f
+    from inventory f
     left join every e on e.kind = f.kind and e.theme = f.theme and e.sublayer = f.sublayer
       and e.sn = f.sn
-    group by f.theme, f.sublayer, f.kind having count(e.sn) > 0 or f.kind = 'label')"""
-MANIFEST_MORE = (*STYLE_MORE, EXTRACT, SCALES, STROKES, DRAWABLE, EVERY, MANIFEST)
+    group by f.theme, f.sublayer, f.kind having case when f.kind = 'label' then sum(n) > 0 else count(e.sn) > 0 end)"""
+MANIFEST_MORE = (*STYLE_MORE, INVENTORY, SCALES, STROKES, DRAWABLE, EVERY, MANIFEST)
 oracle("layer_manifest", """
     select theme, sublayer, kind, features, classes, zindex, min_priority, max_priority,
       min_scale, max_scale, case kind when 'area' then 'Flächen' when 'outline' then 'Grenzen'

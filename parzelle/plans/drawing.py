@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from parzelle.operators import layers as L
 from parzelle.operators import styles as S
-from parzelle.operators.predicates import in_models
-from parzelle.operators.themes import Theme, assign_sublayer, class_table, theme_table
+from parzelle.operators.themes import Theme, class_table, theme_table
+from parzelle.session import ensure_checkpoint_dir
 
 Tables = Mapping[str, DataFrame]
 
@@ -24,6 +24,9 @@ def drawing_tables(tables: Tables, themes: list[Theme], models: Iterable[str] =
     styles; ``outline_strokes`` and ``line_strokes`` their drawable parts;
     ``manifest`` the non-empty layers in drawing order. Line styles whose strokes do
     not fit together are left out.
+
+    The objects are read twice: for the inventory, which is checkpointed and feeds
+    all style tables, and for the extract itself.
     """
     spark = tables["po_polygons"].sparkSession
     models = list(models)
@@ -32,8 +35,12 @@ def drawing_tables(tables: Tables, themes: list[Theme], models: Iterable[str] =
     extract = L.layer_extract(themes, models, polygons, lines, points, labels, negate_rotation)
     classes = class_table(spark, themes)
 
-    def used(table: DataFrame, sn: str) -> DataFrame:
-        return S.usage(assign_sublayer(in_models(table, models), themes), sn)
+    ensure_checkpoint_dir(spark)
+    inventory = L.layer_inventory(themes, models, polygons, lines, points, labels).checkpoint()
+
+    def used(kind: str) -> DataFrame:
+        return inventory.filter(f"kind = '{kind}' and sn is not null and sn <> ''") \
+            .select("theme", "sublayer", "sn")
 
     strokes = S.line_strokes(tables["style_line"], tables["line_def"], tables["stroke_member"],
                              tables["stroke"], tables["color"], catalog_id)
@@ -43,21 +50,21 @@ def drawing_tables(tables: Tables, themes: list[Theme], models: Iterable[str] =
         extents = spark.createDataFrame(
             [], "sn string, minx double, miny double, maxx double, maxy double")
 
-    fill = S.fill_styles(used(polygons, "sn_flaeche"), tables["style_fill"], tables["color"],
+    fill = S.fill_styles(used("area"), tables["style_fill"], tables["color"],
                          classes, catalog_id)
-    outline = S.outline_styles(used(polygons, "sn_randlinie"), tables["style_line"],
+    outline = S.outline_styles(used("outline"), tables["style_line"],
                                tables["line_def"], tables["color"], classes, catalog_id) \
         .join(drawable, "sn", "left_semi")
-    line = S.line_styles(used(lines, "signaturnummer"), tables["style_line"], tables["line_def"],
+    line = S.line_styles(used("line"), tables["style_line"], tables["line_def"],
                          tables["color"], classes, catalog_id).join(drawable, "sn", "left_semi")
-    point = S.point_styles(used(points, "signaturnummer"), tables["symbol"], extents, classes,
+    point = S.point_styles(used("point"), tables["symbol"], extents, classes,
                            catalog_id)
     every = None
     for kind, table in (("area", fill), ("outline", outline), ("line", line),
                         ("point", point.withColumn("priority", F.lit(None).cast("int")))):
         part = table.select("theme", "sublayer", F.lit(kind).alias("kind"), "sn", "priority")
         every = part if every is None else every.unionByName(part)
-    manifest = L.layer_manifest(extract, theme_table(spark, themes), every)
+    manifest = L.layer_manifest(inventory, theme_table(spark, themes), every)
     types = F.create_map(*[F.lit(v) for pair in L.TYPE_OF.items() for v in pair])
     ordered = L.draw_order(
         manifest.withColumn("type", F.element_at(types, F.col("kind")))

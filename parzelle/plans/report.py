@@ -88,7 +88,7 @@ def report_blocks(tables: Tables, wanted: DataFrame | None = None) -> dict[str,
         lists = {name[len("soil_"):]: df for name, df in tables.items()
                  if name.startswith("soil_")}
         blocks["soil"] = soil.soil_description(shared, surveys, lists)
-        blocks["yield"] = soil.yield_index(shared, surveys, "flsnr")
+        blocks["yield"] = soil.yield_index(shared, "flsnr")
     if found := optional(tables, "ausfst", "afst_shl"):
         rows, names = found
         blocks["offices"] = cut(current_book(rows).join(names, "ausf_st", "inner")

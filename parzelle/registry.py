@@ -32,7 +32,7 @@ def query(fn: Query) -> Query:
 
 
 def _base(spark, sf, name) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return V.base(spark, f"{sf}/{name}.parquet")
 
 
 def _fs(parcels: DataFrame) -> DataFrame:
@@ -630,14 +630,13 @@ def parcels_touching(spark, sf):
 @query
 def overlay_area(spark, sf):
     shared = soil.parcel_soil(V.parcels(spark, sf), V.surveys(spark, sf), "pid")
-    return shared.withColumn("shared", F.round("shared", 6))
+    return shared.select("pid", "soil_id", F.round("shared", 6).alias("shared"))
 
 
 @query
 def yield_index(spark, sf):
-    surveys = V.surveys(spark, sf)
-    shared = soil.parcel_soil(V.parcels(spark, sf), surveys, "pid")
-    return soil.yield_index(shared, surveys, "pid")
+    shared = soil.parcel_soil(V.parcels(spark, sf), V.surveys(spark, sf), "pid")
+    return soil.yield_index(shared, "pid")
 
 
 def _codes(spark, sf) -> DataFrame:

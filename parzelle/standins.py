@@ -8,6 +8,8 @@ a projection of a whole base table and grows with it.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,11 +133,16 @@ VIEWS = {
 }
 
 
+@lru_cache(maxsize=64)
+def base(spark: SparkSession, path: str) -> DataFrame:
+    """A base table; its schema is read from the files once per session."""
+    return spark.read.parquet(path)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One stand-in table; only the base columns behind it are read."""
-    base, select = VIEWS[name]
-    df = spark.read.parquet(f"{sf_dir}/{base}.parquet")
-    return spark.sql(f"select {select} from {{base}}", base=df)
+    table, select = VIEWS[name]
+    return spark.sql(f"select {select} from {{base}}", base=base(spark, f"{sf_dir}/{table}.parquet"))
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:

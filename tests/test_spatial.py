@@ -116,8 +116,8 @@ def test_overlay_yield_and_description(spark):
         .withColumn("bodenart", F.lit("T"))
     shared = O.parcel_soil(parcels, surveys)
     # s2 only touches the parcel, s4 is its hole
-    assert rows(shared) == [("l", "s1", 8.0), ("l", "s3", 12.0)]
-    assert rows(O.yield_index(shared, surveys)) == [("l", 4)]
+    assert rows(shared) == [("l", "s1", 8.0, 50), ("l", "s3", 12.0, None)]
+    assert rows(O.yield_index(shared)) == [("l", 4)]
     lists = {"entstehungsart": spark.createDataFrame([("a", "Alluvium"), ("b", "Berg")],
                                                      "wert string, beschreibung string"),
              "bodenart": spark.createDataFrame([("T", "Ton")], "wert string, beschreibung string")}
