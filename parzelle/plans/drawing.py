@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from parzelle.operators import layers as L
 from parzelle.operators import styles as S
 from parzelle.operators.themes import Theme, class_table, theme_table
-from parzelle.session import ensure_checkpoint_dir
+from parzelle.session import materialize
 
 Tables = Mapping[str, DataFrame]
 
@@ -25,7 +25,7 @@ def drawing_tables(tables: Tables, themes: list[Theme], models: Iterable[str] =
     ``manifest`` the non-empty layers in drawing order. Line styles whose strokes do
     not fit together are left out.
 
-    The objects are read twice: for the inventory, which is checkpointed and feeds
+    The objects are read twice: for the inventory, which is written out and feeds
     all style tables, and for the extract itself.
     """
     spark = tables["po_polygons"].sparkSession
@@ -35,8 +35,8 @@ def drawing_tables(tables: Tables, themes: list[Theme], models: Iterable[str] =
     extract = L.layer_extract(themes, models, polygons, lines, points, labels, negate_rotation)
     classes = class_table(spark, themes)
 
-    ensure_checkpoint_dir(spark)
-    inventory = L.layer_inventory(themes, models, polygons, lines, points, labels).checkpoint()
+    inventory = materialize(
+        L.layer_inventory(themes, models, polygons, lines, points, labels), "inventory")
 
     def used(kind: str) -> DataFrame:
         return inventory.filter(f"kind = '{kind}' and sn is not null and sn <> ''") \

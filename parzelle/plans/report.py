@@ -22,7 +22,7 @@ from parzelle.operators.grouping import nest
 from parzelle.operators.predicates import current, current_book
 from parzelle.operators.selection import parcel_number_of
 from parzelle.operators.spatial import points_in_parcels
-from parzelle.session import ensure_checkpoint_dir
+from parzelle.session import materialize
 from parzelle.sources.audit import release_with_audit
 from parzelle.sources.export import union_all
 from parzelle.sources.tables import data_currency, has_columns, optional
@@ -83,8 +83,7 @@ def report_blocks(tables: Tables, wanted: DataFrame | None = None) -> dict[str,
     if found := optional(tables, "parcel", "soil"):
         parcels, surveys = found
         # both sections need the overlay: it is computed once and kept
-        ensure_checkpoint_dir(surveys.sparkSession)
-        shared = soil.parcel_soil(cut(current(parcels)), surveys, "flsnr").checkpoint()
+        shared = materialize(soil.parcel_soil(cut(current(parcels)), surveys, "flsnr"), "soil")
         lists = {name[len("soil_"):]: df for name, df in tables.items()
                  if name.startswith("soil_")}
         blocks["soil"] = soil.soil_description(shared, surveys, lists)

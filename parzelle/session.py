@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE does three jobs here: it coalesces small shuffle partitions, turns joins
 # with a small side into broadcast joins after measuring them, and splits skewed
@@ -41,8 +41,14 @@ def shared_dir(spark: SparkSession, prefix: str) -> str:
     return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``checkpoint()`` at the shared folder unless one is already set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(spark, "checkpoint"))
+def materialize(df: DataFrame, prefix: str) -> DataFrame:
+    """Write an intermediate result once and go on from the written table.
+
+    This cuts the lineage, survives the loss of executors and, unlike a checkpoint,
+    gives the planner the table's true size: small results are then broadcast after a
+    check of their size, large ones are not.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, prefix)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

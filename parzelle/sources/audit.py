@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parzelle.session import ensure_checkpoint_dir
+from parzelle.session import materialize
 
 # Parcel numbers per audit row; a larger result is recorded in several rows.
 NUMBERS_PER_ROW = 1000
@@ -26,7 +26,7 @@ def release_with_audit(result: DataFrame, log_path: str | None, user: str, reque
     as it is. If the case number is required but missing, or the record cannot be
     written, ``ReleaseRefused`` is raised and nothing is handed out.
 
-    The result is checkpointed first, so that exactly the recorded rows are handed
+    The result is written out first, so that exactly the recorded rows are handed
     out even when the tables change in between. The record holds the distinct
     numbers in sorted arrays of about a thousand; all rows of one request share
     ``request_id`` and say how many ``parts`` there are. An empty result is recorded
@@ -37,8 +37,7 @@ def release_with_audit(result: DataFrame, log_path: str | None, user: str, reque
     if case_required and not case_no:
         raise ReleaseRefused("a case number is required")
     spark = result.sparkSession
-    ensure_checkpoint_dir(spark)
-    fixed = result.checkpoint()
+    fixed = materialize(result, "released")
     distinct = fixed.select(F.col(number).alias("n")).distinct()
     parts = max(1, math.ceil(distinct.count() / NUMBERS_PER_ROW))
     lists = (distinct.groupBy(F.pmod(F.xxhash64("n"), F.lit(parts)).cast("int").alias("part"))
