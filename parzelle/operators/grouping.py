@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parzelle.session import materialize
+
 
 def nest(rows: DataFrame, keys: list[str], order: list[str], values: list[str], name: str,
          max_items: int = 10_000) -> tuple[DataFrame, DataFrame]:
@@ -12,16 +14,18 @@ def nest(rows: DataFrame, keys: list[str], order: list[str], values: list[str],
 
     Returns ``(nested, rest)``. Keys with at most ``max_items`` rows are folded; the
     rows of any larger key stay as they are in ``rest``, so that nothing is lost and
-    no group grows beyond the bound. The size of every key comes from a counting
-    pass that combines on the map side.
+    no group grows beyond the bound. A counting pass, combined on the map side, finds
+    the larger keys beforehand; as a rule there are none and the rows are grouped
+    without any join.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    large = sizes.filter(F.col("__n") > max_items).drop("__n")
-    small_rows = _null_safe(rows, large, keys, "left_anti")
+    large = materialize(sizes.filter(F.col("__n") > max_items).drop("__n"), "large-keys")
     item = F.struct(*order, *[v for v in values if v not in order])
-    nested = (small_rows.groupBy(*keys)
-              .agg(F.array_sort(F.collect_list(item)).alias(name)))
-    return nested, _null_safe(rows, large, keys, "left_semi")
+    folded = F.array_sort(F.collect_list(item)).alias(name)
+    if large.isEmpty():
+        return rows.groupBy(*keys).agg(folded), rows.filter(F.lit(False))
+    small_rows = _null_safe(rows, large, keys, "left_anti")
+    return small_rows.groupBy(*keys).agg(folded), _null_safe(rows, large, keys, "left_semi")
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:

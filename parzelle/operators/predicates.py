@@ -88,11 +88,12 @@ def parcels_by_parts(parcels: DataFrame, fs: DataFrame, district: str | None = N
     """
     keys = fs
     given = [part or None for part in (district, section, num, den)]
-    lead = ""
+    lead, led = "", 0
     for part, stop in zip(given, ("-", "-", "/", "")):
         if part is None:
             break
         lead += part + stop
+        led += 1
     if all(given):
         keys = keys.filter(F.col("alb_key") == lead)
     elif lead:
@@ -100,7 +101,7 @@ def parcels_by_parts(parcels: DataFrame, fs: DataFrame, district: str | None = N
     tail = F.split_part("alb_key", F.lit("-"), F.lit(-1))
     places = (F.split_part("alb_key", F.lit("-"), F.lit(1)),
               F.split_part("alb_key", F.lit("-"), F.lit(2)), numbers.num(tail), numbers.den(tail))
-    for part, place in zip(given, places):
+    for part, place in zip(given[led:], places[led:]):
         if part is not None:
             keys = keys.filter(place == part)
     ids = keys.select(F.col("fs_obj").alias("gml_id"))

@@ -15,8 +15,10 @@ ARABLE_BELOW = 3000
 
 
 def parcel_soil(parcels: DataFrame, soil: DataFrame, parcel_id: str = "gml_id",
-                soil_id: str = "soil_id") -> DataFrame:
-    """``(parcel_id, soil_id, shared, number)`` of current parcels and current surveys.
+                soil_id: str = "soil_id", keep: list[str] | None = None) -> DataFrame:
+    """``(parcel_id, soil_id, shared, *keep, number)`` of current parcels and surveys.
+
+    ``keep`` names further parcel columns, such as the parcel number.
 
     ``number`` is the survey's yield number as int. It travels through the overlay:
     joined on afterwards, a survey under very many parcels would be a skewed key.
@@ -24,7 +26,8 @@ def parcel_soil(parcels: DataFrame, soil: DataFrame, parcel_id: str = "gml_id",
     found = text.to_int(F.col("ackerzahl")) if "ackerzahl" in soil.columns \
         else F.lit(None).cast("int")
     surveys = current(soil).withColumn("number", found)
-    return overlay(current(parcels), surveys, parcel_id, soil_id, keep_right=["number"])
+    return overlay(current(parcels), surveys, parcel_id, soil_id, keep_left=keep,
+                   keep_right=["number"])
 
 
 def yield_index(shared: DataFrame, parcel_id: str = "gml_id") -> DataFrame:
@@ -105,11 +108,13 @@ def soil_description(rows: DataFrame, soil: DataFrame, catalogs: dict[str, DataF
 
 
 def valuation(parcels: DataFrame, valuations: DataFrame, catalog: DataFrame,
-              parcel_id: str = "gml_id", valuation_id: str = "valuation_id") -> DataFrame:
-    """``(parcel_id, klf_text, fl)`` of current valuations under current parcels."""
-    shared = overlay(current(parcels), current(valuations), parcel_id, valuation_id)
+              parcel_id: str = "gml_id", valuation_id: str = "valuation_id",
+              keep: list[str] | None = None) -> DataFrame:
+    """``(parcel_id, *keep, klf_text, fl)`` of current valuations under current parcels."""
+    shared = overlay(current(parcels), current(valuations), parcel_id, valuation_id,
+                     keep_left=keep)
     named = _one_text(valuations.select(valuation_id, "klassifizierung"), "klassifizierung",
                       catalog, "beschreibung")
     return (shared.join(named, valuation_id, "inner")
-            .select(parcel_id, text.valuation_text(F.col("beschreibung"), F.col("klassifizierung"))
+            .select(parcel_id, *(keep or []), text.valuation_text(F.col("beschreibung"), F.col("klassifizierung"))
                     .alias("klf_text"), F.expr("cast(bround(shared, 0) as int)").alias("fl")))

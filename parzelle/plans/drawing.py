@@ -64,7 +64,9 @@ def drawing_tables(tables: Tables, themes: list[Theme], models: Iterable[str] =
                         ("point", point.withColumn("priority", F.lit(None).cast("int")))):
         part = table.select("theme", "sublayer", F.lit(kind).alias("kind"), "sn", "priority")
         every = part if every is None else every.unionByName(part)
-    manifest = L.layer_manifest(inventory, theme_table(spark, themes), every)
+    # a row per layer; kept, because numbering the layers needs it twice
+    manifest = materialize(L.layer_manifest(inventory, theme_table(spark, themes), every),
+                           "manifest")
     types = F.create_map(*[F.lit(v) for pair in L.TYPE_OF.items() for v in pair])
     ordered = L.draw_order(
         manifest.withColumn("type", F.element_at(types, F.col("kind")))

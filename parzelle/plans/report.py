@@ -79,11 +79,12 @@ def report_blocks(tables: Tables, wanted: DataFrame | None = None) -> dict[str,
             .select("flsnr", F.col("nutzsl").alias("nutzshl"), "nutzung", "fl"))
     if found := optional(tables, "parcel", "valuation", "valuation_code"):
         parcels, rows, codes = found
-        blocks["valuation"] = soil.valuation(cut(current(parcels)), rows, codes, "flsnr")
+        blocks["valuation"] = soil.valuation(cut(current(parcels)), rows, codes, keep=["flsnr"])
     if found := optional(tables, "parcel", "soil"):
         parcels, surveys = found
         # both sections need the overlay: it is computed once and kept
-        shared = materialize(soil.parcel_soil(cut(current(parcels)), surveys, "flsnr"), "soil")
+        shared = materialize(
+            soil.parcel_soil(cut(current(parcels)), surveys, keep=["flsnr"]), "soil")
         lists = {name[len("soil_"):]: df for name, df in tables.items()
                  if name.startswith("soil_")}
         blocks["soil"] = soil.soil_description(shared, surveys, lists)

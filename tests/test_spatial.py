@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 
 import pytest
@@ -129,6 +130,27 @@ def test_overlay_yield_and_description(spark):
                            " Grünlandzahl 55x")
 
 
+def test_overlay_agrees_with_the_area_function(spark):
+    def stars(seed, n):
+        rng = random.Random(seed)
+        made = []
+        for i in range(n):
+            cx, cy = rng.uniform(0, 60), rng.uniform(0, 60)
+            pts = [(cx + r * math.cos(t), cy + r * math.sin(t)) for t, r in
+                   ((2 * math.pi * j / 9, rng.uniform(3, 12)) for j in range(9))]
+            made.append((i, [pts + pts[:1]]))
+        return spark.createDataFrame(made, f"id int, geom {G.RINGS}")
+    a, b = stars(1, 25).withColumnRenamed("id", "p"), stars(2, 25).withColumnRenamed("id", "s")
+    got = {(r["p"], r["s"]): r["shared"] for r in S.overlay(a, b, "p", "s").collect()}
+    every = a.selectExpr("p", f"{G.edges('geom')} as ea").crossJoin(
+        b.selectExpr("s", f"{G.edges('geom')} as eb"))
+    want = {(r["p"], r["s"]): r["v"] for r in every.selectExpr(
+        "p", "s", f"{G.overlap_area('ea', 'eb')} as v").filter("v > 1e-4").collect()}
+    assert {k for k, v in got.items() if v > 1e-4} == set(want) and len(want) > 20
+    for key, value in want.items():
+        assert got[key] == pytest.approx(value, abs=1e-8)
+
+
 def test_ended_rows_do_not_overlap(spark):
     parcels = shapes(spark, ("l", L)).withColumn("endet", F.lit(dt.datetime(2020, 1, 1)))
     surveys = shapes(spark, ("s1", L)).withColumnRenamed("gml_id", "soil_id")
