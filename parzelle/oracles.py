@@ -14,7 +14,7 @@ ORACLES: dict[str, str] = {}
 
 def _view(name: str) -> str:
     base, select = VIEWS[name]
-    text = select.replace("array(", "list_value(").replace("10D", "10.0")
+    text = select.replace("array(", "list_value(").replace("10D", "10e0")
     return f"{name}_v as (select {text} from {base})"
 
 
@@ -352,14 +352,14 @@ oracle("fill_styles", FILL, *STYLE_VIEWS, more=STYLE_MORE)
 oracle("outline_styles", OUTLINE, *STYLE_VIEWS, more=STYLE_MORE)
 oracle("line_styles", f"""
     select *, row_number() over (partition by theme, sublayer order by priority nulls last, sn,
-      name) - 1 as pass from ({LINE})""", *STYLE_VIEWS, more=STYLE_MORE)
+      name)::int - 1 as pass from ({LINE})""", *STYLE_VIEWS, more=STYLE_MORE)
 oracle("style_priority", f"""
     select theme, sublayer, count(*) as classes, cast(trunc(avg(priority)) as int) as zindex,
       min(priority) as min_priority, max(priority) as max_priority from ({FILL})
     group by all""", *STYLE_VIEWS, more=STYLE_MORE)
 
 STROKES = """strokes as (select distinct p_partkey % 8 as id,
-    case when p_partkey % 2 = 1 then 1.0 else 0.0 end as laenge, 0.5 as einzug,
+    case when p_partkey % 2 = 1 then 1e0 else 0e0 end as laenge, 5e-1 as einzug,
     case when p_partkey % 2 = 0 then [1.5, 1.5] else [2.0] end as gaps from part)"""
 oracle("line_strokes", """
     select s.signaturnummer as sn, k.id as stroke, l.abschluss, l.scheitel,
@@ -470,7 +470,7 @@ oracle("label_style_screen", """
         when 'oben' then 'Cap' when 'Basis' then 'Base' else 'Half' end as valign,
       coalesce(art, 'Arial') as family, case when stil like '%Kursiv%' then 1 else 0 end as italic,
       case when stil like '%Fett%' then 1 else 0 end as bold,
-      round(coalesce(sperrung_pt * 0.25, 0), 6) as spacing, replace(umn, ' ', ',') as tcolor,
+      round(coalesce(sperrung_pt * 25e-2, 0e0), 6) as spacing, replace(umn, ' ', ',') as tcolor,
       case when grad_pt < 0 then 0 else 1 end as tshow,
       case coalesce(l.vertikaleausrichtung, s.vertikaleausrichtung)
         when 'oben' then 'AL' when 'Basis' then 'BL' else 'OL' end as placement,

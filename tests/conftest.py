@@ -11,8 +11,8 @@ sys.path.insert(0, str(ROOT))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     checkpoints = tmp_path_factory.mktemp("checkpoints")
-    session = (SparkSession.builder.master("local[4]").appName("tests")
-               .config("spark.sql.shuffle.partitions", "4")
+    session = (SparkSession.builder.master("local[8]").appName("tests")
+               .config("spark.sql.shuffle.partitions", "3")
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.ui.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false")
