@@ -38,7 +38,7 @@ from parzelle.functions import geometry as G
 BASE_CELL = 16.0
 FACTOR = 4
 TOP_LEVEL = 15
-SLICE_WORK = 100_000_000
+SLICE_WORK = 20_000_000
 MAX_HOT = 10_000
 # Below this many features on both sides no cell is worth a counting pass.
 SMALL_SIDE = 100_000

@@ -140,7 +140,7 @@ parcel_oracle("used_districts", "select gemashl, label from names n where exists
               " parcels p where p.gemashl = n.gemashl and flsnrk like '12/%')",
               "district", "town_name", more=(DISTRICTS,))
 parcel_oracle("parcel_districts", "select gml_id, gemarkung from parcels p left join district_v d"
-              " on d.gemashl = p.gemashl and d.gemashl < '030040'", "district")
+              " on d.gemashl = p.gemashl", "district")
 
 # -- streets and addresses ----------------------------------------------------
 
@@ -317,7 +317,7 @@ oracle("visible_at_scale", """
     group by all""", "po", more=(ROUTED, EXTRACT, SCALES))
 oracle("styles_in_use", """
     select * from style_v s where exists (select 1 from po_v p where p.thema = 'BUILDING'
-      and p.ogc_fid % 13 = 0 and p.sn = s.signaturnummer)""", "style", "po")
+      and p.layer = 'ax_gebaeude' and p.sn = s.signaturnummer)""", "style", "po")
 
 # line definitions repeat the style key for a second catalogue; every third has no colour
 LINE_DEF = """line_def as (select signaturnummer, katalog,

@@ -267,8 +267,8 @@ def used_districts(spark, sf):
 
 @query
 def parcel_districts(spark, sf):
-    named = V.view(spark, sf, "district").filter("gemashl < '030040'")
-    return facets.with_district_name(V.parcels(spark, sf), named).select("gml_id", "gemarkung")
+    named = facets.with_district_name(V.parcels(spark, sf), V.view(spark, sf, "district"))
+    return named.select("gml_id", "gemarkung")
 
 
 # -- streets and addresses --------------------------------------------------------
@@ -477,7 +477,7 @@ def _used(spark, sf, name: str, sn: str) -> DataFrame:
 
 @query
 def styles_in_use(spark, sf):
-    po = P.in_theme(V.view(spark, sf, "po"), "BUILDING").filter("ogc_fid % 13 = 0")
+    po = T.sublayer(P.in_theme(V.view(spark, sf, "po"), "BUILDING"), "layer = 'ax_gebaeude'")
     return ST.styles_in_use(V.view(spark, sf, "style"), po, "signaturnummer", "sn")
 
 

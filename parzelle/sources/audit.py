@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,8 @@ class ReleaseRefused(RuntimeError):
 
 def release_with_audit(result: DataFrame, log_path: str | None, user: str, request_type: str,
                        search: str, case_no: str | None = None, case_required: bool = False,
-                       number: str = "flsnr", fmt: str = "parquet") -> DataFrame:
+                       number: str = "flsnr", fmt: str = "parquet",
+                       options: Mapping[str, str] | None = None) -> DataFrame:
     """Record the request with all parcel numbers found, then hand out the result.
 
     ``log_path`` of ``None`` means that logging is not set up: the result is released
@@ -31,6 +33,9 @@ def release_with_audit(result: DataFrame, log_path: str | None, user: str, reque
     numbers in sorted arrays of about a thousand; all rows of one request share
     ``request_id`` and say how many ``parts`` there are. An empty result is recorded
     with one empty array.
+
+    For a database log give ``fmt="jdbc"``, the URL as ``log_path`` and ``dbtable``
+    with the credentials in ``options``.
     """
     if log_path is None:
         return result
@@ -54,7 +59,8 @@ def release_with_audit(result: DataFrame, log_path: str | None, user: str, reque
             .select("datum", "username", "requestType", "search", "result", "aktenzeichen",
                     "request_id", "part", "parts"))
     try:
-        rows.write.mode("append").format(fmt).save(log_path)
+        writer = rows.write.mode("append").format(fmt).options(**(options or {}))
+        writer.option("url" if fmt == "jdbc" else "path", log_path).save()
     except Exception as error:
         raise ReleaseRefused("the request could not be recorded") from error
     return fixed

@@ -63,10 +63,16 @@ def _read(spark: SparkSession, source: Source, name: str) -> DataFrame:
         return reader.load(f"{folder}/{physical}")
 
 
+# How Spark and database drivers report a table that is absent or that
+# the user may not read. Any other failure (no connection, say) is passed on.
+ABSENT_CONDITIONS = ("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND", "SCHEMA_NOT_FOUND")
+ABSENT_MESSAGES = ("does not exist", "permission denied for")
+
+
 def _is_missing(error: Exception) -> bool:
     condition = getattr(error, "getCondition", lambda: None)() or ""
-    return condition.startswith(("PATH_NOT_FOUND", "TABLE_OR_VIEW_NOT_FOUND",
-                                 "SCHEMA_NOT_FOUND"))
+    return condition.startswith(ABSENT_CONDITIONS) or any(
+        m in str(error) for m in ABSENT_MESSAGES)
 
 
 def read_tables(spark: SparkSession, source: Source, names: Iterable[str],
@@ -81,8 +87,7 @@ def read_tables(spark: SparkSession, source: Source, names: Iterable[str],
         try:
             df = _read(spark, source, name)
         except Exception as error:
-            # a JDBC driver reports a missing table in its own words
-            if name in needed or not (_is_missing(error) or source.kind == "jdbc"):
+            if name in needed or not _is_missing(error):
                 raise
             continue
         tables[name] = df.withColumnsRenamed(dict(source.columns.get(name, {})))

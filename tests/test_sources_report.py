@@ -32,6 +32,12 @@ def test_read_catalog_tables(spark):
     assert got == {}
 
 
+def test_only_absent_tables_are_optional():
+    assert S._is_missing(RuntimeError('ERROR: relation "x" does not exist'))
+    assert S._is_missing(RuntimeError("ERROR: permission denied for table eigner"))
+    assert not S._is_missing(RuntimeError("Connection refused"))
+
+
 def test_columns_and_defaults(spark):
     df = spark.range(1)
     assert S.has_columns(df, "ID") and not S.has_columns(df, "id", "x")
