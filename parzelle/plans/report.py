@@ -61,9 +61,12 @@ def report_blocks(tables: Tables, wanted: DataFrame | None = None) -> dict[str,
     """One table per section, each with ``flsnr``; sections without tables are absent.
 
     ``wanted`` (column ``flsnr``) limits the report. Every section is cut to the
-    reported parcels with an existence join on ``flsnr``.
+    reported parcels with an existence join on ``flsnr``. The master data is written
+    out first: it is worked out once, and when only some parcels are wanted, the
+    planner sees how few they are and broadcasts them instead of shuffling every
+    section's table.
     """
-    master = master_data(tables, wanted)
+    master = materialize(master_data(tables, wanted), "master")
     reported = master.select("flsnr")
     blocks = {"master": master}
 
