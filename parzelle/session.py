@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -30,20 +31,24 @@ def builder(app_name: str = "parzelle") -> SparkSession.Builder:
     return made
 
 
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="parzelle-")
+
+
 def shared_dir(spark: SparkSession, prefix: str) -> str:
     """A fresh path under the folder that all machines share.
 
     The folder is the one named by ``spark.checkpoint.dir``. Only a session without
     machines of its own (master ``local``) may leave it unset: then a temporary
-    folder, made once and set in the session, takes its place. On a cluster an unset
+    folder, made once a process, takes its place. On a cluster an unset
     folder is an error, as a machine-local one would lose rows.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
-        base = tempfile.mkdtemp(prefix="parzelle-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_folder()
     return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
