@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parzelle.llm import mixing
+from parzelle.llm import mixing, sharding, simhash
 from parzelle.llm.common import table
 
 
@@ -13,8 +14,24 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("digest"))
+    return sharding.interleave(docs, digest="digest").select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
 QUERIES = {
     "op1_mix": op1_mix,
+    "op3_simhash": op3_simhash,
+    "op7_shards": op7_shards,
 }
 
 SIZES = r"""
