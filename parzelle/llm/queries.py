@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parzelle.llm import mixing, sharding, simhash
+from parzelle.llm import mixing, quality, sharding, simhash
 from parzelle.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rules = quality.learn(quality.examples(docs, table(spark, sf_dir, "labels")))
+    return quality.judge(docs, rules)
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -31,6 +37,7 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix": op1_mix,
     "op3_simhash": op3_simhash,
+    "op5_rules": op5_rules,
     "op7_shards": op7_shards,
 }
 
