@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parzelle.llm import mixing, quality, sharding, simhash
+from parzelle.llm import decontamination, mixing, quality, sharding, simhash
 from parzelle.llm.common import table
 
 
@@ -24,6 +24,11 @@ def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, rules)
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"),
+                                 table(spark, sf_dir, "benchmark")).drop("digest")
+
+
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
@@ -38,6 +43,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op3_simhash": op3_simhash,
     "op5_rules": op5_rules,
+    "op6_decontaminate": op6_decontaminate,
     "op7_shards": op7_shards,
 }
 
@@ -73,6 +79,43 @@ from d join p on d.source is not distinct from p.source
   join k on k.source is not distinct from d.source and k.key = d.key
 """
 
+OP6 = r"""
+with tok as (
+  select 'd' as kind, doc_id as id, text,
+    list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') as t
+  from (select distinct doc_id, text from documents)
+  union all
+  select 'b', item_id, text,
+    list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '')
+  from (select distinct item_id, text from benchmark)),
+place as (select kind, id, text, t, unnest(range(0, len(t) - 5)) as i from tok),
+seed as (
+  select kind, id, text, i, 1 as mask, [t[i+1], t[i+2], t[i+3], t[i+4], t[i+6]] as s from place
+  union all
+  select kind, id, text, i, 0, [t[i+1], t[i+4], t[i+5], t[i+6], t[i+8]] from place
+  where i <= len(t) - 8),
+hit as (select distinct d.id as doc_id, d.text as doc, b.id as item_id, b.text as item, d.i - b.i as g
+  from seed d join seed b on d.kind = 'd' and b.kind = 'b' and d.mask = b.mask and d.s = b.s),
+pair as (select h.doc_id, h.doc, h.item_id, h.g, d.t as td, b.t as tb,
+    greatest(0, -h.g) as lo, least(len(b.t), len(d.t) - h.g) as hi, least(12, len(b.t)) as w
+  from hit h join tok d on d.kind = 'd' and d.id is not distinct from h.doc_id
+      and d.text is not distinct from h.doc
+    join tok b on b.kind = 'b' and b.id is not distinct from h.item_id
+      and b.text is not distinct from h.item),
+flag as (select *, hi - lo as n_overlap,
+    list_transform(range(lo, hi), lambda j: case when td[j + g + 1] = tb[j + 1] then 1 else 0 end) as f
+  from pair),
+score as (select *, list_sum(f)::int as n_equal, case when n_overlap >= w then
+    list_max(list_transform(range(0, n_overlap - w + 1), lambda j: list_sum(f[j + 1:j + w])))::int else 0 end
+    as best_window from flag),
+best as (select *, row_number() over (partition by doc_id, doc, item_id
+    order by best_window desc, n_equal desc, lo + g, n_overlap desc) as r
+  from score where best_window >= 0.8 * w or (n_overlap >= 12 and n_equal >= 0.8 * n_overlap))
+select doc_id, item_id, len(tb)::int as n_item, n_overlap::int as n_overlap, n_equal, best_window,
+  (lo + g)::int as doc_start from best where r = 1
+"""
+
 ORACLES = {
     "op1_mix": OP1,
+    "op6_decontaminate": OP6,
 }
