@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parzelle.llm import decontamination, mixing, quality, sharding, simhash
+from parzelle.llm import debruijn, decontamination, mixing, quality, sharding, simhash
 from parzelle.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_words(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_debruijn": op2_debruijn,
     "op3_simhash": op3_simhash,
     "op5_rules": op5_rules,
     "op6_decontaminate": op6_decontaminate,
