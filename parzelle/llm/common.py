@@ -35,3 +35,15 @@ def free_name(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, digest, text``: the id and a hash of the text tell documents apart."""
+    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
+
+
+def same_document(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on ``doc_id`` (null-safe) and ``digest``."""
+    r = right.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
+    return left.join(r, left["doc_id"].eqNullSafe(F.col("_id"))
+                     & (left["digest"] == F.col("_digest")), how).drop("_id", "_digest")

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parzelle.llm.common import keyed, same_document
 from parzelle.llm.windows import Sums, sliding_min, window_starts
 from parzelle.llm.words import SPACES, batches
 from parzelle.session import materialize
@@ -177,24 +178,13 @@ def _checker(rows: pa.RecordBatch, k: int):
     return lambda i: [(s["at"], s["n"]) for s in spans[i] or ()]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("digest"), "text")
-
-
-def _same(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-    """Join on the document: null-safe id and hash of the text."""
-    r = right.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
-    return left.join(r, left["doc_id"].eqNullSafe(F.col("_id"))
-                     & (left["digest"] == F.col("_digest")), how).drop("_id", "_digest")
-
-
 def repeated_spans(docs: DataFrame, k: int = K, anchor: int = ANCHOR) -> DataFrame:
     """``doc_id, digest, at, n, path``: n windows from word ``at`` that also start
     elsewhere. ``path`` is the hash of the stretch, null for single edges."""
-    keyed = _keyed(docs)
-    types = {f.name: f.dataType.simpleString() for f in keyed.schema}
+    texts = keyed(docs)
+    types = {f.name: f.dataType.simpleString() for f in texts.schema}
     who = f"doc_id {types['doc_id']}, digest long"
-    stretches = keyed.mapInArrow(
+    stretches = texts.mapInArrow(
         _stretches(k, anchor), f"{who}, at int, n int, anchor long, path long, loops boolean")
     anchors = materialize(
         stretches.groupBy("anchor").agg(F.count("*").alias("c"), F.min("path").alias("a"),
@@ -212,7 +202,7 @@ def repeated_spans(docs: DataFrame, k: int = K, anchor: int = ANCHOR) -> DataFra
     part = F.struct(F.col("one.at").alias("at"), "n", "anchor", (F.col("c") > 1).alias("repeated"))
     parts = paths.groupBy(F.col("one.doc_id").alias("doc_id"), F.col("one.digest").alias("digest")
                           ).agg(F.collect_list(part).alias("parts"))
-    edges = _same(keyed, parts, "inner").mapInArrow(
+    edges = same_document(texts, parts, "inner").mapInArrow(
         _edges(k), f"anchor long, edge long, {who}, at int, repeated boolean")
     twice = (edges.groupBy("anchor", "edge")
              .agg(F.count("*").alias("c"), F.max("repeated").alias("repeated"))
@@ -228,7 +218,7 @@ def remove_repeats(docs: DataFrame, k: int = K, anchor: int = ANCHOR) -> DataFra
     """``doc_id, n_words, n_removed, kept_sha256`` of every document."""
     spans = (repeated_spans(docs, k, anchor).groupBy("doc_id", "digest")
              .agg(F.collect_set(F.struct("at", "n", "path")).alias("spans")))
-    joined = _same(_keyed(docs), spans, "left")
+    joined = same_document(keyed(docs), spans, "left")
     kind = joined.schema["doc_id"].dataType.simpleString()
     return joined.mapInArrow(
         _removed(k), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parzelle.llm import debruijn, decontamination, mixing, quality, sharding, simhash
+from parzelle.llm import debruijn, decontamination, mixing, quality, sharding, simhash, suffixes
 from parzelle.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_debruijn": op2_debruijn,
@@ -50,6 +54,7 @@ QUERIES = {
     "op5_rules": op5_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_shards": op7_shards,
+    "op10_suffixes": op10_suffixes,
 }
 
 SIZES = r"""
