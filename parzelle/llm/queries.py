@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parzelle.llm import debruijn, decontamination, mixing, quality, sharding, simhash, suffixes
-from parzelle.llm.common import table
+from parzelle.llm import debruijn, decontamination, mixing, quality, sharding, simhash, suffixes, toxicity
+from parzelle.llm.common import held_out, table
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(*toxicity.examples(docs, table(spark, sf_dir, "labels")))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality.learn(quality.examples(docs, table(spark, sf_dir, "labels")))
@@ -51,6 +59,7 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op2_debruijn": op2_debruijn,
     "op3_simhash": op3_simhash,
+    "op4_toxicity": op4_toxicity,
     "op5_rules": op5_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_shards": op7_shards,
