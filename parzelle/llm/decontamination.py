@@ -75,26 +75,31 @@ def _if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _aligned(pairs: DataFrame) -> DataFrame:
-    """Compare ``_doc`` and ``_item`` along ``diagonal``: ``n_overlap, n_equal, best_window``."""
-    begin = F.greatest(F.lit(0), -F.col("diagonal"))
-    stop = F.least(F.size("_item"), F.size("_doc") - F.col("diagonal"))
-    equal = F.transform(F.sequence(F.col("_begin"), F.col("_stop") - 1), lambda j: F.when(
-        F.get("_doc", j + F.col("diagonal")) == F.get("_item", j), 1).otherwise(0))
+def _total(flags: Column) -> Column:
+    return F.aggregate(flags, F.lit(0), lambda n, x: n + x)
 
-    def total(flags: Column) -> Column:
-        return F.aggregate(flags, F.lit(0), lambda n, x: n + x)
 
-    def best(flags: Column) -> Column:
-        return F.when(F.size(flags) >= F.col("_w"), F.array_max(F.transform(
-            F.sequence(F.lit(0), F.size(flags) - F.col("_w")),
-            lambda j: total(F.slice(flags, j + 1, F.col("_w")))))).otherwise(0)
+def _compared(doc: Column, item: Column, diagonal: Column, window: Column) -> Column:
+    """How two token lists agree along a diagonal: a struct of ``n_overlap, n_equal,
+    best_window, doc_start``.
 
-    return (pairs.withColumns({"_begin": begin, "_stop": stop})
-            .withColumn("_flags", equal)
-            .withColumns({"n_overlap": F.col("_stop") - F.col("_begin"),
-                          "n_equal": total(F.col("_flags")), "best_window": best(F.col("_flags")),
-                          "doc_start": F.col("_begin") + F.col("diagonal")}))
+    The lists and the list of flags are bound, so that each is worked out once.
+    """
+    begin = F.greatest(F.lit(0), -diagonal)
+
+    def flags(d: Column) -> Column:
+        stop = F.least(F.size(item), F.size(d) - diagonal)
+        return F.transform(F.sequence(begin, stop - 1), lambda j: F.when(
+            F.get(d, j + diagonal) == F.get(item, j), 1).otherwise(0))
+
+    def best(f: Column) -> Column:
+        return F.when(F.size(f) >= window, F.array_max(F.transform(
+            F.sequence(F.lit(0), F.size(f) - window),
+            lambda j: _total(F.slice(f, j + 1, window))))).otherwise(0)
+
+    return _let(_let(doc, flags), lambda f: F.struct(
+        F.size(f).alias("n_overlap"), _total(f).alias("n_equal"), best(f).alias("best_window"),
+        (begin + diagonal).alias("doc_start")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
@@ -125,15 +130,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                     & (F.col("d.digest") == F.col("h.digest")))
              .join(i, F.col("h.item_id").eqNullSafe(F.col("i.item_id"))
                    & (F.col("h.item_digest") == F.col("i.item_digest")))
-             .select("h.doc_id", "h.digest", "h.item_id", "diagonal",
-                     tokens(F.col("d.text")).alias("_doc"), F.col("i._tokens").alias("_item"),
-                     F.least(F.lit(window), F.size("i._tokens")).alias("_w")))
-    near = ((F.col("best_window") >= window_share * F.col("_w"))
+             .select("h.doc_id", "h.digest", "h.item_id", F.size("i._tokens").alias("n_item"),
+                     F.least(F.lit(window), F.size("i._tokens")).alias("w"),
+                     _compared(tokens(F.col("d.text")), F.col("i._tokens"), F.col("diagonal"),
+                               F.least(F.lit(window), F.size("i._tokens"))).alias("v")))
+    # written, or the filter below would work the comparison out again and again
+    compared = materialize(pairs.select("doc_id", "digest", "item_id", "n_item", "w", "v.*"),
+                           "compared")
+    near = ((F.col("best_window") >= window_share * F.col("w"))
             | ((F.col("n_overlap") >= window)
                & (F.col("n_equal") >= overlap_share * F.col("n_overlap"))))
     value = F.struct("best_window", "n_equal", (-F.col("doc_start")).alias("before"),
-                     "n_overlap", F.size("_item").alias("n_item"))
-    return (_aligned(pairs).where(near).groupBy("doc_id", "digest", "item_id")
+                     "n_overlap", "n_item")
+    return (compared.where(near).groupBy("doc_id", "digest", "item_id")
             .agg(F.max(value).alias("v"))
             .select("doc_id", "digest", "item_id", "v.n_item", "v.n_overlap", "v.n_equal",
                     "v.best_window", (-F.col("v.before")).alias("doc_start")))
