@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parzelle.llm import debruijn, decontamination, mixing, quality, sharding, simhash, suffixes, toxicity
+from parzelle.llm import debruijn, decontamination, mixing, quality, sharding, simhash, suffixes, tokencounts, toxicity
 from parzelle.llm.common import held_out, table
 
 
@@ -51,6 +51,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.document_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_rules": op5_rules,
     "op6_decontaminate": op6_decontaminate,
     "op7_shards": op7_shards,
+    "op8_token_counts": op8_token_counts,
     "op10_suffixes": op10_suffixes,
 }
 
