@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parzelle.llm import debruijn, decontamination, mixing, quality, sharding, simhash, suffixes, tokencounts, toxicity
+import corpus_pipeline
+from parzelle.llm import (debruijn, decontamination, htmltext, mixing, quality, sharding, simhash,
+                          suffixes, tokencounts, toxicity)
 from parzelle.llm.common import held_out, table
 
 
@@ -55,6 +57,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencounts.document_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.learn(htmltext.examples(pages)))
+
+
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -68,7 +75,9 @@ QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_shards": op7_shards,
     "op8_token_counts": op8_token_counts,
+    "op9_main_text": op9_main_text,
     "op10_suffixes": op10_suffixes,
+    "pipeline": corpus_pipeline.run,
 }
 
 SIZES = r"""
@@ -143,3 +152,5 @@ ORACLES = {
     "op1_mix": OP1,
     "op6_decontaminate": OP6,
 }
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
