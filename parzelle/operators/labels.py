@@ -2,28 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parzelle.functions import geometry as G
+from parzelle.operators.predicates import has_value, in_models, in_theme
 from parzelle.operators.styles import of_catalog
 
-# Label geometry. Points to map units, the measured factor between
-# font size and letter height, metres per inch, default family.
+# Points to map units, the measured factor between font size and letter
+# height, metres per inch, default family.
 POINT_UNIT, HEIGHT_FACTOR, INCH = 0.25, 1.3225, 0.0254
 DEFAULT_FAMILY = "Arial"
 
+# How the data says where a text stands, and the words for it on the screen
+# (alignment, and where the text is placed) and on the server; the last row is any other.
+ACROSS = (("linksbündig", "Left", "L"), ("rechtsbündig", "Right", "R"), (None, "Center", "C"))
+UPRIGHT = (("oben", "Cap", "AL", "L"), ("Basis", "Base", "BL", "U"), (None, "Half", "OL", "C"))
+# The words for font styles, and the server's ending for each style as a whole.
+SLANTED, HEAVY = "Kursiv", "Fett"
+STYLE_ENDINGS = {SLANTED: "italic", HEAVY: "bold", f"{HEAVY}, {SLANTED}": "bold-italic"}
+
+
+def _words(value: Column, table, names: tuple[str, ...]) -> Column:
+    """The row of a word table for a value, as a struct; its last row where none fits."""
+    rows = {row[0]: F.struct(*(F.lit(w).alias(n) for w, n in zip(row[1:], names)))
+            for row in table}
+    known = F.create_map(*(c for word, row in rows.items() if word is not None
+                           for c in (F.lit(word), row)))
+    return F.coalesce(F.try_element_at(known, value), rows[None])
+
+
+def _height(scale: Column) -> Column:
+    """Height of a letter in map units."""
+    return F.col("grad_pt") * scale * POINT_UNIT
+
 
 def _with_font(labels: DataFrame, fonts: DataFrame, colors: DataFrame, catalog_id: int,
                how: str) -> DataFrame:
-    font = of_catalog(fonts, catalog_id).select(
-        "signaturnummer", "farbe", "art", "stil", "effekt", "grad_pt", "sperrung_pt",
-        F.col("horizontaleausrichtung").alias("font_halign"),
-        F.col("vertikaleausrichtung").alias("font_valign"))
-    return (labels.join(font, "signaturnummer", how)
-            .join(colors.select(F.col("id").alias("farbe"), "umn"), "farbe", how)
-            .withColumn("ha", F.coalesce("horizontaleausrichtung", "font_halign"))
-            .withColumn("va", F.coalesce("vertikaleausrichtung", "font_valign")))
+    """Labels with their font and colour, and how they stand (``across``, ``upright``)."""
+    own, of_font = ("horizontaleausrichtung", "vertikaleausrichtung"), ("__across", "__upright")
+    font = (of_catalog(fonts, catalog_id).withColumnsRenamed(dict(zip(own, of_font)))
+            .select("signaturnummer", "farbe", "art", "stil", "effekt", "grad_pt", "sperrung_pt",
+                    *of_font))
+    tint = colors.select(F.col("id").alias("farbe"), "umn")
+    rows = labels.join(font, "signaturnummer", how).join(tint, "farbe", how)
+    across, upright = (F.coalesce(*pair) for pair in zip(own, of_font))
+    return rows.withColumns({
+        "across": _words(across, ACROSS, ("screen", "server")),
+        "upright": _words(upright, UPRIGHT, ("screen", "place", "server"))})
 
 
 def screen_labels(labels: DataFrame, fonts: DataFrame, colors: DataFrame, keep: list[str],
@@ -33,44 +61,55 @@ def screen_labels(labels: DataFrame, fonts: DataFrame, colors: DataFrame, keep:
     A negative font size is an absolute size in points and is not forced to show.
     """
     rows = _with_font(labels, fonts, colors, catalog_id, "left")
-    return rows.selectExpr(
-        *keep,
-        f"case when grad_pt < 0 then abs(grad_pt) else {POINT_UNIT}D * coalesce(skalierung, 1)"
-        f" * grad_pt * {HEIGHT_FACTOR}D end as tsize",
-        "case when grad_pt < 0 then 'Point' else 'MapUnit' end as tunit",
-        "case ha when 'linksbündig' then 'Left' when 'rechtsbündig' then 'Right'"
-        " else 'Center' end as halign",
-        "case va when 'oben' then 'Cap' when 'Basis' then 'Base' else 'Half' end as valign",
-        f"coalesce(art, '{DEFAULT_FAMILY}') as family",
-        "case when stil like '%Kursiv%' then 1 else 0 end as italic",
-        "case when stil like '%Fett%' then 1 else 0 end as bold",
-        f"coalesce(sperrung_pt * {POINT_UNIT}D, 0D) as spacing",
-        "replace(umn, ' ', ',') as tcolor",
-        "case when grad_pt < 0 then 0 else 1 end as tshow",
-        "case va when 'oben' then 'AL' when 'Basis' then 'BL' else 'OL' end as placement",
-        "0 - drehwinkel_grad as rotation")
+    absolute = F.coalesce(F.col("grad_pt") < 0, F.lit(False))
+    in_map = _height(F.coalesce("skalierung", F.lit(1))) * HEIGHT_FACTOR
+
+    def says(word: str) -> Column:
+        return F.coalesce(F.contains("stil", F.lit(word)), F.lit(False)).cast("int")
+
+    size = F.when(absolute, -F.col("grad_pt")).otherwise(in_map)
+    return rows.select(
+        *keep, size.alias("tsize"), F.when(absolute, "Point").otherwise("MapUnit").alias("tunit"),
+        F.when(absolute, 0).otherwise(1).alias("tshow"),
+        F.col("across.screen").alias("halign"), F.col("upright.screen").alias("valign"),
+        F.col("upright.place").alias("placement"), (0 - F.col("drehwinkel_grad")).alias("rotation"),
+        F.coalesce("art", F.lit(DEFAULT_FAMILY)).alias("family"),
+        says(SLANTED).alias("italic"), says(HEAVY).alias("bold"),
+        F.coalesce(F.col("sperrung_pt") * POINT_UNIT, F.lit(0.0)).alias("spacing"),
+        F.translate("umn", " ", ",").alias("tcolor"))
 
 
 def server_labels(labels: DataFrame, fonts: DataFrame, colors: DataFrame, keep: list[str],
                   catalog_id: int = -1, line: str | None = None) -> DataFrame:
     """Label columns for a map server; labels without font or colour drop out.
 
-    With ``line`` (a column of one line's vertices) the line is moved by half the
-    text height and returned as ``geom``.
+    The font's name is its family and what is special about it, joined by hyphens. With
+    ``line`` (a column of one line's vertices) the line is moved by half the text
+    height and returned as ``geom``.
     """
     rows = _with_font(labels, fonts, colors, catalog_id, "inner")
-    extra = [f"{G.offset_line(line, '(0.125D * skalierung * grad_pt)')} as geom"] if line else []
-    return rows.selectExpr(
-        *keep, "umn as color_umn",
-        "concat(lower(art), coalesce('-' || effekt, ''),"
-        " case stil when 'Kursiv' then '-italic' when 'Fett' then '-bold'"
-        " when 'Fett, Kursiv' then '-bold-italic' else '' end,"
-        " case when coalesce(fontsperrung, 0) = 0 then ''"
-        f" else '-' || cast(bround(fontsperrung / {POINT_UNIT}D, 0) as int) end) as font_umn",
-        f"{POINT_UNIT}D / {INCH}D * skalierung * grad_pt as size_umn",
-        "case va when 'oben' then 'L' when 'Basis' then 'U' else 'C' end ||"
-        " case ha when 'linksbündig' then 'L' when 'rechtsbündig' then 'R' else 'C' end"
-        " as position_umn", "drehwinkel_grad", *extra)
+    endings = F.create_map(*(F.lit(x) for pair in STYLE_ENDINGS.items() for x in pair))
+    steps = F.bround(F.col("fontsperrung") / POINT_UNIT, 0).cast("int").cast("string")
+    special = F.array(F.col("effekt"), F.try_element_at(endings, F.col("stil")),
+                      F.when(F.col("fontsperrung") != 0, steps))
+    font = F.concat(F.lower("art"), F.array_join(
+        F.transform(F.array_compact(special), lambda x: F.concat(F.lit("-"), x)), ""))
+    half = "(0.5D * grad_pt * skalierung * " + f"{POINT_UNIT}D)"
+    moved = [F.expr(G.offset_line(line, half)).alias("geom")] if line else []
+    return rows.select(
+        *keep, F.col("umn").alias("color_umn"), font.alias("font_umn"),
+        (_height(F.col("skalierung")) / INCH).alias("size_umn"),
+        F.concat("upright.server", "across.server").alias("position_umn"), "drehwinkel_grad",
+        *moved)
+
+
+def placed_labels(labels: DataFrame, theme: str, models: Iterable[str], geometry: str) -> DataFrame:
+    """The labels that a map layer draws: those of a theme and its models that have the
+    geometry (``point`` or ``line``). Points come with ``x`` and ``y``."""
+    rows = has_value(in_models(in_theme(labels, theme), models), geometry)
+    if geometry != "point":
+        return rows
+    return rows.withColumns({c: F.expr(f"{at('point')}") for c, at in (("x", G.x), ("y", G.y))})
 
 
 def label_hits(labels: DataFrame) -> DataFrame:

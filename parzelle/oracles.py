@@ -456,37 +456,42 @@ oracle("draw_order", """
         theme, sublayer, kind) - 1 as int) as draw_index
     from (select *, case when kind in ('area', 'outline') then 'polygon' when kind = 'line'
       then 'line' else 'point' end as type from manifest)""", *STYLE_VIEWS, more=MANIFEST_MORE)
-FONTED = """
-    from label_v l {how} join font_v s on s.signaturnummer = l.signaturnummer {katalog}
-    {how} join color_v f on f.id = s.farbe"""
+# the words that alignments become, as tables
+WORD_TABLES = ("""across(word, screen, server) as (
+    values ('linksbündig', 'Left', 'L'), ('rechtsbündig', 'Right', 'R'))""", """
+upright(word, screen, place, server) as (
+    values ('oben', 'Cap', 'AL', 'L'), ('Basis', 'Base', 'BL', 'U'))""", """
+ending(style, word) as (
+    values ('Kursiv', '-italic'), ('Fett', '-bold'), ('Fett, Kursiv', '-bold-italic'))""", """
+fonted as (select l.doc_id, l.skalierung as scale, l.fontsperrung as gap,
+    l.drehwinkel_grad as angle, s.*, f.umn,
+    h.screen as h_screen, h.server as h_server, v.screen as v_screen, v.place, v.server as v_server,
+    s.farbe is not null as has_font, f.id is not null as has_color, e.word as ending
+  from label_v l left join (select * from font_v where {fonts}) s using (signaturnummer)
+  left join color_v f on f.id = s.farbe left join ending e on e.style = s.stil
+  left join across h on h.word = ifnull(l.horizontaleausrichtung, s.horizontaleausrichtung)
+  left join upright v on v.word = ifnull(l.vertikaleausrichtung, s.vertikaleausrichtung))""")
 oracle("label_style_screen", """
-    select doc_id, round(case when grad_pt < 0 then -grad_pt
-        else 0.25 * coalesce(skalierung, 1) * grad_pt * 1.3225 end, 6) as tsize,
-      case when grad_pt < 0 then 'Point' else 'MapUnit' end as tunit,
-      case coalesce(l.horizontaleausrichtung, s.horizontaleausrichtung)
-        when 'linksbündig' then 'Left' when 'rechtsbündig' then 'Right' else 'Center' end
-        as halign,
-      case coalesce(l.vertikaleausrichtung, s.vertikaleausrichtung)
-        when 'oben' then 'Cap' when 'Basis' then 'Base' else 'Half' end as valign,
-      coalesce(art, 'Arial') as family, case when stil like '%Kursiv%' then 1 else 0 end as italic,
-      case when stil like '%Fett%' then 1 else 0 end as bold,
-      round(coalesce(sperrung_pt * 25e-2, 0e0), 6) as spacing, replace(umn, ' ', ',') as tcolor,
-      case when grad_pt < 0 then 0 else 1 end as tshow,
-      case coalesce(l.vertikaleausrichtung, s.vertikaleausrichtung)
-        when 'oben' then 'AL' when 'Basis' then 'BL' else 'OL' end as placement,
-      0 - drehwinkel_grad as rotation""" + FONTED.format(how="left", katalog="and s.katalog = 1"),
-       "label", "font", "color")
+    select doc_id, tsize, tunit, tshow, halign, valign, placement, rotation, family, italic, bold,
+      spacing, tcolor
+    from (select doc_id, grad_pt as pt, ifnull(pt < 0, false) as absolute,
+        round(if(absolute, 0 - pt, pt * ifnull(scale, 1) * 1.3225 / 4), 6) as tsize,
+        if(absolute, 'Point', 'MapUnit') as tunit, if(absolute, 0, 1) as tshow,
+        ifnull(h_screen, 'Center') as halign, ifnull(v_screen, 'Half') as valign,
+        ifnull(place, 'OL') as placement, 0 - angle as rotation,
+        ifnull(art, 'Arial') as family, ifnull(contains(stil, 'Kursiv'), false)::int as italic,
+        ifnull(contains(stil, 'Fett'), false)::int as bold,
+        round(ifnull(sperrung_pt / 4e0, 0e0), 6) as spacing,
+        array_to_string(string_split(umn, ' '), ',') as tcolor
+      from fonted)""", "label", "font", "color",
+       more=tuple(t.replace("{fonts}", "katalog = 1") for t in WORD_TABLES))
 oracle("label_style_server", """
-    select doc_id, umn as color_umn, lower(art) || coalesce('-' || effekt, '') ||
-      case stil when 'Kursiv' then '-italic' when 'Fett' then '-bold'
-        when 'Fett, Kursiv' then '-bold-italic' else '' end ||
-      case when fontsperrung = 0 then '' else '-' || cast(round(fontsperrung / 0.25) as int) end
-      as font_umn, round(0.25 / 0.0254 * skalierung * grad_pt, 6) as size_umn,
-      case coalesce(l.vertikaleausrichtung, s.vertikaleausrichtung)
-        when 'oben' then 'L' when 'Basis' then 'U' else 'C' end ||
-      case coalesce(l.horizontaleausrichtung, s.horizontaleausrichtung)
-        when 'linksbündig' then 'L' when 'rechtsbündig' then 'R' else 'C' end as position_umn,
-      drehwinkel_grad""" + FONTED.format(how="", katalog=""), "label", "font", "color")
+    select doc_id, umn as color_umn, round(pt * scale / 4 / 0.0254, 6) as size_umn,
+      lower(art) || ifnull('-' || effekt, '') || ifnull(ending, '') ||
+        if(gap > 0, printf('-%d', (round(gap * 4))::int), '') as font_umn,
+      ifnull(v_server, 'C') || ifnull(h_server, 'C') as position_umn, angle as drehwinkel_grad
+    from (select *, grad_pt as pt from fonted) where has_font and has_color""",
+       "label", "font", "color", more=tuple(t.replace("{fonts}", "true") for t in WORD_TABLES))
 
 # -- geometry -----------------------------------------------------------------
 
