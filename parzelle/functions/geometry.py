@@ -20,9 +20,9 @@ from __future__ import annotations
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
-# Two polygons count as overlapping when the shared area exceeds this share of the
-# smaller one; below it the shared area is rounding noise of touching boundaries.
-OVERLAP_EPSILON = 1e-6
+# Rounding of one operation on doubles, and how many of them a summand of the shared
+# area goes through at most.
+ROUNDING, STEPS = 2.0**-53, 32
 
 
 def let(name: str, value: str, body: str) -> str:
@@ -188,18 +188,23 @@ def overlap_area(a: str, b: str) -> str:
     return let("box", frame, f"if(box.x1 > box.x0, {summed}, 0D)")
 
 
-def interiors_overlap(shared: str, area_a: str, area_b: str) -> str:
-    """Whether a shared area is a real overlap and not a touching boundary."""
-    return f"({shared} > least({area_a}, {area_b}) * {OVERLAP_EPSILON!r}D)"
+def interiors_overlap(shared: str, size: str, terms: str) -> str:
+    """Whether a shared area is a real overlap and not a touching boundary.
+
+    ``size`` is the sum of the summands' sizes before they cancel out and ``terms`` their
+    number: what rounding can make of an area of zero is bounded by the two, whatever
+    the size of the polygons. For parcels it is some hundredths of a square millimetre.
+    """
+    return f"({shared} > {size} * ({STEPS} + {terms}) * {ROUNDING!r}D)"
 
 
 # -- lines ------------------------------------------------------------------
 
-def offset_line(line: str, distance: str) -> str:
+def offset_line(line: str, distance: str, mitre: float = 4.0) -> str:
     """Parallel line at ``distance`` to the left, corners mitred.
 
-    Each vertex moves along the bisector of its neighbouring edges. The mitre is
-    limited to four times the distance, so a spike turns into a bevel-like corner.
+    Each vertex moves along the bisector of its neighbouring edges, by at most
+    ``mitre`` times the distance, so a spike turns into a bevel-like corner.
     """
     def normal(p: str, q: str) -> str:
         dx, dy = f"({q}.x - {p}.x)", f"({q}.y - {p}.y)"
@@ -212,7 +217,8 @@ def offset_line(line: str, distance: str) -> str:
     out = normal("p", f"{line}[least(i + 1, {last})]")
     normals = f"named_struct('a', if(i = 0, {out}, {into}), 'b', if(i = {last}, {into}, {out}))"
     # |a + b|^2 / 2 is one plus the cosine of the turn: the inverse mitre factor
-    spread = ("greatest((power(n.a.x + n.b.x, 2) + power(n.a.y + n.b.y, 2)) / 2D, 0.25D)")
+    spread = ("greatest((power(n.a.x + n.b.x, 2) + power(n.a.y + n.b.y, 2)) / 2D,"
+              f" {1 / mitre!r}D)")
     moved = (f"named_struct('x', p.x + {distance} * (n.a.x + n.b.x) / {spread},"
              f" 'y', p.y + {distance} * (n.a.y + n.b.y) / {spread})")
     return f"transform({line}, (p, i) -> {let('n', normals, moved)})"

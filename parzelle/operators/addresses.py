@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parzelle.functions import text
-from parzelle.operators.grouping import nest, with_group_count
+from parzelle.operators.grouping import with_group_count
 from parzelle.operators.predicates import current, current_book, starts_with_ci
 
 # Columns of the street key shared by catalogue and address tables.
@@ -86,17 +86,16 @@ def street_directory(catalog: DataFrame, numbered: DataFrame, plain: DataFrame,
 
 
 def street_key_lists(catalog: DataFrame, numbered: DataFrame, plain: DataFrame, town: DataFrame,
-                     prefix: str | None = None, max_keys: int = 10_000) -> DataFrame:
+                     prefix: str | None = None) -> DataFrame:
     """``(street, keys)`` with the sorted keys of each street joined by ``#``.
 
-    A street with more than ``max_keys`` keys is given as one row per key instead.
+    The list is bounded by the catalogue, in which a street's name occurs a few thousand
+    times at most (once a town), not by the addresses.
     """
     rows = _named_keys(catalog, numbered, plain, town, prefix)
-    group = ["name", "suffix", "town", "street"]
-    nested, rest = nest(rows, group, ["key"], [], "items", max_keys)
-    joined = nested.selectExpr("street", "array_join(transform(items, i -> i.key), '#') as keys")
-    free = free_streets(numbered, plain, prefix).withColumn("keys", F.lit(""))
-    return joined.union(rest.select("street", "key")).union(free)
+    keys = F.array_join(F.array_sort(F.collect_set("key")), "#").alias("keys")
+    joined = rows.groupBy("name", "suffix", "town", "street").agg(keys).select("street", "keys")
+    return joined.union(free_streets(numbered, plain, prefix).withColumn("keys", F.lit("")))
 
 
 def house_number_choices(numbered: DataFrame, plain: DataFrame, by: list[str]) -> DataFrame:
@@ -120,6 +119,19 @@ def house_number_choices(numbered: DataFrame, plain: DataFrame, by: list[str]) -
     return listed.union(everything)
 
 
+def house_numbers_by_key(catalog: DataFrame, numbered: DataFrame, plain: DataFrame) -> DataFrame:
+    """The choices of every street of the current catalogue, by its ``schluesselgesamt``.
+
+    Addresses count for the catalogue street with all five parts of their key; ended
+    streets and addresses of no catalogue street have no choices.
+    """
+    streets = current(catalog).select(*STREET_KEY, "schluesselgesamt").distinct()
+
+    def on_street(addresses: DataFrame) -> DataFrame:
+        return addresses.join(streets, STREET_KEY, "inner")
+    return house_number_choices(on_street(numbered), on_street(plain), ["schluesselgesamt"])
+
+
 def order_choices(choices: DataFrame, by: list[str]) -> DataFrame:
     """Numbers by their digits (those without digits last), then the special ones."""
     return choices.orderBy(*by, "rank", F.asc_nulls_last("num_key"), "choice")

@@ -23,8 +23,11 @@ def with_district_name(flurst: DataFrame, gema_shl: DataFrame) -> DataFrame:
 
 def used_districts(gema_shl: DataFrame, gem_shl: DataFrame, flurst: DataFrame,
                    **parts: str | None) -> DataFrame:
-    """Districts that hold at least one parcel matching the chosen parts."""
-    matching = facet_filter(flurst, **parts).select("gemashl")
+    """Districts that hold at least one parcel matching the chosen parts.
+
+    The parcels are reduced to their districts first, which combines on the map side.
+    """
+    matching = facet_filter(flurst, **parts).select("gemashl").distinct()
     return (district_names(gema_shl, gem_shl)
             .join(matching, "gemashl", "left_semi").distinct())
 

@@ -3,37 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parzelle.session import materialize
 
+CHUNK = 1_000
 
-def nest(rows: DataFrame, keys: list[str], order: list[str], values: list[str], name: str,
-         max_items: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Fold rows into one sorted array of structs per key.
-
-    Returns ``(nested, rest)``. Keys with at most ``max_items`` rows are folded; the
-    rows of any larger key stay as they are in ``rest``, so that nothing is lost and
-    no group grows beyond the bound. A counting pass, combined on the map side, finds
-    the larger keys beforehand; as a rule there are none and the rows are grouped
-    without any join.
+
+def with_position(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Add the place of every row among those of its keys, from 0.
+
+    The rows are dealt by ranges of keys and order, so a key may fill many tasks; a place
+    is the rows of the key in the tasks before plus the place in the own one. The dealt
+    rows are written at once (a job runs), as the places depend on how they were dealt.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    large = materialize(sizes.filter(F.col("__n") > max_items).drop("__n"), "large-keys")
-    item = F.struct(*order, *[v for v in values if v not in order])
-    folded = F.array_sort(F.collect_list(item)).alias(name)
-    if large.isEmpty():
-        return rows.groupBy(*keys).agg(folded), rows.filter(F.lit(False))
-    small_rows = _null_safe(rows, large, keys, "left_anti")
-    return small_rows.groupBy(*keys).agg(folded), _null_safe(rows, large, keys, "left_semi")
-
-
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
-    other = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys])
-    condition = F.lit(True)
+    part = "__part"
+    dealt = materialize(rows.repartitionByRange(*keys, *order)
+                        .withColumn(part, F.spark_partition_id()), "dealt")
+    before = (W.partitionBy(*keys).orderBy(part).rowsBetween(W.unboundedPreceding, W.currentRow))
+    sizes = (dealt.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("__n"))
+             .withColumn("__before", F.sum("__n").over(before) - F.col("__n")).drop("__n"))
+    sizes = sizes.withColumnsRenamed({c: f"__s_{c}" for c in (*keys, part)})
+    same = dealt[part] == F.col(f"__s_{part}")
     for k in keys:
-        condition = condition & left[k].eqNullSafe(other[f"__r_{k}"])
-    return left.join(other, condition, how)
+        same &= dealt[k].eqNullSafe(F.col(f"__s_{k}"))
+    own = F.row_number().over(W.partitionBy(*keys, part).orderBy(*order)) - 1
+    return (dealt.withColumn("__own", own).join(sizes, same)
+            .withColumn(name, F.col("__before") + F.col("__own")).select(*rows.columns, name))
+
+
+def nest(rows: DataFrame, keys: list[str], order: list[str], values: list[str], name: str,
+         chunk: int = CHUNK) -> DataFrame:
+    """Fold rows into sorted arrays of structs: ``(*keys, chunk, name)``.
+
+    Every key has one row for each ``chunk`` of its rows, numbered from 0 in their order,
+    so the result has the same form for small and for very large keys and no array
+    outgrows the bound.
+    """
+    item = F.struct("__position", *order, *[v for v in values if v not in order])
+    placed = with_position(rows, keys, order, "__position")
+    return (placed.groupBy(*keys, F.floor(F.col("__position") / chunk).cast("int").alias("chunk"))
+            .agg(F.array_sort(F.collect_list(item)).alias(name)))
 
 
 def with_group_count(rows: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parzelle.operators.grouping import nest
+from parzelle.operators.grouping import CHUNK, nest
 from parzelle.operators.predicates import current, current_book, has_all_terms
 
 # Fixed value: kind of office that keeps the land register.
@@ -18,12 +18,12 @@ def parcels_by_owner(parcels: DataFrame, fs: DataFrame, eignerart: DataFrame, ei
 
     The chain owner, folio, parcel number, parcel id is walked with existence joins
     from the selective end, so neither a folio with many owners nor an owner with
-    many folios multiplies rows.
+    many folios multiplies rows; each step is reduced to its distinct keys.
     """
-    folios = eigner.filter(has_all_terms(F.col("name1"), terms)).select("bestdnr")
-    flsnr = eignerart.join(folios, "bestdnr", "left_semi").select("flsnr")
+    folios = eigner.filter(has_all_terms(F.col("name1"), terms)).select("bestdnr").distinct()
+    flsnr = eignerart.join(folios, "bestdnr", "left_semi").select("flsnr").distinct()
     ids = fs.join(flsnr, fs["alb_key"] == flsnr["flsnr"], "left_semi") \
-        .select(F.col("fs_obj").alias("gml_id"))
+        .select(F.col("fs_obj").alias("gml_id")).distinct()
     return current(parcels).join(ids, "gml_id", "left_semi")
 
 
@@ -69,9 +69,9 @@ def folio_owners(eigner: DataFrame) -> DataFrame:
         "owner_key", F.coalesce(F.col("namensnr").cast("string"), F.lit("0")))
 
 
-def nested_owners(eigner: DataFrame, max_owners: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """One row per folio with its ordered array ``owners``, and the rows of any folio
-    with more than ``max_owners`` owners, which stay one row per owner."""
+def nested_owners(eigner: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``(bestdnr, chunk, owners)``: the ordered owners of every folio, a row for each
+    ``chunk`` of them."""
     rows = folio_owners(eigner)
     values = [c for c in rows.columns if c not in ("bestdnr", "owner_key", "ff_stand")]
-    return nest(rows, ["bestdnr"], ["owner_key"], values, "owners", max_owners)
+    return nest(rows, ["bestdnr"], ["owner_key", *values], [], "owners", chunk)

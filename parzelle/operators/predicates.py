@@ -104,7 +104,9 @@ def parcels_by_parts(parcels: DataFrame, fs: DataFrame, district: str | None = N
     for part, place in zip(given[led:], places[led:]):
         if part is not None:
             keys = keys.filter(place == part)
-    ids = keys.select(F.col("fs_obj").alias("gml_id"))
+    # whatever is left open, a composed number has all four places
+    keys = keys.filter(F.col("alb_key").rlike(numbers.COMPOSED))
+    ids = keys.select(F.col("fs_obj").alias("gml_id")).distinct()
     return current(parcels).join(ids, "gml_id", "left_semi")
 
 

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from parzelle.functions import numbers
 from parzelle.operators.predicates import current
 
-# Id lists up to this length go into the query text; longer ones become a table.
-INLINE_IDS = 200
-
-
 def select_parcels(parcels: DataFrame, ids: Iterable[str] | None = None,
                    where: str | None = None, subquery: DataFrame | None = None) -> DataFrame:
     """Current parcels by id list, by SQL predicate or by a DataFrame of ids.
@@ -27,11 +23,10 @@ def select_parcels(parcels: DataFrame, ids: Iterable[str] | None = None,
     if where is not None:
         return df.filter(F.expr(where))
     if ids is not None:
-        wanted = list(dict.fromkeys(ids))
-        if len(wanted) <= INLINE_IDS:
-            return df.filter(F.col("gml_id").isin(wanted))
-        subquery = df.sparkSession.createDataFrame([(i,) for i in wanted], "gml_id string")
-    return df.join(subquery.select(F.col(subquery.columns[0]).alias("gml_id")),
+        subquery = df.sparkSession.createDataFrame(
+            [(i,) for i in dict.fromkeys(ids)], "gml_id string")
+    # distinct combines on the map side, so an id named very often is one row of the join
+    return df.join(subquery.select(F.col(subquery.columns[0]).alias("gml_id")).distinct(),
                    "gml_id", "left_semi")
 
 
@@ -46,7 +41,7 @@ def selection_add(kept: DataFrame, hits: DataFrame) -> DataFrame:
 
 def selection_remove(kept: DataFrame, hits: DataFrame) -> DataFrame:
     """Ids kept so far without the hits."""
-    return _ids(kept).distinct().join(_ids(hits), "gml_id", "left_anti")
+    return _ids(kept).distinct().join(_ids(hits).distinct(), "gml_id", "left_anti")
 
 
 def selection_replace(kept: DataFrame, hits: DataFrame) -> DataFrame:
@@ -89,7 +84,7 @@ def extent_of(parcels: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     Ended parcels count too, as the extent is that of the selection as kept.
     """
     if ids is not None:
-        parcels = parcels.join(_ids(ids), "gml_id", "left_semi")
+        parcels = parcels.join(_ids(ids).distinct(), "gml_id", "left_semi")
     return parcels.agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"),
                        F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"),
                        F.count(F.lit(1)).alias("n"))

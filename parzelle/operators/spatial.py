@@ -21,9 +21,8 @@ boxes' intersection, so no ``distinct`` is needed.
 *Hot cells.* A cell whose features make more than ``SLICE_WORK`` pairs is cut into
 slices of about that many: a hash of the feature id picks the slice row of a left and
 the slice column of a right feature, and each is copied along the other axis. The
-counts come from a pass over the box columns alone. The ``MAX_HOT`` heaviest cells
-are sliced, which bounds the broadcast table of slice counts; any further cell is
-joined whole, with the same result.
+counts come from a pass over the box columns alone and are joined back on the cell, so
+every heavy cell is cut, however many there are.
 """
 
 from __future__ import annotations
@@ -39,9 +38,6 @@ BASE_CELL = 16.0
 FACTOR = 4
 TOP_LEVEL = 15
 SLICE_WORK = 20_000_000
-MAX_HOT = 10_000
-# Below this many features on both sides no cell is worth a counting pass.
-SMALL_SIDE = 100_000
 
 _KEY = ["__role", "__level", "__cx", "__cy"]
 _BOX = ["minx", "miny", "maxx", "maxy"]
@@ -103,11 +99,10 @@ def _file_in_cells(df: DataFrame, other: Profile, left: bool) -> DataFrame:
 
 
 def _hot_cells(left: DataFrame, right: DataFrame, profiles: tuple[Profile, Profile]) -> DataFrame:
-    """The heaviest cells with the number of slices of each side.
+    """The heavy cells with the number of slices of each side.
 
     Counted on the box columns alone, so the scan behind it reads neither geometry
-    nor attributes; the counts combine on the map side. The order is total, so that
-    the same cells are found whenever this is evaluated.
+    nor attributes; the counts combine on the map side.
     """
     counted = (_file_in_cells(left.select(*_BOX), profiles[1], True)
                .selectExpr(*_KEY, "1 as l", "0 as r")
@@ -115,8 +110,7 @@ def _hot_cells(left: DataFrame, right: DataFrame, profiles: tuple[Profile, Profi
                       .selectExpr(*_KEY, "0 as l", "1 as r"))
                .groupBy(*_KEY).agg(F.sum("l").alias("l"), F.sum("r").alias("r")))
     heavy = (counted.withColumn("work", F.expr("cast(l as double) * r"))
-             .filter(F.col("work") > SLICE_WORK)
-             .orderBy(F.desc("work"), *_KEY).limit(MAX_HOT))
+             .filter(F.col("work") > SLICE_WORK))
     # slices in all, then shared out so that both sides' slices have a like size
     total = f"ceil(work / {SLICE_WORK}D)"
     return (heavy.selectExpr(*_KEY, "l", "r", f"{total} as slices",
@@ -128,7 +122,7 @@ def _hot_cells(left: DataFrame, right: DataFrame, profiles: tuple[Profile, Profi
 def _slice_hot(cells: DataFrame, hot: DataFrame, ident: str, mine: str, other: str) -> DataFrame:
     """Fix this side's slice by hash and copy the row to every slice of the other side."""
     keep = cells.columns
-    return (cells.join(F.broadcast(hot), _KEY, "left")
+    return (cells.join(hot, _KEY, "left")
             .selectExpr(
                 *keep,
                 f"cast(pmod(xxhash64(cast({ident} as string)), coalesce(__n_{mine}, 1)) as int)"
@@ -146,12 +140,10 @@ def candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -
     profiles = _profiles(left, right)
     a = _file_in_cells(left, profiles[1], left=True)
     b = _file_in_cells(right, profiles[0], left=False)
-    keys = list(_KEY)
-    if max(p.n for p in profiles) > SMALL_SIDE:
-        hot = _hot_cells(left, right, profiles)
-        a = _slice_hot(a, hot, left_id, "a", "b")
-        b = _slice_hot(b, hot, right_id, "b", "a")
-        keys += ["__a", "__b"]
+    hot = _hot_cells(left, right, profiles)
+    a = _slice_hot(a, hot, left_id, "a", "b")
+    b = _slice_hot(b, hot, right_id, "b", "a")
+    keys = [*_KEY, "__a", "__b"]
     a = a.selectExpr(*keys, "__c0x", "__c0y", *[f"{c} as a_{c}" for c in left.columns])
     b = b.selectExpr(*keys, "__c0x as __d0x", "__c0y as __d0y",
                      *[f"{c} as b_{c}" for c in right.columns])
@@ -168,13 +160,10 @@ def with_box(df: DataFrame, geom: str = "geom") -> DataFrame:
             .selectExpr(*df.columns, *[f"__b.{k}" for k in _BOX]))
 
 
-def _prepared(df: DataFrame, ident: str, geom: str, with_area: bool = False,
-              keep: list[str] | None = None) -> DataFrame:
+def _prepared(df: DataFrame, ident: str, geom: str, keep: list[str] | None = None) -> DataFrame:
     """Id, box, edges and the columns to keep of a polygon side."""
     boxed = df if set(_BOX) <= set(df.columns) else with_box(df, geom)
-    extra = [f"{G.area(geom)} as area"] if with_area else []
-    return boxed.selectExpr(f"{ident} as id", *_BOX, f"{G.edges(geom)} as edges", *extra,
-                            *(keep or []))
+    return boxed.selectExpr(f"{ident} as id", *_BOX, f"{G.edges(geom)} as edges", *(keep or []))
 
 
 def points_in_parcels(points: DataFrame, parcels: DataFrame, point_id: str = "point_id",
@@ -234,8 +223,10 @@ def _shared_areas(pairs: DataFrame, keys: list[str]) -> DataFrame:
     excess = ("case when e0 <= f0 and e1 <= f1 then 0D"
               " when e0 >= f0 and e1 >= f1 then e0 - f0 + e1 - f1"
               " else power(greatest(e0 - f0, e1 - f1), 2) / (abs(e0 - f0) + abs(e1 - f1)) end")
-    return (edge_pairs.selectExpr(*keys, f"s * w * (e0 + e1 - {excess}) / 2D as part")
-            .groupBy(*keys).agg(F.sum("part").alias("shared")))
+    return (edge_pairs.selectExpr(*keys, f"s * w * (e0 + e1 - {excess}) / 2D as part",
+                                  "w * (abs(e0) + abs(e1) + abs(f0) + abs(f1)) as size")
+            .groupBy(*keys).agg(F.sum("part").alias("shared"), F.sum("size").alias("size"),
+                                F.count(F.lit(1)).alias("terms")))
 
 
 def overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str, geom: str = "geom",
@@ -247,12 +238,11 @@ def overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str, geom
     touch along a side cannot share an interior and skip the geometry.
     """
     kept = [*[(f"a_{c}", c) for c in keep_left or []], *[(f"b_{c}", c) for c in keep_right or []]]
-    pairs = (candidates(_prepared(left, left_id, geom, with_area=True, keep=keep_left),
-                        _prepared(right, right_id, geom, with_area=True, keep=keep_right),
-                        "id", "id")
+    pairs = (candidates(_prepared(left, left_id, geom, keep=keep_left),
+                        _prepared(right, right_id, geom, keep=keep_right), "id", "id")
              .filter("a_minx < b_maxx and b_minx < a_maxx and a_miny < b_maxy and b_miny < a_maxy"))
-    keys = ["a_id", "b_id", "a_area", "b_area", *[k for k, _ in kept]]
+    keys = ["a_id", "b_id", *[k for k, _ in kept]]
     return (_shared_areas(pairs, keys)
-            .filter(G.interiors_overlap("shared", "a_area", "b_area"))
+            .filter(G.interiors_overlap("shared", "size", "terms"))
             .selectExpr(f"a_id as {left_id}", f"b_id as {right_id}", "shared",
                         *[f"{k} as {c}" for k, c in kept]))

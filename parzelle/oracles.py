@@ -194,6 +194,23 @@ def _choices(by: str) -> str:
 
 for _name, _by in (("house_number_choices", "lage"), ("free_house_numbers", "unverschluesselt")):
     oracle(_name, _choices(_by), "address", "plain_address", more=(_listed(_by),))
+# what a keyed street offers, by correlated tests on the catalogue
+oracle("house_numbers_by_key", """
+    select schluesselgesamt, choice, rank, num_key from keyed
+    union all select schluesselgesamt, 'Alle', 2, null from keyed group by 1 having count(*) > 1""",
+       "address", "plain_address", "street", more=("""keyed as (
+    select k.schluesselgesamt, a.hausnummer as choice, 0 as rank,
+      try_cast(nullif(regexp_replace(a.hausnummer, '\\D', '', 'g'), '') as int) as num_key
+    from (select distinct * from street_v where endet is null) k join address_v a
+      on (a.land, a.regierungsbezirk, a.kreis, a.gemeinde, a.lage) =
+         (k.land, k.regierungsbezirk, k.kreis, k.gemeinde, k.lage)
+    where a.endet is null
+    union all
+    select schluesselgesamt, 'Ohne', 1, null from street_v k where endet is null and exists (
+      select 1 from plain_address_v o where o.endet is null
+      and (o.land, o.regierungsbezirk, o.kreis, o.gemeinde, o.lage) =
+          (k.land, k.regierungsbezirk, k.kreis, k.gemeinde, k.lage))
+    group by 1)""",))
 oracle("parcel_streets", """
     select gml_id as flsnr, k.bezeichnung as strname, hausnummer as hausnr,
       case when regexp_matches(hausnummer, '^\\d+$') then cast(hausnummer as int) else 0 end
@@ -251,9 +268,13 @@ oracle("holdings", """
     from holding_v h join folio_v f on f.bestdnr = h.bestdnr""", "holding", "folio",
        more=(COURTS,))
 oracle("nested_owners", """
-    select cast(o_orderkey as varchar) as bestdnr, string_agg(coalesce(nullif(
-      cast(c_nationkey as varchar), '7'), '0') || ':' || c_name, ';') as owners
-    from orders join customer on c_custkey = o_custkey where o_orderkey % 7 <> 0 group by 1""")
+    select bestdnr, chunk, string_agg(owner, ';' order by place) as owners
+    from (select *, cast((place - 1) // 2 as int) as chunk
+      from (select *, row_number() over (partition by bestdnr order by owner) as place
+        from (select cast(o_orderkey as varchar) as bestdnr, coalesce(nullif(
+            cast(c_nationkey as varchar), '7'), '0') || ':' || c_name as owner
+          from orders join customer on c_custkey = o_custkey where o_orderkey % 7 <> 0)))
+    group by bestdnr, chunk""")
 
 # -- layers and styles --------------------------------------------------------
 
@@ -368,7 +389,7 @@ oracle("line_strokes", """
       cast(split_part(c.umn, ' ', 1) as int) as r, cast(split_part(c.umn, ' ', 2) as int) as g,
       cast(split_part(c.umn, ' ', 3) as int) as b
     from style_v s join line_def l on l.signaturnummer = s.signaturnummer and l.katalog = 1
-    join strokes k on 'S' || (k.id % 4) = l.strichart left join color_v c on c.id = l.farbe
+    join strokes k on 'S' || (k.id % 4) = l.strichart join color_v c on c.id = l.farbe
     where s.katalog = 1""", "style", "color", more=(LINE_DEF, STROKES))
 # per order: every stroke has the gaps 1 and 2, so its pattern is 2 * length + 3
 ORDER_STROKES = """lines as (select cast(l_orderkey as varchar) as sn, l_linenumber as stroke,
@@ -419,14 +440,14 @@ oracle("missing_symbols", """
       select cast(s_nationkey as varchar) from supplier where s_acctbal > 9000)""", "po",
        more=(ROUTED, USED_STYLES))
 
-# strokes of a style fit when they all have the same length; with an outer join chain a
-# style without strokes counts as fitting
+# strokes of a style fit when they all have the same length; strokes without colour or
+# definition don't count, and a style without any other can't be drawn
 DRAWABLE = """drawable as (
     select s.signaturnummer as sn from style_v s
-    left join line_def l on l.signaturnummer = s.signaturnummer and l.katalog = 1
-    left join strokes k on 'S' || (k.id % 4) = l.strichart
+    join line_def l on l.signaturnummer = s.signaturnummer and l.katalog = 1
+    join strokes k on 'S' || (k.id % 4) = l.strichart join color_v c on c.id = l.farbe
     where s.katalog = 1 group by 1
-    having count(distinct coalesce(list_sum(gaps) + laenge * len(gaps), 0)) = 1)"""
+    having count(distinct list_sum(gaps) + laenge * len(gaps)) = 1)"""
 LINE_1 = LINE.replace("katalog = 0", "katalog = 1")
 EVERY = f"""every as (
     select 'area' as kind, theme, sublayer, sn, priority from ({FILL})

@@ -4,8 +4,7 @@ The report exists in two forms. ``report_blocks`` gives one table per section
 (master data, streets, land use, ...), ``report_lines`` renders every row of every
 section into one HTML line with its place in the document. Neither gathers a parcel
 into one row, so a parcel with a third of all holdings is as cheap as any other.
-``report_documents`` folds the lines of ordinary parcels into one document each and
-leaves the lines of outsized parcels as they are.
+``report_documents`` folds the lines into documents, in chunks of bounded length.
 """
 
 from __future__ import annotations
@@ -17,8 +16,9 @@ from pyspark.sql import functions as F
 
 from parzelle.functions import numbers as N
 from parzelle.functions.text import escape_html as esc
+from parzelle.functions.text import german_date
 from parzelle.operators import addresses, facets, owners, soil
-from parzelle.operators.grouping import nest
+from parzelle.operators.grouping import CHUNK, nest
 from parzelle.operators.predicates import current, current_book
 from parzelle.operators.selection import parcel_number_of
 from parzelle.operators.spatial import points_in_parcels
@@ -49,12 +49,14 @@ def resolve_numbers(arguments: DataFrame, fs: DataFrame) -> DataFrame:
 
 
 def master_data(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
-    """Current parcel-book rows with district; numbers that occur twice are left out."""
+    """Current parcel-book rows with district; numbers that occur twice are left out,
+    be it by the book or by a district listed twice."""
     book = current_book(tables["flurst"])
     if wanted is not None:
-        book = book.join(wanted.select("flsnr"), "flsnr", "left_semi")
-    once = book.groupBy("flsnr").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("flsnr")
-    return facets.with_district_name(book, tables["gema_shl"]).join(once, "flsnr", "left_semi")
+        book = book.join(wanted.select("flsnr").distinct(), "flsnr", "left_semi")
+    named = facets.with_district_name(book, tables["gema_shl"])
+    once = named.groupBy("flsnr").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("flsnr")
+    return named.join(once, "flsnr", "left_semi")
 
 
 def report_blocks(tables: Tables, wanted: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -155,14 +157,15 @@ def report_lines(blocks: Mapping[str, DataFrame], currency: DataFrame | None = N
                  footnote: str | None = None) -> DataFrame:
     """All lines of all documents; sort by ``ORDER`` with nulls first.
 
-    ``currency`` is the one-row table with the date line (``data_currency``). All
-    values are escaped.
+    ``currency`` is the one-row table with the date line (``data_currency``); without one
+    the report bears today's date. All values are escaped.
     """
     master = blocks["master"]
     for name in MASTER:
         if name not in master.columns:
             master = master.withColumn(name, F.lit(None).cast("string"))
-    datum = currency.select("datum").scalar() if currency is not None else F.lit("")
+    datum = currency.select("datum").scalar() if currency is not None \
+        else german_date(F.current_timestamp())
     dated = master.withColumn("datum", datum)
 
     number = F.concat_ws("-", esc(F.col("gemashl")), esc(F.col("flr")), esc(F.col("flsnrk")))
@@ -263,14 +266,18 @@ def _frames(rows: DataFrame) -> DataFrame:
         "f.line", "f.html")
 
 
-def report_documents(lines: DataFrame, max_lines: int = 20_000) -> tuple[DataFrame, DataFrame]:
-    """``(flsnr, html)`` with one document per parcel, and the ordered lines of the
-    parcels whose document would exceed ``max_lines`` lines."""
-    nested, rest = nest(lines, ["flsnr"], PLACE, ["html"], "items", max_lines)
-    html = F.concat(F.lit("<html><body>\n"),
-                    F.array_join(F.transform("items", lambda i: i["html"]), "\n"),
-                    F.lit("\n</body></html>"))
-    return nested.select("flsnr", html.alias("html")), rest
+def report_documents(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``(flsnr, chunk, html)``: the document of every parcel, a row for each ``chunk`` of
+    its lines in their order; one row for all but outsized parcels.
+
+    A parcel's rows put together are its document.
+    """
+    nested = nest(lines.select(*ORDER, "html"), ["flsnr"], [*PLACE, "html"], [], "items", chunk)
+    ends = nested.groupBy("flsnr").agg(F.max("chunk").alias("__last"))
+    body = F.concat(F.array_join(F.transform("items", lambda i: i["html"]), "\n"), F.lit("\n"))
+    html = F.concat(F.when(F.col("chunk") == 0, "<html><body>\n").otherwise(""), body,
+                    F.when(F.col("chunk") == F.col("__last"), "</body></html>").otherwise(""))
+    return nested.join(ends, "flsnr").select("flsnr", "chunk", html.alias("html"))
 
 
 def parcel_report(tables: Tables, wanted: DataFrame | None = None,

@@ -300,6 +300,12 @@ def house_number_choices(spark, sf):
     return A.house_number_choices(a["numbered"], a["plain"], ["lage"])
 
 
+@query
+def house_numbers_by_key(spark, sf):
+    a = _addresses(spark, sf)
+    return A.house_numbers_by_key(a["catalog"], a["numbered"], a["plain"])
+
+
 @query
 def free_house_numbers(spark, sf):
     a = _addresses(spark, sf)
@@ -412,11 +418,9 @@ def court_lookup(spark, sf):
 
 @query
 def nested_owners(spark, sf):
-    nested, rest = owners.nested_owners(_register(spark, sf)["eigner"])
-    short = nested.selectExpr(
-        "bestdnr", "array_join(transform(owners, o -> concat(o.owner_key, ':', o.name1)), ';')"
-        " as owners")
-    return short.union(rest.selectExpr("bestdnr", "owner_key || ':' || name1"))
+    return owners.nested_owners(_register(spark, sf)["eigner"], chunk=2).selectExpr(
+        "bestdnr", "chunk", "array_join(transform(owners, o -> concat(o.owner_key, ':', o.name1)),"
+        " ';') as owners")
 
 
 # -- layers and styles --------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from parzelle.operators import addresses as A
 from parzelle.operators import facets, owners, selection
-from parzelle.operators.grouping import nest
+from parzelle.operators.grouping import nest, with_position
 from parzelle.operators.predicates import facet_filter, label_search
 
 ENDED = dt.datetime(2020, 1, 1)
@@ -84,8 +84,6 @@ def test_directory_prefix_ignores_case_and_reaches_into_the_town(catalog, number
 def test_key_lists(catalog, numbered, plain, town):
     assert ("Ring, Siebenau", "k1#k2") in rows(
         A.street_key_lists(catalog, numbered, plain, town))
-    split = rows(A.street_key_lists(catalog, numbered, plain, town, max_keys=1))
-    assert ("Ring, Siebenau", "k1") in split and ("Ring, Siebenau", "k2") in split
 
 
 def test_house_number_choices_and_order(numbered, plain):
@@ -182,18 +180,24 @@ def test_holdings_with_and_without_court(spark, register):
 
 
 def test_nested_owners_are_ordered_and_bounded(register):
-    nested, rest = owners.nested_owners(register["eigner"])
-    got = {r["bestdnr"]: [o["name1"] for o in r["owners"]] for r in nested.collect()}
-    assert got == {"03A1": ["Müller, Bert", "Meier, Anna"], "03A9": ["Meier, Dora"]}
-    assert rest.count() == 0
-    nested, rest = owners.nested_owners(register["eigner"], max_owners=1)
-    assert [r["bestdnr"] for r in nested.collect()] == ["03A9"]
-    assert [r[0] for r in rows(rest, "name1")] == ["Meier, Anna", "Müller, Bert"]
+    nested = owners.nested_owners(register["eigner"])
+    got = {(r["bestdnr"], r["chunk"]): [o["name1"] for o in r["owners"]] for r in nested.collect()}
+    assert got == {("03A1", 0): ["Müller, Bert", "Meier, Anna"], ("03A9", 0): ["Meier, Dora"]}
+    nested = owners.nested_owners(register["eigner"], chunk=1)
+    assert {(r["bestdnr"], r["chunk"]): r["owners"][0]["name1"] for r in nested.collect()} == {
+        ("03A1", 0): "Müller, Bert", ("03A1", 1): "Meier, Anna", ("03A9", 0): "Meier, Dora"}
+
+
+def test_positions_of_a_key_in_many_tasks(spark):
+    df = spark.range(500).selectExpr("if(id < 400, 'a', null) as k", "500 - id as v")
+    placed = {(r["k"], r["p"]): r["v"] for r in with_position(
+        df.repartition(7), ["k"], ["v"], "p").collect()}
+    assert placed == {**{("a", i): 101 + i for i in range(400)}, **{(None, i): 1 + i for i in range(100)}}
 
 
 def test_nest_keeps_null_keys(spark):
     df = spark.createDataFrame([(None, 2), (None, 1), ("a", 1)], "k string, v int")
-    nested, _ = nest(df, ["k"], ["v"], [], "items")
+    nested = nest(df, ["k"], ["v"], [], "items")
     assert {r["k"]: [i["v"] for i in r["items"]] for r in nested.collect()} == {None: [1, 2],
                                                                                "a": [1]}
 

@@ -221,8 +221,8 @@ def test_drawing_tables(spark):
     assert set(manifest) == {
         ("Flur", s, k) for s, kinds in {
             "Nr": ("area", "outline", "line", "point", "label"),
-            # style 2 has no colour: no area and no line, but an outline
-            "Rest": ("outline", "point", "label"),
+            # style 2 has no colour: no area, and no stroke to draw a line with
+            "Rest": ("point", "label"),
             "All": ("area", "outline", "line", "point", "label")}.items()
         for k in kinds} | {("Haus", "", "label")}
     assert manifest["Flur", "All", "area"]["features"] == 2
@@ -231,8 +231,7 @@ def test_drawing_tables(spark):
     assert manifest["Flur", "Nr", "label"]["zindex"] == 999
     assert manifest["Flur", "Nr", "point"]["group"] == "Flur / Nr"
     assert manifest["Haus", "", "label"]["group"] == "Haus"
-    assert rows(made["outline"].filter("sublayer = 'Rest'"), "r", "g", "b", "name") == [
-        (0, 0, 0, "zwei")]
+    assert made["outline"].filter("sublayer = 'Rest'").count() == 0
     assert made["extract"].filter("kind = 'point'").agg(F.max("rotation")).first()[0] == -10.0
     export = drawing_tables(tables, THEMES, [], catalog_id=1, negate_rotation=False)
     assert export["extract"].filter("kind = 'point'").agg(F.max("rotation")).first()[0] == 10.0
@@ -246,3 +245,20 @@ def test_label_hits(spark):
     labels = df.selectExpr(f"if(p, {geom}, null) as point", f"if(p, null, {geom}) as line")
     assert rows(LB.label_hits(labels)) == [(2, 1.0, 2.0, 5.0, 9.0)]
     assert G.x("p") == "p.x" and G.y("p") == "p.y"
+
+
+def test_strokes_without_colour_or_definition_are_no_strokes(spark):
+    line_def = spark.createDataFrame(
+        [("1", 1, "A", "x", "y", 25.0, 1), ("2", 1, "A", "x", "y", 25.0, None),
+         ("3", 1, "none", "x", "y", 25.0, 1), ("4", 1, "B", "x", "y", 25.0, 1)],
+        "signaturnummer string, katalog int, strichart string, abschluss string, scheitel string,"
+        " strichstaerke double, farbe int")
+    member = spark.createDataFrame([("A", 7), ("B", 7), ("B", 99)], "stricharten string, strichart int")
+    stroke = spark.createDataFrame([(7, 100.0, 0.0, "100")],
+                                   "id int, laenge double, einzug double, abstand string")
+    colors = spark.createDataFrame([(1, "1 2 3")], "id int, umn string").selectExpr(
+        "id", "umn", "1 as r", "2 as g", "3 as b")
+    strokes = S.line_strokes(None, line_def, member, stroke, colors, 1)
+    check = S.line_style_check(strokes)
+    assert sorted(r["sn"] for r in check.collect()) == ["1", "4"]
+    assert {(r["sn"], r["stroke"]) for r in strokes.collect()} == {("1", 7), ("4", 7)}

@@ -205,15 +205,28 @@ def test_document(tables):
     assert "Straßen" not in other and "Gesamtertragsmesszahl" not in other
 
 
-def test_documents_are_folded_up_to_a_bound(tables):
+def test_documents_are_folded_in_chunks(tables):
     lines = R.parcel_report(tables)
-    nested, rest = R.report_documents(lines)
-    assert [r["flsnr"] for r in nested.orderBy("flsnr").collect()] == ["n1", "n2"]
-    assert document(lines, "n1") in nested.filter("flsnr = 'n1'").first()["html"]
-    assert rest.count() == 0
-    nested, rest = R.report_documents(lines, max_lines=15)
-    assert [r["flsnr"] for r in nested.collect()] == ["n2"]
-    assert document(rest, "n1") == document(lines, "n1")
+    nested = R.report_documents(lines)
+    assert [(r["flsnr"], r["chunk"]) for r in nested.orderBy("flsnr").collect()] == [
+        ("n1", 0), ("n2", 0)]
+    whole = nested.filter("flsnr = 'n1'").first()["html"]
+    assert document(lines, "n1") in whole
+    parts = R.report_documents(lines, chunk=4).filter("flsnr = 'n1'").orderBy("chunk").collect()
+    assert len(parts) > 2 and "".join(r["html"] for r in parts) == whole
+
+
+def test_report_without_imports_bears_today(tables):
+    lines = R.parcel_report({k: v for k, v in tables.items() if k != "imports"})
+    years = {str(dt.date.today().year - 1), str(dt.date.today().year), str(dt.date.today().year + 1)}
+    head = lines.filter("section = 0").first()["html"]
+    assert any(f" {y}</small>" in head for y in years)
+
+
+def test_parcel_of_a_district_listed_twice_has_no_report(spark, tables):
+    twice = tables["gema_shl"].union(tables["gema_shl"])
+    assert R.master_data({**tables, "gema_shl": twice}).count() == 0
+    assert R.master_data(tables).count() == 2
 
 
 def test_report_of_ids_and_numbers(spark, tables):

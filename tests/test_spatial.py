@@ -52,15 +52,24 @@ def test_sliced_hot_cells_give_the_same_pairs(spark, monkeypatch):
     # a third of all features share one spot
     a = random_boxes(rng, 120, MIXED) + [(1000 + i, 5, 5, 6, 6) for i in range(60)]
     b = random_boxes(rng, 100, MIXED) + [(2000 + i, 5.5, 5.5, 7, 7) for i in range(50)]
-    monkeypatch.setattr(S, "SMALL_SIDE", 0)
     monkeypatch.setattr(S, "SLICE_WORK", 40)
     left, right = boxes(spark, a), boxes(spark, b)
     hot = S._hot_cells(left, right, S._profiles(left, right))
     assert hot.agg(F.max("__n_a"), F.max("__n_b")).first()[0] > 1
     assert rows(S.candidates(left, right, "id", "id"), "a_id", "b_id") == brute(a, b)
-    # more hot cells than fit the table: the rest is joined whole
-    monkeypatch.setattr(S, "MAX_HOT", 1)
-    assert rows(S.candidates(left, right, "id", "id"), "a_id", "b_id") == brute(a, b)
+
+
+def test_slivers_count_and_touching_borders_do_not(spark):
+    base = 5_900_000.0  # a northing: the shared areas lose digits to it
+    big = [(1, base, base, base + 20_000, base + 20_000)]
+    thin = [(11, base + 20_000 - 1e-4, base, base + 30_000, base + 0.01),
+            (12, base + 20_000, base, base + 30_000, base + 20_000),
+            (13, base + 19_999.999, base + 19_999.999, base + 30_000, base + 30_000)]
+    got = {r["b"]: r["shared"] for r in S.overlay(
+        boxes(spark, big).withColumnRenamed("id", "a"), boxes(spark, thin).withColumnRenamed("id", "b"),
+        "a", "b").collect()}
+    assert set(got) == {11, 13}
+    assert all(v == pytest.approx(1e-6, rel=1e-2) for v in got.values())
 
 
 def test_no_nested_loop_or_cartesian_join(spark):
