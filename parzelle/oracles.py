@@ -29,9 +29,9 @@ PARCELS = ("parcels as (select *, gemashl || '-' || flr || '-' || flsnrk as flsn
            " gemashl || flr || lpad(split_part(flsnrk, '/', 1), 5, '0') ||"
            " case when pid % 4 = 0 then '____' else lpad(split_part(flsnrk, '/', 2), 4, '0') end"
            " || '__' as key20,"
-           " ['DEHN' || lpad(cast(pid % 1500 as varchar), 12, '0'),"
-           "  'DEHN' || lpad(cast((pid * 7) % 1500 as varchar), 12, '0')] as weistauf,"
-           " ['DEOH' || lpad(cast(pid % 100 as varchar), 12, '0')] as zeigtauf from parcel_v)")
+           " ['DEHN' || lpad(cast(pid * 3 // 4 as varchar), 12, '0'),"
+           "  'DEHN' || lpad(cast(pid // 2 as varchar), 12, '0')] as weistauf,"
+           " ['DEOH' || lpad(cast(pid // 20 as varchar), 12, '0')] as zeigtauf from parcel_v)")
 
 
 def oracle(name: str, sql: str, *views: str, more: tuple[str, ...] = ()) -> None:
@@ -194,11 +194,7 @@ def _choices(by: str) -> str:
 
 for _name, _by in (("house_number_choices", "lage"), ("free_house_numbers", "unverschluesselt")):
     oracle(_name, _choices(_by), "address", "plain_address", more=(_listed(_by),))
-# what a keyed street offers, by correlated tests on the catalogue
-oracle("house_numbers_by_key", """
-    select schluesselgesamt, choice, rank, num_key from keyed
-    union all select schluesselgesamt, 'Alle', 2, null from keyed group by 1 having count(*) > 1""",
-       "address", "plain_address", "street", more=("""keyed as (
+KEYED = """keyed as (
     select k.schluesselgesamt, a.hausnummer as choice, 0 as rank,
       try_cast(nullif(regexp_replace(a.hausnummer, '\\D', '', 'g'), '') as int) as num_key
     from (select distinct * from street_v where endet is null) k join address_v a
@@ -210,7 +206,12 @@ oracle("house_numbers_by_key", """
       select 1 from plain_address_v o where o.endet is null
       and (o.land, o.regierungsbezirk, o.kreis, o.gemeinde, o.lage) =
           (k.land, k.regierungsbezirk, k.kreis, k.gemeinde, k.lage))
-    group by 1)""",))
+    group by 1)"""
+# what a keyed street offers, by correlated tests on the catalogue
+oracle("house_numbers_by_key", """
+    select schluesselgesamt, choice, rank, num_key from keyed
+    union all select schluesselgesamt, 'Alle', 2, null from keyed group by 1 having count(*) > 1""",
+       "address", "plain_address", "street", more=(KEYED,))
 oracle("parcel_streets", """
     select gml_id as flsnr, k.bezeichnung as strname, hausnummer as hausnr,
       case when regexp_matches(hausnummer, '^\\d+$') then cast(hausnummer as int) else 0 end
@@ -558,6 +559,45 @@ oracle("reproject_zone", "select event_id, round(x + 500000 + 32000000, 6) as x,
 
 # -- report -------------------------------------------------------------------
 
+oracle("parcel_landuse", """
+    select cast(pid as varchar) as flsnr, l_returnflag as nutzshl,
+      'Nutzung ' || l_returnflag as nutzung, l_quantity as fl
+    from lineitem join parcel_v on pid = l_partkey
+    where ff_stand = 0 and l_linenumber % 5 <> 0 and l_returnflag <> 'N'""", "parcel")
+oracle("parcel_offices", """
+    select cast(pid as varchar) as flsnr, o_orderstatus as ausf_st,
+      'Stelle ' || o_orderstatus as afst_txt
+    from orders join parcel_v on pid = o_custkey where ff_stand = 0 and o_orderkey % 7 <> 0""",
+       "parcel")
+oracle("report_with_duplicate_district", """
+    select cast(pid as varchar) as flsnr, 'Gemarkung ' || cast(substr(gemashl, 3) as int) as gemarkung
+    from parcel_v where ff_stand = 0 and gemashl >= '030010'""", "parcel")
+oracle("report_date_without_imports", """
+    select cast(pid as varchar) as flsnr, day(today()) || '. ' || list_extract(['Januar', 'Februar',
+      'März', 'April', 'Mai', 'Juni', 'Juli', 'August', 'September', 'Oktober', 'November',
+      'Dezember'], cast(month(today()) as int)) || ' ' || year(today()) as datum
+    from parcel_v where ff_stand = 0""", "parcel")
+AT_POINTS = """hit as (select distinct pid from point_v join parcel_v on endet is null
+    and x > minx and x < maxx and y > miny and y < maxy and event_id % 3 = 0)"""
+oracle("owner_at_points", """
+    select cast(pid as varchar) as flsnr, gemashl from parcel_v join hit using (pid)
+    where ff_stand = 0""", "point", "parcel", more=(AT_POINTS,))
+oracle("owner_audit_log", """
+    select 'tester' as username, 'eigentuemerInfo' as request, 'Akte 7' as case_no,
+      cast(pid as varchar) as flsnr from hit""", "point", "parcel", more=(AT_POINTS,))
+oracle("house_number_ranks", """
+    select schluesselgesamt, choice, cast(row_number() over (partition by schluesselgesamt
+      order by rank, num_key nulls last, choice) as int) as place
+    from (select distinct * from keyed)""", "address", "plain_address", "street",
+       more=(KEYED,))
+# a line that turns to the left by a right angle keeps its distance from both legs; an
+# unknown distance gives no line
+oracle("label_offset_lines", """
+    select doc_id, round(x + 0 * d, 6) as x0, round(y + d, 6) as y0, round(x + 50 - d, 6) as x1,
+      round(y + d, 6) as y1, round(x + 50 - d, 6) as x2, round(y + 80 + 0 * d, 6) as y2
+    from (select doc_id, x, y, skalierung * grad_pt / 8 as d from label_v
+      join font_v s using (signaturnummer) join color_v c on c.id = s.farbe)""",
+       "label", "font", "color")
 oracle("parcel_report_flat", f"""
     select cast(p.pid as varchar) as flsnr, gemarkung,
       (select count(*) from address_v a join street_v k on k.lage = a.lage

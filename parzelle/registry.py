@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parzelle import standins as V
@@ -306,6 +306,17 @@ def house_numbers_by_key(spark, sf):
     return A.house_numbers_by_key(a["catalog"], a["numbered"], a["plain"])
 
 
+@query
+def house_number_ranks(spark, sf):
+    """The order of the choices, as a number that a check can see."""
+    a = _addresses(spark, sf)
+    choices = A.house_numbers_by_key(a["catalog"], a["numbered"], a["plain"]) \
+        .filter(F.col("choice") != A.ALL).distinct()
+    order = Window.partitionBy("schluesselgesamt").orderBy(
+        "rank", F.asc_nulls_last("num_key"), "choice")
+    return choices.select("schluesselgesamt", "choice", F.row_number().over(order).alias("place"))
+
+
 @query
 def free_house_numbers(spark, sf):
     a = _addresses(spark, sf)
@@ -608,6 +619,17 @@ def label_style_server(spark, sf):
     return rows.withColumn("size_umn", F.round("size_umn", 6))
 
 
+@query
+def label_offset_lines(spark, sf):
+    corner = ("array(named_struct('x', x, 'y', y), named_struct('x', x + 50, 'y', y),"
+              " named_struct('x', x + 50, 'y', y + 80))")
+    labels = V.view(spark, sf, "label").withColumn("line", F.expr(corner))
+    moved = LB.server_labels(labels, V.view(spark, sf, "font"), V.view(spark, sf, "color"),
+                             ["doc_id"], line="line")
+    return moved.selectExpr("doc_id", *[f"round({at(f'geom[{i}]')}, 6) as {name}{i}"
+                                        for i in range(3) for name, at in (("x", G.x), ("y", G.y))])
+
+
 # -- geometry -----------------------------------------------------------------
 
 @query
@@ -703,6 +725,71 @@ def _report_tables(spark, sf) -> dict[str, DataFrame]:
     }
 
 
+@query
+def parcel_landuse(spark, sf):
+    lines = _base(spark, sf, "lineitem")
+    tables = _report_tables(spark, sf)
+    return report.report_blocks({
+        "flurst": tables["flurst"], "gema_shl": tables["gema_shl"],
+        "nutz_21": lines.selectExpr(
+            "cast(l_partkey as string) as flsnr", "l_returnflag as nutzsl", "l_quantity as fl",
+            "if(l_linenumber % 5 = 0, 1, 0) as ff_stand"),
+        "nutz_shl": lines.filter("l_returnflag <> 'N'").selectExpr(
+            "l_returnflag as nutzshl", "'Nutzung ' || l_returnflag as nutzung").distinct(),
+    })["landuse"]
+
+
+@query
+def parcel_offices(spark, sf):
+    orders = _base(spark, sf, "orders")
+    tables = _report_tables(spark, sf)
+    return report.report_blocks({
+        "flurst": tables["flurst"], "gema_shl": tables["gema_shl"],
+        "ausfst": orders.selectExpr("cast(o_custkey as string) as flsnr", "o_orderstatus as ausf_st",
+                                    "if(o_orderkey % 7 = 0, 1, 0) as ff_stand"),
+        "afst_shl": orders.selectExpr("o_orderstatus as ausf_st",
+                                      "'Stelle ' || o_orderstatus as afst_txt").distinct(),
+    })["offices"]
+
+
+@query
+def report_with_duplicate_district(spark, sf):
+    tables = _report_tables(spark, sf)
+    names = tables["gema_shl"]
+    tables["gema_shl"] = names.union(names.filter("gemashl < '030010'"))
+    return report.master_data(tables).select("flsnr", "gemarkung")
+
+
+@query
+def report_date_without_imports(spark, sf):
+    tables = _report_tables(spark, sf)
+    lines = report.parcel_report({k: tables[k] for k in ("flurst", "gema_shl")})
+    return lines.filter("section = 0").select(
+        "flsnr", F.regexp_extract("html", "<small>(.*)</small>", 1).alias("datum"))
+
+
+def _points_of_interest(spark, sf, log: str) -> DataFrame:
+    points = V.view(spark, sf, "point").withColumnRenamed("event_id", "point_id")
+    return report.owner_at_points(_report_tables(spark, sf), points.filter("point_id % 3 = 0"),
+                                  "tester", log, "Karte", case_no="Akte 7", case_required=True)
+
+
+@query
+def owner_at_points(spark, sf):
+    lines = _points_of_interest(spark, sf, shared_dir(spark, "audit"))
+    return lines.filter("section = 0").select("flsnr", "gemashl")
+
+
+@query
+def owner_audit_log(spark, sf):
+    """What the log holds after a release, read back."""
+    log = shared_dir(spark, "audit")
+    _points_of_interest(spark, sf, log)
+    return spark.read.parquet(log).select(
+        "username", F.col("requestType").alias("request"), F.col("aktenzeichen").alias("case_no"),
+        F.explode("result").alias("flsnr"))
+
+
 @query
 def parcel_report_flat(spark, sf):
     """Sizes of every section of every reported parcel."""

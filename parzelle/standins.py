@@ -51,7 +51,7 @@ VIEWS = {
         case when s_suppkey % 13 = 0 then {ENDED} end as endet"""),
     "point": ("events", """
         event_id, cast((event_id * 37) % 5000 as double) / 10 + 0.05 as x,
-        cast((event_id * 91) % 4000 as double) / 10 + 0.05 as y"""),
+        cast(event_id as double) / 25 + 0.017 as y"""),
     "po": ("customer", """
         c_custkey as ogc_fid, 'DEPO' || lpad(cast(c_custkey as string), 12, '0') as gml_id,
         c_mktsegment as thema,
@@ -156,10 +156,10 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
                 " lpad(split_part(flsnrk, '/', 2), 4, '0') end || '__'"))
             .withColumn("geom", F.expr(G.box_rings("minx", "miny", "maxx", "maxy")))
             .withColumn("weistauf", F.expr(
-                "array('DEHN' || lpad(cast(pid % 1500 as string), 12, '0'),"
-                " 'DEHN' || lpad(cast((pid * 7) % 1500 as string), 12, '0'))"))
+                "array('DEHN' || lpad(cast((pid * 3) div 4 as string), 12, '0'),"
+                " 'DEHN' || lpad(cast(pid div 2 as string), 12, '0'))"))
             .withColumn("zeigtauf", F.expr(
-                "array('DEOH' || lpad(cast(pid % 100 as string), 12, '0'))")))
+                "array('DEOH' || lpad(cast(pid div 20 as string), 12, '0'))")))
 
 
 def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
