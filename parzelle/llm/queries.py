@@ -112,6 +112,21 @@ from d join p on d.source is not distinct from p.source
   join k on k.source is not distinct from d.source and k.key = d.key
 """
 
+OP2 = r"""
+with d as (select row_number() over () as rid, doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select rid, i, md5(array_to_string(w[i:i + 34], ' ')) as k
+  from d, unnest(range(1, len(w) - 33)) t(i)),
+gone as (select distinct rid, unnest(range(i, i + 35)) as pos
+  from win where k in (select k from win group by k having count(*) > 1)),
+word as (select rid, unnest(w) as x, unnest(range(1, len(w) + 1)) as pos from d),
+kept as (select rid, string_agg(x, ' ' order by pos) as t, count(*) as n
+  from word anti join gone using (rid, pos) group by rid)
+select doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed,
+  sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (rid)
+"""
+
 OP6 = r"""
 with tok as (
   select 'd' as kind, doc_id as id, text,
@@ -150,6 +165,7 @@ select doc_id, item_id, len(tb)::int as n_item, n_overlap::int as n_overlap, n_e
 
 ORACLES = {
     "op1_mix": OP1,
+    "op2_debruijn": OP2,
     "op6_decontaminate": OP6,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
