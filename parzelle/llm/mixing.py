@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parzelle.llm.common import BROADCAST_ROWS, free_name, word_count
+from parzelle.llm.common import BROADCAST_ROWS, free_name, order_key, word_count
 from parzelle.session import materialize
 
 SEED = 17
@@ -32,13 +32,6 @@ CYCLE = (5, 2, 1)
 DIGITS = 3
 
 
-def order_key(seed: int) -> Column:
-    """A seeded place for a document, the same in every run: 32 hex digits."""
-    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), doc, text).cast("binary"))
-
-
 def cyclic_weights(sources: DataFrame, cycle: Sequence[int] = CYCLE) -> DataFrame:
     """Add ``weight``: the values of ``cycle`` in turn, by code point, null last."""
     place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from parzelle.llm import (debruijn, decontamination, htmltext, mixing, quality, sharding, simhash,
                           suffixes, tokencounts, toxicity)
-from parzelle.llm.common import held_out, table
+from parzelle.llm.common import held_out, order_key, table
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,10 +47,11 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64("text").alias("digest"))
-    return sharding.interleave(docs, digest="digest").select(
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        order_key(sharding.SEED).alias("key"))
+    return sharding.interleave(docs, key="key").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "source")
+        F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,10 +164,35 @@ select doc_id, item_id, len(tb)::int as n_item, n_overlap::int as n_overlap, n_e
   (lo + g)::int as doc_start from best where r = 1
 """
 
+OP7 = r"""
+with tab as (select list_transform(range(0, 256), lambda i: list_reduce(
+      list_concat([i], range(0, 8)),
+      lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+d as (select doc_id, source, hex(encode(coalesce(text, ''))) as h,
+    md5(concat('29|', coalesce(doc_id::varchar, ''), '|', md5(coalesce(text, '')))) as key
+  from documents),
+r as (select *, row_number() over (partition by source order by key) as rank,
+    count(*) over (partition by source) as n,
+    dense_rank() over (order by source nulls last) as s from d),
+m as (select *, row_number() over (order by (2 * rank - 1) / (2.0::double * n), s) - 1 as at_,
+    count(*) over () as total from r),
+p as (select *, total // 16 as each, total % 16 as larger from m),
+q as (select *, case when at_ < larger * (each + 1) then at_ // (each + 1)
+    else larger + (at_ - larger * (each + 1)) // greatest(each, 1) end as shard from p)
+select doc_id, (len(h) // 2 + 1)::bigint as size,
+  xor(list_reduce(list_concat([4294967295], list_transform(range(0, len(h) // 2),
+    lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::bigint)),
+    lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as text_crc32,
+  'rows' as law, shard::int as shard, (at_ - shard * each - least(shard, larger))::bigint as slot,
+  null::int as grown_shard
+from q, tab
+"""
+
 ORACLES = {
     "op1_mix": OP1,
     "op2_debruijn": OP2,
     "op6_decontaminate": OP6,
+    "op7_shards": OP7,
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

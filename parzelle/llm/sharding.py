@@ -14,7 +14,7 @@ ranks, added up over the sources (their table is the mixture's configuration, a
 for each source).
 
 Defined cases: null is a source of its own; rows are ordered by a hash of id and text,
-then by id and text, and rows equal in both are interchangeable; an empty table gives
+and rows equal in both are interchangeable (a null text counts as empty); an empty table gives
 no rows. Columns of the input that have the name of a result are replaced by it, those of the names in ``OWN`` are dropped.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from parzelle.llm.common import BROADCAST_ROWS
+from parzelle.llm.common import BROADCAST_ROWS, order_key
 from parzelle.session import materialize
 
 SEED = 29
@@ -33,11 +33,11 @@ SHARDS = 16
 BUCKET_ROWS = 4_000
 MAX_BUCKET_BITS = 24
 #: Columns of the work in progress.
-OWN = ("_source", "_n", "_s", "_bits", "_order", "_bucket", "_before", "_place", "_rank",
-       "_odd", "_at", "_digest")
+OWN = ("_source", "_n", "_s", "_bits", "_bucket", "_before", "_place", "_rank", "_odd", "_at",
+       "_key")
 
 
-def _ranked(docs: DataFrame, seed: int, bucket_rows: int, digest: str) -> tuple[DataFrame, list]:
+def _ranked(docs: DataFrame, key: str, bucket_rows: int) -> tuple[DataFrame, list]:
     """The rows with ``_s`` (number of the source), ``_n`` (its rows) and ``_rank``, and
     the list of ``(s, n)``.
 
@@ -51,37 +51,34 @@ def _ranked(docs: DataFrame, seed: int, bucket_rows: int, digest: str) -> tuple[
         .withColumn("_bits", bits), "shard-sources")
     if sources.count() > BROADCAST_ROWS:
         raise ValueError(f"a mixture of more than {BROADCAST_ROWS} sources")
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col(digest))
-    # the leading bits of the order: as many as the source has buckets for
-    bucket = F.expr(f"shiftrightunsigned(_order, {64 - MAX_BUCKET_BITS})"
+    # the leading bits of the key: as many as the source has buckets for
+    bucket = F.expr(f"cast(conv(substring(`{key}`, 1, {MAX_BUCKET_BITS // 4}), 16, 10) as long)"
                     f" div shiftleft(1L, {MAX_BUCKET_BITS} - _bits)")
     filed = (docs.join(F.broadcast(sources), docs["source"].eqNullSafe(F.col("_source")))
-             .withColumn("_order", order).withColumn("_bucket", bucket))
+             .withColumn("_bucket", bucket))
     rows = materialize(filed.groupBy("_s", "_bucket").agg(F.count("*").alias("rows")),
                        "shard-buckets")
     before = F.sum("rows").over(W.partitionBy("_s").orderBy("_bucket").rowsBetween(
         W.unboundedPreceding, W.currentRow)) - F.col("rows")
     offsets = rows.select("_s", "_bucket", before.alias("_before"))
-    # signed order within a bucket: any fixed order will do
-    place = F.row_number().over(W.partitionBy("_s", "_bucket").orderBy(
-        "_order", F.col("doc_id").asc_nulls_last(), F.col(digest)))
+    place = F.row_number().over(W.partitionBy("_s", "_bucket").orderBy(key))
     ranked = (filed.withColumn("_place", place).join(offsets, ["_s", "_bucket"])
               .withColumn("_rank", F.col("_before") + F.col("_place")))
-    return (ranked.drop("_source", "_bits", "_order", "_bucket", "_before", "_place"),
+    return (ranked.drop("_source", "_bits", "_bucket", "_before", "_place"),
             [(r["_s"], r["_n"]) for r in sources.collect()])
 
 
 def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
-               bucket_rows: int = BUCKET_ROWS, digest: str | None = None) -> DataFrame:
+               bucket_rows: int = BUCKET_ROWS, key: str | None = None) -> DataFrame:
     """The rows of ``docs`` with ``shard`` (from 0) and ``slot`` (from 0 in the shard).
 
-    ``digest`` names a column that stands for the text in the seeded order; without
-    one a hash of ``text`` is taken.
+    ``key`` names a column with the seeded order (``order_key``) where it is known
+    already, so that the texts need not come along.
     """
     base = docs.drop("shard", "slot", *OWN)
-    if digest is None:
-        base = base.withColumn("_digest", F.xxhash64("text"))
-    ranked, sizes = _ranked(base, seed, bucket_rows, digest or "_digest")
+    if key is None:
+        base = base.withColumn("_key", order_key(seed))
+    ranked, sizes = _ranked(base, key or "_key", bucket_rows)
     total = sum(n for _, n in sizes)
     # Rows of a source of m rows that come before rank r of n: those j with
     # (2j - 1) / 2m < (2r - 1) / 2n, or equal to it in a source of a lower number.
