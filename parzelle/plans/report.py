@@ -60,20 +60,21 @@ def master_data(tables: Tables, wanted: DataFrame | None = None) -> DataFrame:
 
 
 def report_blocks(tables: Tables, wanted: DataFrame | None = None) -> dict[str, DataFrame]:
-    """One table per section, each with ``flsnr``; sections without tables are absent.
+    """One table per section, each with ``flsnr`` and the district ``gemashl``; sections
+    without tables are absent.
 
-    ``wanted`` (column ``flsnr``) limits the report. Every section is cut to the
-    reported parcels with an existence join on ``flsnr``. The master data is written
+    ``wanted`` (column ``flsnr``) limits the report. Every section is cut to the reported
+    parcels by joining their unique numbers, which brings the district along. The master data is written
     out first: it is worked out once, and when only some parcels are wanted, the
     planner sees how few they are and broadcasts them instead of shuffling every
     section's table.
     """
     master = materialize(master_data(tables, wanted), "master")
-    reported = master.select("flsnr")
+    reported = master.select("flsnr", "gemashl")
     blocks = {"master": master}
 
     def cut(df: DataFrame) -> DataFrame:
-        return df.join(reported, "flsnr", "left_semi")
+        return df.drop("gemashl").join(reported, "flsnr", "inner")
 
     if found := optional(tables, "strassen", "str_shl"):
         blocks["streets"] = cut(addresses.parcel_streets(*found))
@@ -84,7 +85,7 @@ def report_blocks(tables: Tables, wanted: DataFrame | None = None) -> dict[str,
             .select("flsnr", F.col("nutzsl").alias("nutzshl"), "nutzung", "fl"))
     if found := optional(tables, "parcel", "valuation", "valuation_code"):
         parcels, rows, codes = found
-        blocks["valuation"] = soil.valuation(cut(current(parcels)), rows, codes, keep=["flsnr"])
+        blocks["valuation"] = cut(soil.valuation(cut(current(parcels)), rows, codes, keep=["flsnr"]))
     if found := optional(tables, "parcel", "soil"):
         parcels, surveys = found
         # both sections need the overlay: it is computed once and kept
@@ -92,8 +93,8 @@ def report_blocks(tables: Tables, wanted: DataFrame | None = None) -> dict[str,
             soil.parcel_soil(cut(current(parcels)), surveys, keep=["flsnr"]), "soil")
         lists = {name[len("soil_"):]: df for name, df in tables.items()
                  if name.startswith("soil_")}
-        blocks["soil"] = soil.soil_description(shared, surveys, lists)
-        blocks["yield"] = soil.yield_index(shared, "flsnr")
+        blocks["soil"] = cut(soil.soil_description(shared, surveys, lists))
+        blocks["yield"] = cut(soil.yield_index(shared, "flsnr"))
     if found := optional(tables, "ausfst", "afst_shl"):
         rows, names = found
         blocks["offices"] = cut(current_book(rows).join(names, "ausf_st", "inner")
@@ -106,7 +107,7 @@ def report_blocks(tables: Tables, wanted: DataFrame | None = None) -> dict[str,
         blocks["holdings"] = cut(owners.holdings(*found, court))
         if "eigner" in tables:
             blocks["owners"] = blocks["holdings"].select(
-                "flsnr", "bestdnr", "zhist", "bhist", "b", "bvnr", "auftlnr").join(
+                "flsnr", "gemashl", "bestdnr", "zhist", "bhist", "b", "bvnr", "auftlnr").join(
                 owners.folio_owners(tables["eigner"]).drop("ff_stand"), "bestdnr", "left")
     return blocks
 
@@ -144,7 +145,7 @@ def _place(df: DataFrame, section: str, html: Column, line: int = 1, closing: bo
            **keys: Column) -> DataFrame:
     """A line of the document with its sort values; closing lines follow their section."""
     return df.select(
-        "flsnr", F.lit(2 * SECTIONS.index(section) + closing).alias("section"),
+        "flsnr", "gemashl", F.lit(2 * SECTIONS.index(section) + closing).alias("section"),
         *[keys.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in SORT_VALUES.items()],
         F.lit(line).alias("line"), html.alias("html"))
 
@@ -203,7 +204,7 @@ def report_lines(blocks: Mapping[str, DataFrame], currency: DataFrame | None = N
     if "landuse" in blocks:
         use = F.concat(esc(F.col("nutzung")), F.lit(" ("), esc(F.col("nutzshl")), F.lit(")"))
         section("landuse", _row(use, _area(F.col("fl"))), s1=F.coalesce("nutzshl", F.lit("")))
-        none = master.select("flsnr").join(blocks["landuse"].select("flsnr"), "flsnr", "left_anti")
+        none = master.select("flsnr", "gemashl").join(blocks["landuse"].select("flsnr"), "flsnr", "left_anti")
         tables.append(_place(none, "landuse", _row(F.lit(NO_LAND_USE))))
     if "valuation" in blocks:
         section("valuation", _row(esc(F.col("klf_text")), _area(F.col("fl"))),
@@ -254,15 +255,15 @@ def _frames(rows: DataFrame) -> DataFrame:
     """
     opening = F.create_map(*[F.lit(v) for name, (title, columns) in HEADINGS.items() for v in (
         2 * SECTIONS.index(name), f"<h2>{title}</h2><table>{columns}")])
-    having = rows.select("flsnr", "section").distinct()
+    having = rows.select("flsnr", "gemashl", "section").distinct()
     frame = F.explode(F.array(
         F.struct(F.col("section"), F.lit(0).alias("line"),
                  F.element_at(opening, F.col("section")).alias("html")),
         F.struct((F.col("section") + 1).alias("section"), F.lit(1).alias("line"),
                  F.lit("</table>").alias("html"))))
-    framed = having.select("flsnr", frame.alias("f"))
+    framed = having.select("flsnr", "gemashl", frame.alias("f"))
     return framed.select(
-        "flsnr", "f.section", *[F.lit(None).cast(t).alias(n) for n, t in SORT_VALUES.items()],
+        "flsnr", "gemashl", "f.section", *[F.lit(None).cast(t).alias(n) for n, t in SORT_VALUES.items()],
         "f.line", "f.html")
 
 
@@ -285,8 +286,7 @@ def parcel_report(tables: Tables, wanted: DataFrame | None = None,
     """Lines of the reports of all (or the wanted) parcels, with district."""
     blocks = report_blocks(tables, wanted)
     currency = data_currency(tables["imports"]) if "imports" in tables else None
-    lines = report_lines(blocks, currency, footnote)
-    return lines.join(blocks["master"].select("flsnr", "gemashl"), "flsnr", "inner")
+    return report_lines(blocks, currency, footnote)
 
 
 def owner_search(tables: Tables, terms: str, user: str, log_path: str | None,

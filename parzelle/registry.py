@@ -736,7 +736,7 @@ def parcel_landuse(spark, sf):
             "if(l_linenumber % 5 = 0, 1, 0) as ff_stand"),
         "nutz_shl": lines.filter("l_returnflag <> 'N'").selectExpr(
             "l_returnflag as nutzshl", "'Nutzung ' || l_returnflag as nutzung").distinct(),
-    })["landuse"]
+    })["landuse"].drop("gemashl")
 
 
 @query
@@ -749,7 +749,7 @@ def parcel_offices(spark, sf):
                                     "if(o_orderkey % 7 = 0, 1, 0) as ff_stand"),
         "afst_shl": orders.selectExpr("o_orderstatus as ausf_st",
                                       "'Stelle ' || o_orderstatus as afst_txt").distinct(),
-    })["offices"]
+    })["offices"].drop("gemashl")
 
 
 @query
@@ -798,7 +798,7 @@ def parcel_report_flat(spark, sf):
     for name in ("streets", "soil", "holdings", "owners"):
         sizes = blocks[name].groupBy("flsnr").agg(F.count(F.lit(1)).alias(f"n_{name}"))
         flat = flat.join(sizes, "flsnr", "left").fillna(0, [f"n_{name}"])
-    return flat.join(blocks["yield"], "flsnr", "left")
+    return flat.join(blocks["yield"].select("flsnr", "emz"), "flsnr", "left")
 
 
 @query

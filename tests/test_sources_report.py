@@ -179,7 +179,7 @@ def test_report_covers_unique_current_parcels(tables):
     blocks = R.report_blocks(tables)
     assert rows(blocks["master"], "flsnr", "gemarkung") == [("n1", "Mark"), ("n2", "Mark")]
     assert rows(blocks["streets"], "flsnr", "num_key") == [("n1", 9), ("n1", 10)]
-    assert rows(blocks["yield"]) == [("n1", 44)]
+    assert rows(blocks["yield"], "flsnr", "emz") == [("n1", 44)]
     assert rows(blocks["soil"], "fl") == [(40,), (50,)]
     assert "valuation" not in blocks
 
