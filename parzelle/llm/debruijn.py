@@ -40,22 +40,18 @@ from pyspark.sql import functions as F
 
 from parzelle.llm.common import keyed, same_document
 from parzelle.llm.windows import Sums, sliding_min, window_starts
-from parzelle.llm.words import SPACES, batches
+from parzelle.llm.words import SPACES, batches, texts_of
 from parzelle.session import materialize
 
 K = 35
 ANCHOR = 10
 
 
-def _texts(rows: pa.RecordBatch):
-    return (t.as_py() for t in rows.column("text").cast(pa.binary()))
-
-
 def _stretches(k: int, anchor: int):
     """``doc_id, digest, at, n, anchor, path, loops``: stretches of n windows from ``at``."""
     def run(tables):
         for rows in tables:
-            for batch in batches(_texts(rows), k - 1):
+            for batch in batches(texts_of(rows), k - 1):
                 start, text = window_starts(batch, k)
                 if not len(start):
                     continue
@@ -89,7 +85,7 @@ def _edges(k: int):
     def run(tables):
         for rows in tables:
             parts = rows.column("parts").to_pylist()
-            for batch in batches(_texts(rows), k - 1):
+            for batch in batches(texts_of(rows), k - 1):
                 sums = Sums(batch, 2)
                 out = []
                 for i, row in enumerate(batch.rows.tolist()):
@@ -135,7 +131,7 @@ def _removed(k: int):
         for rows in tables:
             n_words, n_removed, digests = [], [], []
             checked = _checker(rows, k)
-            for i, text in enumerate(_texts(rows)):
+            for i, text in enumerate(texts_of(rows)):
                 text = text or b""
                 starts, ends, gone = covered_words(text, checked(i), k)
                 kept = np.flatnonzero(~gone)
@@ -158,7 +154,7 @@ def _checker(rows: pa.RecordBatch, k: int):
     """The spans of a row, after a look at the words at their coordinates."""
     spans = rows.column("spans").to_pylist()
     wanted = [[s for s in spans[i] or () if s["path"] is not None] for i in range(rows.num_rows)]
-    texts = [t if w else b"" for t, w in zip(_texts(rows), wanted, strict=True)]
+    texts = [t if w else b"" for t, w in zip(texts_of(rows), wanted, strict=True)]
     longest = max((s["n"] for w in wanted for s in w), default=0) + k - 1
     bad = set()
     for batch in batches(texts, longest):
@@ -204,9 +200,11 @@ def repeated_spans(docs: DataFrame, k: int = K, anchor: int = ANCHOR) -> DataFra
                           ).agg(F.collect_list(part).alias("parts"))
     edges = same_document(texts, parts, "inner").mapInArrow(
         _edges(k), f"anchor long, edge long, {who}, at int, repeated boolean")
-    twice = (edges.groupBy("anchor", "edge")
-             .agg(F.count("*").alias("c"), F.max("repeated").alias("repeated"))
-             .where("c > 1 or repeated").select("anchor", "edge"))
+    # written, so that the join below can split an edge that very many documents share
+    twice = materialize(
+        edges.groupBy("anchor", "edge")
+        .agg(F.count("*").alias("c"), F.max("repeated").alias("repeated"))
+        .where("c > 1 or repeated").select("anchor", "edge"), "edges")
     single = (edges.where("not repeated").join(twice, ["anchor", "edge"])
               .select("doc_id", "digest", "at", F.lit(1).alias("n"),
                       F.lit(None).cast("long").alias("path")))

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parzelle.llm.common import BROADCAST_ROWS
+from parzelle.llm.common import BROADCAST_ROWS, let
 from parzelle.session import materialize
 
 #: Positions of the masks within eight and six tokens (five positions each).
@@ -45,10 +45,6 @@ def tokens(text: Column) -> Column:
         F.split(F.regexp_replace(plain, TOKEN_BREAK + "$", ""), TOKEN_BREAK))
 
 
-def _let(value: Column, body) -> Column:
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def _seeds_of(hashes: Column, mask: int, positions: tuple[int, ...], alone: bool) -> Column:
     """The seeds of a mask at every place, with ``alone`` only if it spans the whole."""
     span = positions[-1] + 1
@@ -63,7 +59,7 @@ def _seed_rows(texts: DataFrame, keys: list[str], masks: list[tuple[int, ...]],
                is_item: bool) -> DataFrame:
     """``keys, seed, at`` for every place of every mask."""
     hashes = F.transform("_tokens", lambda w: F.xxhash64(w))
-    lists = texts.select(*keys, _let(hashes, lambda h: F.array(
+    lists = texts.select(*keys, let(hashes, lambda h: F.array(
         *(_seeds_of(h, m, p, is_item and m >= len(MASKS)) for m, p in enumerate(masks)))
     ).alias("_seeds"))
     return (lists.select(*keys, F.explode("_seeds").alias("_list"))
@@ -97,7 +93,7 @@ def _compared(doc: Column, item: Column, diagonal: Column, window: Column) -> Co
             F.sequence(F.lit(0), F.size(f) - window),
             lambda j: _total(F.slice(f, j + 1, window))))).otherwise(0)
 
-    return _let(_let(doc, flags), lambda f: F.struct(
+    return let(let(doc, flags), lambda f: F.struct(
         F.size(f).alias("n_overlap"), _total(f).alias("n_equal"), best(f).alias("best_window"),
         (begin + diagonal).alias("doc_start")))
 

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parzelle.llm.common import WORD, held_out
+from parzelle.llm.common import WORD, held_out, let
 
 #: Most labelled documents the rules are learned from; chosen by a hash of the id.
 EXAMPLES = 6_000
@@ -40,11 +40,6 @@ def _without(text: Column, characters: str) -> Column:
     return F.length(F.translate(text, characters, ""))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def repeated_words(words: Column, n: int = 3) -> Column:
     """How many words lie in an n-word window that occurs twice or more.
 
@@ -54,12 +49,12 @@ def repeated_words(words: Column, n: int = 3) -> Column:
     def windows(w: Column) -> Column:
         hashed = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.struct(
             F.xxhash64(*(F.get(w, i + j) for j in range(n))).alias("h"), i.alias("i")))
-        return _let(F.array_sort(hashed), places)
+        return let(F.array_sort(hashed), places)
 
     def places(s: Column) -> Column:
         marked = F.transform(s, lambda x, k: F.when(
             (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"]), x["i"]))
-        return _let(F.array_compact(marked), covered)
+        return let(F.array_compact(marked), covered)
 
     def moved(p: Column, by: int) -> Column:
         return F.transform(p, lambda i: i + by)
@@ -67,7 +62,7 @@ def repeated_words(words: Column, n: int = 3) -> Column:
     def covered(p: Column) -> Column:
         return F.size(F.array_distinct(F.concat(*(moved(p, by) for by in range(n)))))
 
-    return F.when(F.size(words) < n, 0).otherwise(_let(words, windows)).cast("long")
+    return F.when(F.size(words) < n, 0).otherwise(let(words, windows)).cast("long")
 
 
 def statistics(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -75,7 +70,7 @@ def statistics(docs: DataFrame, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     out = (docs.select(*keep, text.alias("_text"))
            .select(*keep, "_text", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_words"),
-                   _let(F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)), lambda x: F.struct(
+                   let(F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD)), lambda x: F.struct(
                        F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("kinds"))).alias("_lines")))
     t, whole = F.col("_text"), F.length("_text")
     return out.select(

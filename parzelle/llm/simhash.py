@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parzelle.llm import graph
-from parzelle.llm.words import Batch, batches, xxh64
+from parzelle.llm.words import Batch, batches, texts_of, xxh64
 from parzelle.session import materialize
 
 SHINGLE = 4
@@ -65,11 +65,10 @@ def _add_bits(batch: Batch, shingle: int, counts: np.ndarray, totals: np.ndarray
 def _fingerprints(shingle: int):
     def run(tables):
         for rows in tables:
-            texts = (t.as_py() for t in rows.column("text").cast(pa.binary()))
             counts = np.zeros((rows.num_rows, 64), np.int64)
             totals = np.zeros(rows.num_rows, np.int64)
             # A-Z only: bytes.lower leaves all others
-            for batch in batches((t and t.lower() for t in texts), shingle - 1):
+            for batch in batches((t and t.lower() for t in texts_of(rows)), shingle - 1):
                 _add_bits(batch, shingle, counts, totals)
             bits = np.packbits(2 * counts > totals[:, None], axis=1)
             prints = bits.view(">u8").ravel().astype(np.uint64).view(np.int64)

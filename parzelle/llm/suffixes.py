@@ -33,17 +33,13 @@ from pyspark.sql import functions as F
 
 from parzelle.llm.common import keyed, same_document
 from parzelle.llm.windows import Sums, sliding_min, window_starts
-from parzelle.llm.words import batches
+from parzelle.llm.words import batches, texts_of
 from parzelle.session import materialize
 
 LENGTH = 50
 ANCHOR = 16
 
 
-def _texts(rows: pa.RecordBatch):
-    return (t.as_py() for t in rows.column("text").cast(pa.binary()))
-
-
 def _places(grams: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
     """The leftmost least of the ``width`` grams from each start."""
     least = sliding_min(grams, width)[start]
@@ -61,7 +57,7 @@ def _retained(length: int, anchor: int):
     ``low`` to ``high`` are its neighbourhood."""
     def run(tables):
         for rows in tables:
-            for batch in batches(_texts(rows), length - 1):
+            for batch in batches(texts_of(rows), length - 1):
                 start, text = window_starts(batch, length)
                 if not len(start):
                     continue
@@ -145,7 +141,7 @@ def _opened(length: int):
     def run(tables):
         for rows in tables:
             parts = rows.column("parts").to_pylist()
-            for batch in batches(_texts(rows), length - 1):
+            for batch in batches(texts_of(rows), length - 1):
                 sums = Sums(batch, 2)
                 out = []
                 for i, row in enumerate(batch.rows.tolist()):

@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Bytes of text handled at once by a task; longer texts are cut between words.
@@ -36,6 +37,10 @@ class Batch:
     last: np.ndarray
 
 
+def texts_of(rows: pa.RecordBatch) -> Iterator[bytes | None]:
+    return (t.as_py() for t in rows.column("text").cast(pa.binary()))
+
+
 def flatten(pieces: list[tuple[int, int, bool, bytes]]) -> Batch:
     rows, first, last, texts = zip(*pieces, strict=True)
     raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
