@@ -527,9 +527,16 @@ def learn(pages: Sequence[str], layouts: int = LAYOUTS, seed: int = 6) -> Labell
 
 
 def examples(pages: DataFrame, most: int = EXAMPLES) -> list[str]:
-    """A bounded sample of pages, by a hash of their id."""
-    rows = (pages.where(F.length("html") <= EXAMPLE_CHARS).select("page_id", "html")
-            .orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(most).collect())
+    """A bounded sample of pages, by a hash of their id.
+
+    The ids are chosen first, so that no task sends pages that aren't among them.
+    """
+    by_hash = (F.xxhash64("page_id"), F.col("page_id"))
+    chosen = (pages.select("page_id").where("page_id is not null").distinct()
+              .orderBy(*by_hash).limit(most))
+    rows = (pages.select("page_id", "html").join(F.broadcast(chosen), "page_id")
+            .where(F.length("html") <= EXAMPLE_CHARS)
+            .orderBy(*by_hash, F.xxhash64("html")).limit(most).collect())
     return [r["html"] for r in rows]
 
 
