@@ -35,9 +35,9 @@ from parzelle.session import materialize
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the vocabulary's tokenizer splits a text before its merges.
 PATTERN = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
-BLOCK_TOKENS = 32_768
+BLOCK_TOKENS = 8_192
 #: Blocks that one task orders at the lower level of the scan.
-BLOCKS_TOGETHER = 1_024
+BLOCKS_TOGETHER = 4_096
 #: Ids of documents in a row of a stream's list of documents.
 IDS_TOGETHER = 4_096
 
@@ -47,18 +47,36 @@ def vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Tokenizer:
+    """A vocabulary that builds its encoder once in each process it is used in."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.state = ranks, pattern
+        self.encoder = None
+
+    def __reduce__(self):
+        return Tokenizer, self.state
+
+    def encode(self, text: str) -> list[int]:
+        if self.encoder is None:
+            import tiktoken
+
+            ranks, pattern = self.state
+            self.encoder = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks,
+                                             special_tokens={})
+            self.state = None  # it is in the encoder now
+        return self.encoder.encode_ordinary(text)
+
+
 def token_type(end_id: int) -> np.dtype:
     return np.dtype("<u2" if end_id < 1 << 16 else "<u4")
 
 
-def _streams(shared, pattern: str, end_id: int, block_tokens: int):
+def _streams(shared, end_id: int, block_tokens: int):
     """``stream, place, data, ids``: blocks of tokens (``place`` is the block's number) and,
     apart from them, the documents' ids in order (``place`` is the first one's number)."""
     def run(tables):
-        import tiktoken
-
-        encode = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=shared.value,
-                                   special_tokens={}).encode_ordinary
+        encode = shared.value.encode
         kind = token_type(end_id)
         width = block_tokens * kind.itemsize
         stream, block, held = TaskContext.get().partitionId(), 0, bytearray()
@@ -98,10 +116,10 @@ def write_streams(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTER
     ends a document. The vocabulary, read on the driver, is of a fixed size."""
     ranks = vocabulary(path)
     end_id = max(ranks.values()) + 1
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(ranks, pattern))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = materialize(docs.select("doc_id", "text").mapInArrow(
-        _streams(shared, pattern, end_id, block_tokens),
+        _streams(shared, end_id, block_tokens),
         f"stream int, place long, data binary, ids array<{kind}>"), "token-streams")
     return (rows.where("data is not null").select("stream", "place", "data"),
             rows.where("ids is not null").select("stream", "place", "ids"), end_id)
