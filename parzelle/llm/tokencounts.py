@@ -72,7 +72,7 @@ def token_type(end_id: int) -> np.dtype:
     return np.dtype("<u2" if end_id < 1 << 16 else "<u4")
 
 
-def _streams(shared, end_id: int, block_tokens: int):
+def _streams(shared, end_id: int, block_tokens: int, ids_together: int):
     """``stream, place, data, ids``: blocks of tokens (``place`` is the block's number) and,
     apart from them, the documents' ids in order (``place`` is the first one's number)."""
     def run(tables):
@@ -101,16 +101,20 @@ def _streams(shared, end_id: int, block_tokens: int):
                     yield rows([(block, bytes(held[:width]))], [])
                     block += 1
                     del held[:width]
-                if len(ids) == IDS_TOGETHER:
+                if len(ids) == ids_together:
                     yield rows([], [(listed, ids)])
                     listed, ids = listed + len(ids), []
+        # each on its own: the list may just have been handed out and tokens still be held
+        if held:
+            yield rows([(block, bytes(held))], [])
         if ids:
-            yield rows([(block, bytes(held))] if held else [], [(listed, ids)])
+            yield rows([], [(listed, ids)])
     return run
 
 
 def write_streams(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN,
-                  block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame, int]:
+                  block_tokens: int = BLOCK_TOKENS, ids_together: int = IDS_TOGETHER
+                  ) -> tuple[DataFrame, DataFrame, int]:
     """Tokenise documents into one stream for each task: the blocks ``(stream, place,
     data)``, the documents in the streams' order ``(stream, place, ids)``, and the id that
     ends a document. The vocabulary, read on the driver, is of a fixed size."""
@@ -119,7 +123,7 @@ def write_streams(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTER
     shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(ranks, pattern))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = materialize(docs.select("doc_id", "text").mapInArrow(
-        _streams(shared, end_id, block_tokens),
+        _streams(shared, end_id, block_tokens, ids_together),
         f"stream int, place long, data binary, ids array<{kind}>"), "token-streams")
     return (rows.where("data is not null").select("stream", "place", "data"),
             rows.where("ids is not null").select("stream", "place", "ids"), end_id)
@@ -197,9 +201,10 @@ def count_tokens(blocks: DataFrame, end_id: int,
     return ended.union(rest.select("stream", "r.number", "r.n_tokens", F.lit(False)))
 
 
-def document_counts(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def document_counts(docs: DataFrame, path: str = VOCABULARY,
+                    ids_together: int = IDS_TOGETHER) -> DataFrame:
     """``doc_id, n_tokens, stream, number`` of every document."""
-    blocks, listed, end_id = write_streams(docs, path)
+    blocks, listed, end_id = write_streams(docs, path, ids_together=ids_together)
     counts = count_tokens(blocks, end_id).select("stream", "number", "n_tokens")
     ids = listed.select("stream", "place", F.posexplode("ids").alias("i", "doc_id")).select(
         "doc_id", "stream", (F.col("place") + F.col("i")).alias("number"))

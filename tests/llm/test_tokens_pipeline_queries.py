@@ -47,6 +47,18 @@ def test_token_counts_of_documents(edge, empty):
     assert tokencounts.document_counts(empty).count() == 0
 
 
+@has_vocabulary
+@pytest.mark.parametrize("n, together", [(3, 4), (4, 4), (5, 4), (8, 4), (4_096, None)])
+def test_token_counts_of_partitions_that_fill_their_lists(spark, n, together):
+    docs = spark.range(n).selectExpr("id as doc_id", "concat('one two ', id) as text").coalesce(1)
+    more = {} if together is None else {"ids_together": together}
+    import tiktoken
+    encode = tiktoken.Encoding("t", pat_str=tokencounts.PATTERN, special_tokens={},
+                               mergeable_ranks=tokencounts.vocabulary()).encode_ordinary
+    got = {r["doc_id"]: r["n_tokens"] for r in tokencounts.document_counts(docs, **more).collect()}
+    assert got == {i: len(encode(f"one two {i}")) for i in range(n)}
+
+
 def test_scan_of_flat_files(spark, tmp_path):
     r = random.Random(3)
     want = []
