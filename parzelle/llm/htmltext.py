@@ -14,9 +14,11 @@ known by construction.
 
 Defined cases: null and empty pages have the empty text; scripts, styles, comments and
 the head have none; tags that are never closed, closed twice or cut off are read like a
-browser would; pages whose blocks all count as furniture give the empty text. Without any
-page to learn from a page's blocks are judged by the layouts alone. Extra columns are not
-read.
+browser would, which ends an open head at the first tag or text that can't be in one. A
+never-closed button, select, drawing or player, in which a browser would leave all that
+follows, ends at the next block instead, so that no text is lost to it; pages whose
+blocks all count as furniture give the empty text. Without any page to learn from a
+page's blocks are judged by the layouts alone. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -46,13 +48,20 @@ SILENT = frozenset("script style noscript template head title svg math iframe ob
                    "audio video select textarea datalist button".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe")
+#: Fixed value: tags that leave an open head open.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style "
+                    "template title".split())
+#: Silent tags that the next block ends if they are never closed.
+ENDED_BY_BLOCKS = frozenset("svg math object canvas audio video select datalist button".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer "
                            "form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul "
                            "li dd dt tr td th".split())
 #: Fixed value: tags that end an open one of their kind, and up to which tag.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({"dd", "dt"}, {"dl"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table"}),
-            "th": ({"td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
+            "th": ({"td", "th"}, {"table"}), "option": ({"option"}, {"select"}),
+            "button": ({"button"}, {"template", "object", "table", "td", "th"}),
+            "select": ({"select"}, {"template", "object", "table", "td", "th"})}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
@@ -83,11 +92,27 @@ def _plain(text: str) -> str:
     return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
+def _never_closed(tokens: Sequence[re.Match]) -> set[int]:
+    """Where the tags of ``ENDED_BY_BLOCKS`` start that have no end tag."""
+    opened: dict[str, list[int]] = {}
+    for token in tokens:
+        tag = (token.group(3) or "").lower()
+        if tag not in ENDED_BY_BLOCKS or token.group(4).endswith("/"):
+            continue
+        if not token.group(2):
+            opened.setdefault(tag, []).append(token.start())
+        elif opened.get(tag):
+            opened[tag].pop()
+    return {at for places in opened.values() for at in places}
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in its order."""
     out: list[Block] = []
-    # open tags: (tag, path down to it, inside a link, silent)
-    top = ("", (), False, False)
+    tokens = list(TOKEN.finditer(page))
+    endless = _never_closed(tokens)
+    # open tags: (tag, path down to it, inside a link, silent, ended by the next block)
+    top = ("", (), False, False, False)
     stack = [top]
     pieces: list[str] = []
     linked, path = 0, ()
@@ -102,7 +127,9 @@ def blocks(page: str) -> list[Block]:
 
     def take(text: str):
         nonlocal linked, path
-        tag, above, link, silent = stack[-1]
+        if stack[-1][0] == "head" and text and not text.isspace():
+            close(len(stack) - 1)
+        _, above, link, silent, _ = stack[-1]
         if silent or not text:
             return
         if not text.isspace():
@@ -118,7 +145,7 @@ def blocks(page: str) -> list[Block]:
                 flush()
 
     at = 0
-    for token in TOKEN.finditer(page):
+    for token in tokens:
         take(page[at:token.start()])
         at = token.end()
         tag = token.group(3)
@@ -132,11 +159,21 @@ def blocks(page: str) -> list[Block]:
             elif tag not in INLINE:
                 flush()
             continue
+        if stack[-1][0] == "head":
+            if tag == "head":
+                continue
+            if tag not in IN_HEAD:
+                close(len(stack) - 1)
         if tag == "br":
             take(" ")
             continue
         if tag in ENDS_PARAGRAPH:
             flush()
+            for d in range(len(stack) - 1, 0, -1):
+                if stack[d][4]:
+                    close(d)
+                elif stack[d][0] in SILENT:
+                    break
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == "p"), 0)
             if depth:
                 close(depth)
@@ -152,9 +189,10 @@ def blocks(page: str) -> list[Block]:
             flush()
         if tag in VOID or token.group(4).endswith("/") and tag not in ENDS_PARAGRAPH:
             continue
-        _, above, link, silent = stack[-1]
+        _, above, link, silent, _ = stack[-1]
         step = above if tag in INLINE else (*above, tag, *_names(token.group(4)))
-        stack.append((tag, step, link or tag == "a", silent or tag in SILENT))
+        stack.append((tag, step, link or tag == "a", silent or tag in SILENT,
+                      token.start() in endless))
     # a tag that is cut off at the end of the page is no text
     rest = page[at:]
     cut = rest.rfind("<")

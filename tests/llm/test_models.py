@@ -166,6 +166,28 @@ def test_blocks_of_a_page():
     assert htmltext.blocks(PAGE)[0].linked == 1
 
 
+HEAD = '<html><head><meta charset="utf-8"><title>T</title><style>p{}</style><link href="x">'
+ARTICLE = "<article><h1>Top</h1><p>One <i>two</i></article>"
+
+
+@pytest.mark.parametrize("start", [
+    HEAD + "<body>", HEAD, HEAD + "</head><body>", HEAD + "<head><body>", HEAD + "</body>",
+    HEAD + "<template><p>silent</p></template><noscript><p>silent</p></noscript><body>",
+    "<head><script>if (a < b) '</head>'</script><BODY class=x>", "<head>",
+    "<body><button>Go", "<body><div><button><span>Go", "<select><option>A<option>B",
+    "<svg><path d=''><text>silent</text>", "<video><source src=x>", "<object>silent<canvas>silent",
+    "<button>Go<button>Go</button>", "<svg><svg/><p>silent</p></svg>", "<body><button><div>Go</div></button>",
+    "<video><p>silent</p></video>", "<object><video><p>silent</p></object>"])
+def test_silent_tags_that_are_never_closed(start):
+    assert [b.text for b in htmltext.blocks(start + ARTICLE)] == ["Top", "One two"]
+
+
+def test_text_ends_an_open_head():
+    assert [b.text for b in htmltext.blocks("<head><title>T</title> \n Hello <b>all</b><p>One")] \
+        == ["Hello all", "One"]
+    assert [b.text for b in htmltext.blocks("<head><title>T</title>One<br>two</head>")] == ["One two"]
+
+
 @pytest.fixture(scope="module")
 def labeller():
     r = np.random.default_rng(5)
