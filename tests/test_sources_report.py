@@ -1,16 +1,21 @@
 import datetime as dt
 import os
+from pathlib import Path
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from parzelle import registry
+from parzelle import standins as V
 from parzelle.functions import geometry as G
 from parzelle.operators.selection import extent_of
 from parzelle.plans import report as R
 from parzelle.sources import audit, export
 from parzelle.sources import tables as S
 
+SF = Path("/root/testdata/sf0.001")
+
 
 def test_read_tables(spark, tmp_path):
     spark.range(3).withColumnRenamed("id", "Alt").write.parquet(str(tmp_path / "phys.parquet"))
@@ -253,6 +258,17 @@ def test_owner_at_points(spark, tables, tmp_path):
     assert entry["requestType"] == "eigentuemerInfo" and entry["result"] == ["n1"]
 
 
+@pytest.mark.skipif(not SF.exists(), reason="test tables not present")
+def test_registered_owner_queries_look_up_every_point(spark):
+    points = [(round(r["x"], 3), round(r["y"], 3)) for r in V.view(spark, str(SF), "point").collect()]
+    hit = [r for r in V.view(spark, str(SF), "parcel").collect() if r["endet"] is None and any(
+        r["minx"] < x < r["maxx"] and r["miny"] < y < r["maxy"] for x, y in points)]
+    assert rows(registry.QUERIES["owner_audit_log"](spark, str(SF)), "flsnr") == sorted(
+        (str(r["pid"]),) for r in hit)
+    assert rows(registry.QUERIES["owner_at_points"](spark, str(SF)), "flsnr", "gemashl") == sorted(
+        (str(r["pid"]), r["gemashl"]) for r in hit if r["ff_stand"] == 0)
+
+
 def test_owner_search_is_recorded(spark, tables, tmp_path):
     log = str(tmp_path / "log")
     assert rows(R.owner_search(tables, "ada", "u", log), "flsnr") == [("n1",)]
