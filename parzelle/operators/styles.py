@@ -133,9 +133,10 @@ def line_strokes(style_line: DataFrame | None, line_def: DataFrame, stroke_membe
     """All strokes of every line style, lengths in map units.
 
     With ``style_line`` the chain starts at the style and, without a chosen
-    catalogue, takes its colour; with ``None`` it starts at the definition. A stroke
-    that is not defined or has no colour can't be drawn and is left out; a style with
-    no other stroke has none.
+    catalogue, takes its colour; with ``None`` it starts at the definition, and without a
+    chosen catalogue the caller colours the line (``r, g, b`` are null). A definition
+    without strokes is a solid line, absent numbers are 0; only a stroke whose colour is
+    asked for and missing is left out.
     """
     chosen = of_catalog(line_def, catalog_id)
     if style_line is None:
@@ -152,12 +153,14 @@ def line_strokes(style_line: DataFrame | None, line_def: DataFrame, stroke_membe
     parts = stroke.select(F.col("id").alias("__stroke"), "laenge", "einzug", "abstand")
     rows = (lines.join(members, lines["strichart"] == members["__set"], "left")
             .join(parts, "__stroke", "left"))
-    rows = (with_color(rows, colors.select("id", "r", "g", "b"), "left")
-            .filter("r is not null and g is not null and b is not null and laenge is not null"
-                    " and einzug is not null and strichstaerke is not null"))
+    if style_line is None and catalog_id < 0:
+        rows = rows.withColumns({c: F.lit(None).cast("int") for c in "rgb"})
+    else:
+        rows = (with_color(rows, colors.select("id", "r", "g", "b"), "left")
+                .filter("r is not null and g is not null and b is not null"))
 
     def metres(name: str) -> Column:
-        return (F.col(name) / 100.0).alias(name)
+        return F.coalesce(F.col(name) / 100.0, F.lit(0.0)).alias(name)
     return rows.select(F.col("signaturnummer").cast("string").alias("sn"),
                        F.col("__stroke").alias("stroke"), "abschluss", "scheitel",
                        metres("strichstaerke"), metres("laenge"), metres("einzug"),

@@ -341,10 +341,12 @@ oracle("styles_in_use", """
     select * from style_v s where exists (select 1 from po_v p where p.thema = 'BUILDING'
       and p.layer = 'ax_gebaeude' and p.sn = s.signaturnummer)""", "style", "po")
 
-# line definitions repeat the style key for a second catalogue; every third has no colour
+# line definitions repeat the style key for a second catalogue; every third has no colour,
+# every seventh no strokes
 LINE_DEF = """line_def as (select signaturnummer, katalog,
     case when cast(signaturnummer as int) % 3 = 0 then 99 else farbe end as farbe,
-    'S' || (cast(signaturnummer as int) % 4) as strichart,
+    case when cast(signaturnummer as int) % 7 = 4 then null
+      else 'S' || (cast(signaturnummer as int) % 4) end as strichart,
     cast(cast(signaturnummer as int) - 5 as double) as strichstaerke,
     case when cast(signaturnummer as int) % 2 = 0 then 'Abgeschnitten' else 'Rund' end
       as abschluss,
@@ -385,13 +387,14 @@ STROKES = """strokes as (select distinct p_partkey % 8 as id,
     case when p_partkey % 2 = 0 then [1.5, 1.5] else [2.0] end as gaps from part)"""
 oracle("line_strokes", """
     select s.signaturnummer as sn, k.id as stroke, l.abschluss, l.scheitel,
-      l.strichstaerke / 100 as strichstaerke, k.laenge, k.einzug,
-      case when len(gaps) = 2 then '1.50,1.50' else '2.00' end as gaps,
+      coalesce(l.strichstaerke / 100, 0) as strichstaerke, coalesce(k.laenge, 0) as laenge,
+      coalesce(k.einzug, 0) as einzug,
+      case len(gaps) when 2 then '1.50,1.50' when 1 then '2.00' else '' end as gaps,
       cast(split_part(c.umn, ' ', 1) as int) as r, cast(split_part(c.umn, ' ', 2) as int) as g,
       cast(split_part(c.umn, ' ', 3) as int) as b
-    from style_v s join line_def l on l.signaturnummer = s.signaturnummer and l.katalog = 1
-    join strokes k on 'S' || (k.id % 4) = l.strichart join color_v c on c.id = l.farbe
-    where s.katalog = 1""", "style", "color", more=(LINE_DEF, STROKES))
+    from style_v s left join line_def l on l.signaturnummer = s.signaturnummer and l.katalog = 1
+    left join strokes k on 'S' || (k.id % 4) = l.strichart left join color_v c on c.id = l.farbe
+    where s.katalog = 1 and c.id is not null""", "style", "color", more=(LINE_DEF, STROKES))
 # per order: every stroke has the gaps 1 and 2, so its pattern is 2 * length + 3
 ORDER_STROKES = """lines as (select cast(l_orderkey as varchar) as sn, l_linenumber as stroke,
     cast(l_linenumber % 3 as double) as laenge, l_quantity / 100 as einzug,
@@ -441,14 +444,14 @@ oracle("missing_symbols", """
       select cast(s_nationkey as varchar) from supplier where s_acctbal > 9000)""", "po",
        more=(ROUTED, USED_STYLES))
 
-# strokes of a style fit when they all have the same length; strokes without colour or
-# definition don't count, and a style without any other can't be drawn
+# strokes of a style fit when they all have the same length; a definition without strokes
+# is one solid line of length 0, and only lines without colour don't count
 DRAWABLE = """drawable as (
     select s.signaturnummer as sn from style_v s
-    join line_def l on l.signaturnummer = s.signaturnummer and l.katalog = 1
-    join strokes k on 'S' || (k.id % 4) = l.strichart join color_v c on c.id = l.farbe
-    where s.katalog = 1 group by 1
-    having count(distinct list_sum(gaps) + laenge * len(gaps)) = 1)"""
+    left join line_def l on l.signaturnummer = s.signaturnummer and l.katalog = 1
+    left join strokes k on 'S' || (k.id % 4) = l.strichart left join color_v c on c.id = l.farbe
+    where s.katalog = 1 and c.id is not null group by 1
+    having count(distinct coalesce(list_sum(gaps) + laenge * len(gaps), 0)) = 1)"""
 LINE_1 = LINE.replace("katalog = 0", "katalog = 1")
 EVERY = f"""every as (
     select 'area' as kind, theme, sublayer, sn, priority from ({FILL})
@@ -573,12 +576,10 @@ oracle("report_with_duplicate_district", """
     select cast(pid as varchar) as flsnr, 'Gemarkung ' || cast(substr(gemashl, 3) as int) as gemarkung
     from parcel_v where ff_stand = 0 and gemashl >= '030010'""", "parcel")
 oracle("report_date_without_imports", """
-    select cast(pid as varchar) as flsnr, day(today()) || '. ' || list_extract(['Januar', 'Februar',
-      'März', 'April', 'Mai', 'Juni', 'Juli', 'August', 'September', 'Oktober', 'November',
-      'Dezember'], cast(month(today()) as int)) || ' ' || year(today()) as datum
+    select cast(pid as varchar) as flsnr, '29. Februar 2024' as datum
     from parcel_v where ff_stand = 0""", "parcel")
 AT_POINTS = """hit as (select distinct pid from point_v join parcel_v on endet is null
-    and x > minx and x < maxx and y > miny and y < maxy and event_id % 3 = 0)"""
+    and x > minx and x < maxx and y > miny and y < maxy)"""
 oracle("owner_at_points", """
     select cast(pid as varchar) as flsnr, gemashl from parcel_v join hit using (pid)
     where ff_stand = 0""", "point", "parcel", more=(AT_POINTS,))

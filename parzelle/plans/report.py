@@ -10,6 +10,7 @@ into one row, so a parcel with a third of all holdings is as cheap as any other.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -155,18 +156,18 @@ def _area(value: Column) -> Column:
 
 
 def report_lines(blocks: Mapping[str, DataFrame], currency: DataFrame | None = None,
-                 footnote: str | None = None) -> DataFrame:
+                 footnote: str | None = None, as_of: date | None = None) -> DataFrame:
     """All lines of all documents; sort by ``ORDER`` with nulls first.
 
     ``currency`` is the one-row table with the date line (``data_currency``); without one
-    the report bears today's date. All values are escaped.
+    the report bears the date ``as_of``, by default today's. All values are escaped.
     """
     master = blocks["master"]
     for name in MASTER:
         if name not in master.columns:
             master = master.withColumn(name, F.lit(None).cast("string"))
     datum = currency.select("datum").scalar() if currency is not None \
-        else german_date(F.current_timestamp())
+        else german_date(F.current_timestamp() if as_of is None else F.lit(as_of))
     dated = master.withColumn("datum", datum)
 
     number = F.concat_ws("-", esc(F.col("gemashl")), esc(F.col("flr")), esc(F.col("flsnrk")))
@@ -282,11 +283,11 @@ def report_documents(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def parcel_report(tables: Tables, wanted: DataFrame | None = None,
-                  footnote: str | None = None) -> DataFrame:
+                  footnote: str | None = None, as_of: date | None = None) -> DataFrame:
     """Lines of the reports of all (or the wanted) parcels, with district."""
     blocks = report_blocks(tables, wanted)
-    currency = data_currency(tables["imports"]) if "imports" in tables else None
-    return report_lines(blocks, currency, footnote)
+    currency = data_currency(tables["imports"], as_of) if "imports" in tables else None
+    return report_lines(blocks, currency, footnote, as_of)
 
 
 def owner_search(tables: Tables, terms: str, user: str, log_path: str | None,

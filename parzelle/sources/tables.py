@@ -125,12 +125,12 @@ def proj_text(srids: DataFrame, spatial_ref_sys: DataFrame) -> DataFrame:
             .drop("proj4text"))
 
 
-def data_currency(imports: DataFrame) -> DataFrame:
-    """One row ``datum``: "Stand: " and the latest import date, else today."""
+def data_currency(imports: DataFrame, as_of: date | None = None) -> DataFrame:
+    """One row ``datum``: "Stand: " and the latest import date, else ``as_of`` or today."""
     latest = imports.agg(F.max(F.try_to_timestamp("datadate", F.lit(IMPORT_DATE))).alias("ts"))
     return latest.select(F.coalesce(
         F.concat(F.lit("Stand: "), text.german_date(F.col("ts"))),
-        text.german_date(F.current_timestamp())).alias("datum"))
+        text.german_date(F.current_timestamp() if as_of is None else F.lit(as_of))).alias("datum"))
 
 
 def style_catalogs(spark: SparkSession, catalogs: DataFrame | None) -> DataFrame:

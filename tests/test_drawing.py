@@ -247,7 +247,7 @@ def test_label_hits(spark):
     assert G.x("p") == "p.x" and G.y("p") == "p.y"
 
 
-def test_strokes_without_colour_or_definition_are_no_strokes(spark):
+def test_lines_without_strokes_are_solid_those_without_colour_are_none(spark):
     line_def = spark.createDataFrame(
         [("1", 1, "A", "x", "y", 25.0, 1), ("2", 1, "A", "x", "y", 25.0, None),
          ("3", 1, "none", "x", "y", 25.0, 1), ("4", 1, "B", "x", "y", 25.0, 1)],
@@ -260,5 +260,12 @@ def test_strokes_without_colour_or_definition_are_no_strokes(spark):
         "id", "umn", "1 as r", "2 as g", "3 as b")
     strokes = S.line_strokes(None, line_def, member, stroke, colors, 1)
     check = S.line_style_check(strokes)
-    assert sorted(r["sn"] for r in check.collect()) == ["1", "4"]
-    assert {(r["sn"], r["stroke"]) for r in strokes.collect()} == {("1", 7), ("4", 7)}
+    assert {(r["sn"], r["stroke"]) for r in strokes.collect()} == {
+        ("1", 7), ("3", None), ("4", 7), ("4", 99)}
+    # stroke 99 isn't defined: it is solid and doesn't fit the dashes beside it
+    assert {r["sn"]: r["same_length"] for r in check.collect()} == {"1": True, "3": True, "4": False}
+    solid = S.stroke_symbols(strokes, check).filter("sn = '3' and shape = 'line'").collect()
+    assert [(r["width"], r["dashes"], r["cap"]) for r in solid] == [(0.25, None, "round")]
+    # without style and catalogue the caller has the colour
+    plain = S.line_strokes(None, line_def, member, stroke, colors, -1)
+    assert {(r["sn"], r["r"]) for r in plain.collect()} == {(n, None) for n in "1234"}
