@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parzelle.llm import (debruijn, decontamination, htmltext, mixing, quality, sharding, simhash,
-                          suffixes, tokencounts, toxicity)
+from parzelle.llm import (debruijn, decontamination, htmltext, merkle, mixing, quality, sharding,
+                          simhash, suffixes, tokencounts, toxicity)
 from parzelle.llm.common import held_out, order_key, table
 
 
@@ -67,6 +67,10 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"), merkle.tampered())
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_debruijn": op2_debruijn,
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_main_text": op9_main_text,
     "op10_suffixes": op10_suffixes,
+    "op11_merkle": op11_merkle,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -188,7 +193,61 @@ select doc_id, (len(h) // 2 + 1)::bigint as size,
 from q, tab
 """
 
+OP11 = """
+with recursive tab as (select list_transform(range(0, 256), lambda i: list_reduce(
+      list_concat([i], range(0, 8)),
+      lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+d as (select row_number() over () as rid, *, xor(list_reduce(list_concat([4294967295],
+      list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)),
+      lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 3 = 0 as hit
+    from documents, tab),
+f as (select rid, doc_id, lang, concat(
+      coalesce(strlen(doc_id::varchar) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::varchar) || ':' || n_chars, '-')) as head,
+      text, case when hit then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+        else text end as shown from d),
+leaf as (select rid, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+      sha256(head || coalesce(strlen(shown) || ':' || shown, '-')) as shown from f),
+placed as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as place,
+      count(*) over (partition by lang) as n from leaf),
+lv as (select lang, 0 as level, place, leaf as node, n from placed
+  union all
+  select lang, level + 1, place // 8, sha256(string_agg(node, '' order by place)), (n + 7) // 8
+  from lv where n > 1 group by lang, level, place // 8, n),
+sub as (select lang, node as subroot, level as height,
+      row_number() over (order by lang nulls first) - 1 as place, count(*) over () as n
+    from lv where n = 1),
+tv as (select 0 as level, place, subroot as node, n from sub
+  union all
+  select level + 1, place // 8, sha256(string_agg(node, '' order by place)), (n + 7) // 8
+  from tv where n > 1 group by level, place // 8, n),
+step as (
+  select p.rid, s.level, coalesce(string_agg(s.node, '' order by s.place)
+        filter (where s.place < p.place // (8 ** s.level)::bigint), '') as l,
+      coalesce(string_agg(s.node, '' order by s.place)
+        filter (where s.place > p.place // (8 ** s.level)::bigint), '') as r
+  from placed p join lv s on s.lang is not distinct from p.lang and s.n > 1
+    and s.place // 8 = p.place // (8 ** (s.level + 1))::bigint group by p.rid, s.level
+  union all
+  select p.rid, b.height + s.level, coalesce(string_agg(s.node, '' order by s.place)
+        filter (where s.place < b.place // (8 ** s.level)::bigint), ''),
+      coalesce(string_agg(s.node, '' order by s.place)
+        filter (where s.place > b.place // (8 ** s.level)::bigint), '')
+  from placed p join sub b on b.lang is not distinct from p.lang join tv s on s.n > 1
+    and s.place // 8 = b.place // (8 ** (s.level + 1))::bigint group by p.rid, b.height, s.level),
+fold as (select rid, 0 as level, shown as node from placed
+  union all
+  select rid, level + 1, sha256(l || node || r) from fold join step using (rid, level)),
+proof as (select rid, string_agg(l || r, '' order by level) as t, count(*) as steps from step group by rid)
+select p.doc_id, p.leaf, b.subroot, (select node from tv where n = 1) as root,
+  sha256(coalesce(q.t, '')) as proof_sha256, f.node as folded_root,
+  f.node = (select node from tv where n = 1) as verified
+from placed p join sub b on b.lang is not distinct from p.lang
+  left join proof q using (rid) join fold f on f.rid = p.rid and f.level = coalesce(q.steps, 0)
+"""
+
 ORACLES = {
+    "op11_merkle": OP11,
     "op1_mix": OP1,
     "op2_debruijn": OP2,
     "op6_decontaminate": OP6,

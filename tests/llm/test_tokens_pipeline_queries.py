@@ -176,7 +176,7 @@ def plain(value):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "benchmark"):
+    for t in ("documents", "pages", "labels", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = entry_module.queries()[name](spark, str(SF))
     columns = sorted(df.columns)
@@ -190,6 +190,6 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = [n for n in entry_module.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert "pipeline" in entry_module.queries()
     assert mixing.CYCLE == (5, 2, 1)
