@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parzelle.llm import (debruijn, decontamination, htmltext, merkle, mixing, quality, sharding,
-                          simhash, suffixes, tokencounts, toxicity)
+from parzelle.llm import (debruijn, decontamination, hardnegatives, htmltext, merkle, mixing,
+                          quality, sharding, simhash, suffixes, tokencounts, toxicity)
 from parzelle.llm.common import held_out, order_key, table
 
 
@@ -71,6 +71,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(table(spark, sf_dir, "documents"), merkle.tampered())
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    rows = hardnegatives.usable(table(spark, sf_dir, "embeddings"),
+                                F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hardnegatives.mine(rows, vec_id % 100 == 0)
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_debruijn": op2_debruijn,
@@ -83,6 +90,7 @@ QUERIES = {
     "op9_main_text": op9_main_text,
     "op10_suffixes": op10_suffixes,
     "op11_merkle": op11_merkle,
+    "op12_hard_negatives": op12_hard_negatives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -246,7 +254,26 @@ from placed p join sub b on b.lang is not distinct from p.lang
   left join proof q using (rid) join fold f on f.rid = p.rid and f.level = coalesce(q.steps, 0)
 """
 
+OP12 = """
+with v as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pair as (select a.vec_id as anchor_id, r.vec_id, r.label = a.label as same,
+    list_inner_product(a.e, r.e)::bigint as score
+  from v a join v r on a.vec_id % 100 = 0 and (r.vec_id, r.label, r.e) is distinct from (a.vec_id, a.label, a.e)),
+p as (select * from pair where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.vec_id as positive_id, (row_number() over (partition by p.anchor_id, p.vec_id
+    order by n.score desc, n.vec_id))::int as rank, n.vec_id as negative_id,
+  p.score as positive_score, n.score as negative_score
+from p join pair n on n.anchor_id = p.anchor_id and not n.same
+  and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score
+qualify rank <= 10
+"""
+
 ORACLES = {
+    "op12_hard_negatives": OP12,
     "op11_merkle": OP11,
     "op1_mix": OP1,
     "op2_debruijn": OP2,
