@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from parzelle.llm import (debruijn, decontamination, hardnegatives, htmltext, merkle, mixing,
-                          quality, sharding, simhash, suffixes, tokencounts, toxicity)
+from parzelle.llm import (debruijn, decontamination, hardnegatives, htmltext, licences, merkle,
+                          mixing, quality, sharding, simhash, suffixes, tokencounts, toxicity)
 from parzelle.llm.common import held_out, order_key, table
 
 
@@ -78,6 +78,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hardnegatives.mine(rows, vec_id % 100 == 0)
 
 
+def op13_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mix": op1_mix,
     "op2_debruijn": op2_debruijn,
@@ -91,6 +95,7 @@ QUERIES = {
     "op10_suffixes": op10_suffixes,
     "op11_merkle": op11_merkle,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_licences": op13_licences,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -272,7 +277,57 @@ from p join pair n on n.anchor_id = p.anchor_id and not n.same
 qualify rank <= 10
 """
 
+def _listed(items) -> str:
+    return "[" + ", ".join("'" + w + "'" for w in items) + "]"
+
+
+OP13_TEMPLATES = ",\n  ".join(
+    f"({i}, '{label}', {_listed(licences.words(text))}, "
+    f"[{', '.join(_listed(licences.words(p)) for p in phrases)}])"
+    for i, (label, text, phrases) in enumerate(licences.TEMPLATES))
+OP13_BASE = ", ".join(f"('{label}', {_listed(licences.words(phrase))})" for phrase, label in licences.BASE)
+OP13 = rf"""
+with tpl(tid, label, w, phrases) as (values {OP13_TEMPLATES}),
+base(label, w) as (values {OP13_BASE}),
+d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    '{licences.UPPER}', '{licences.UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+post as (select tid, unnest(w) as word, unnest(range(0, len(w))) as q from tpl),
+place as (select rid, word, f from (select rid, unnest(w) as word, unnest(range(0, len(w))) as f from d)
+  where word in (select word from post)),
+df as (select word, count(distinct rid) as n from place group by word),
+has as (select distinct rid, tid, word, n from place join (select distinct tid, word from post) using (word)
+  join df using (word)),
+looked as (select * from has qualify row_number() over (partition by rid, tid order by n, word) <= {licences.LOOKED_UP}),
+hit as (select l.rid, l.tid, l.word, f - q as begins from looked l join place p on p.rid = l.rid
+  and p.word = l.word join post o on o.tid = l.tid and o.word = l.word),
+size as (select tid, len(w) as n, ceil(least({licences.LOOKED_UP}, len(list_distinct(w))) / 2.0) as needed from tpl),
+band as (select rid, tid, shift, floor((begins + shift) / {licences.BAND}.0)::bigint as b
+  from hit join size using (tid) cross join (values (0), ({licences.BAND // 2})) s(shift)
+  group by rid, tid, shift, b, needed having count(distinct word) >= needed),
+span as (select rid, tid, greatest(0, b * {licences.BAND} - shift) as lo,
+    b * {licences.BAND} - shift + {licences.BAND - 1} + n as hi from band join size using (tid)),
+part as (select s.rid, s.tid, d.w[s.lo + 1:s.hi] as w, t.w as tw, t.label, t.phrases
+  from span s join d using (rid) join tpl t using (tid) where s.hi > s.lo),
+verified as (select rid, label, list_sum(list_transform(list_distinct(tw), lambda x: least(
+      len(list_filter(tw, lambda y: y = x)), len(list_filter(w, lambda y: y = x))))) / len(tw)::double as share
+  from part where len(list_filter(phrases, lambda p: len(list_filter(range(1, len(w) - len(p) + 2),
+      lambda i: w[i:i + len(p) - 1] = p)) = 0)) = 0),
+found as (select rid, b.label, f from (select rid, unnest(range(0, len(w))) as f, w from d
+    where len(w) > 0) x join base b on x.w[f + 1] = b.w[1] and x.w[f + 1:f + len(b.w)] = b.w),
+sums as (select rid, count(*) as n, min(f) as lo, max(f) as hi,
+    string_agg(distinct label, ',' order by label) as labels from found group by rid),
+best as (select rid, max(share) as share from verified where share >= {licences.LEAST_SHARE} group by rid),
+every as (select rid, string_agg(distinct label, ',' order by label) as labels from (
+    select rid, label from found union all
+    select rid, label from verified where share >= {licences.LEAST_SHARE}) group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(s.n, 0)::bigint as n_base, s.lo as first_word,
+  s.hi as last_word, coalesce(s.labels, '') as base_labels, coalesce(e.labels, '') as labels,
+  case when e.labels is null then 0.0::double else 0.5::double + 0.5::double * coalesce(b.share, 0) end as score
+from d left join sums s using (rid) left join every e using (rid) left join best b using (rid)
+"""
+
 ORACLES = {
+    "op13_licences": OP13,
     "op12_hard_negatives": OP12,
     "op11_merkle": OP11,
     "op1_mix": OP1,
