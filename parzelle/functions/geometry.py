@@ -94,22 +94,55 @@ def y(point: str) -> str:
 
 # -- predicates -------------------------------------------------------------
 
-def _turn(e: str, px: str, py: str) -> str:
-    """Positive when (px, py) lies to the left of the directed edge."""
-    return f"(({e}.x2 - {e}.x1) * ({py} - {e}.y1) - ({px} - {e}.x1) * ({e}.y2 - {e}.y1))"
+# Share of the two products by which rounding can move their difference at most.
+TURN_ERROR = (3 + 16 * ROUNDING) * ROUNDING
+
+
+def _grid(a: str, b: str, c: str) -> str:
+    """The power of two that turns three ordinates into whole numbers of up to 61 digits."""
+    largest = f"greatest(abs({a}), abs({b}), abs({c}), 1e-30D)"
+    return f"power(2D, 60 - greatest(-60, cast(floor(log2({largest})) as int)))"
+
+
+def turn(e: str, px: str, py: str) -> str:
+    """1 when (px, py) lies to the left of the directed edge, -1 to the right, 0 on its line.
+
+    Decided in doubles where the difference of the products is beyond what rounding can
+    make of it; else by whole numbers: the ordinates of an axis are scaled by a power of two
+    and the products of their differences, of up to 126 binary digits, compared as decimals.
+    That is exact if the digits of an axis' three ordinates span 61 places, as they do for
+    any coordinates of at least a thousandth in size; where they don't, doubles decide.
+    """
+    left, right = f"({e}.x2 - {e}.x1) * ({py} - {e}.y1)", f"({px} - {e}.x1) * ({e}.y2 - {e}.y1)"
+    bound = f"{TURN_ERROR!r}D * (abs({left}) + abs({right}))"
+
+    def whole(value: str, grid: str) -> str:
+        return f"cast({value} * {grid} as bigint)"
+
+    def difference(one: str, two: str, grid: str) -> str:
+        return f"cast({whole(one, grid)} - {whole(two, grid)} as decimal(20, 0))"
+
+    fits = " and ".join(f"cast({whole(v, g)} as double) = {v} * {g}" for v, g in (
+        (f"{e}.x1", "tgx"), (f"{e}.x2", "tgx"), (px, "tgx"),
+        (f"{e}.y1", "tgy"), (f"{e}.y2", "tgy"), (py, "tgy")))
+    one = f"{difference(f'{e}.x2', f'{e}.x1', 'tgx')} * {difference(py, f'{e}.y1', 'tgy')}"
+    two = f"{difference(px, f'{e}.x1', 'tgx')} * {difference(f'{e}.y2', f'{e}.y1', 'tgy')}"
+    exact = let("tgx", _grid(f"{e}.x1", f"{e}.x2", px), let("tgy", _grid(f"{e}.y1", f"{e}.y2", py), (
+        f"if({fits}, cast(sign({one} - {two}) as int), cast(sign({left} - {right}) as int))")))
+    return (f"(case when {left} - {right} > {bound} then 1 when {right} - {left} > {bound} then -1"
+            f" else {exact} end)")
 
 
 def on_boundary(edge_list: str, px: str, py: str) -> str:
     return (f"exists({edge_list}, be -> {py} between least(be.y1, be.y2) and greatest(be.y1, be.y2)"
             f" and {px} between least(be.x1, be.x2) and greatest(be.x1, be.x2)"
-            f" and {_turn('be', px, py)} = 0)")
+            f" and {turn('be', px, py)} = 0)")
 
 
 def _crossings_odd(edge_list: str, px: str, py: str) -> str:
     """Even-odd rule for the ray to the right of the point."""
-    return (f"(size(filter({edge_list}, ce ->"
-            f" (ce.y1 <= {py} and {py} < ce.y2 and {_turn('ce', px, py)} > 0)"
-            f" or (ce.y2 <= {py} and {py} < ce.y1 and {_turn('ce', px, py)} < 0))) % 2 = 1)")
+    return (f"(size(filter({edge_list}, ce -> (ce.y1 <= {py}) <> (ce.y2 <= {py})"
+            f" and {turn('ce', px, py)} = if(ce.y1 < ce.y2, 1, -1))) % 2 = 1)")
 
 
 def contains_point(edge_list: str, px: str, py: str) -> str:
@@ -128,8 +161,8 @@ def _edges_meet(e: str, f: str) -> str:
                 f" and least({e}.{axis}1, {e}.{axis}2) <= greatest({f}.{axis}1, {f}.{axis}2)")
 
     def apart(one: str, two: str) -> str:
-        return (f"sign({_turn(one, two + '.x1', two + '.y1')})"
-                f" * sign({_turn(one, two + '.x2', two + '.y2')}) <= 0")
+        return (f"{turn(one, two + '.x1', two + '.y1')}"
+                f" * {turn(one, two + '.x2', two + '.y2')} <= 0")
     return f"({overlap('x')} and {overlap('y')} and {apart(e, f)} and {apart(f, e)})"
 
 

@@ -1,5 +1,6 @@
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -243,3 +244,54 @@ def test_reproject_shapes(spark):
     b = df.selectExpr(f"{G.bbox('g0')} as b").select(
         crs.reproject_box(F.col("b"), 25832, 4326, 5)).first()[0]
     assert b["minx"] == pytest.approx(9.0, abs=1e-9) and b["miny"] < b["maxy"]
+
+
+def _exact_turn(x1, y1, x2, y2, px, py):
+    x1, y1, x2, y2, px, py = map(Fraction, (x1, y1, x2, y2, px, py))
+    d = (x2 - x1) * (py - y1) - (px - x1) * (y2 - y1)
+    return (d > 0) - (d < 0)
+
+
+def test_turn_is_exact_where_doubles_are_not(spark):
+    """Against whole numbers: points on slanted edges, next to them by one unit in the last place."""
+    rng = random.Random(11)
+    cases = []
+    for _ in range(300):
+        # cadastral coordinates on a binary grid: exact points of the line exist
+        ox, oy = rng.randrange(300_000, 700_000), rng.randrange(5_200_000, 6_100_000)
+        dx, dy = (rng.randrange(-2**22, 2**22) / 2**20 for _ in "xy")
+        n, m = rng.randrange(1, 400), rng.randrange(0, 400)
+        e = (ox, oy, ox + dx * n, oy + dy * n)
+        px, py = ox + dx * m, oy + dy * m
+        for qx, qy in ((px, py), (math.nextafter(px, 1e9), py), (px, math.nextafter(py, 0)),
+                       (math.nextafter(px, 0), math.nextafter(py, 1e9))):
+            cases.append((*map(float, e), qx, qy))
+    for _ in range(300):  # decimals, as they come from files
+        e = [round(rng.uniform(4e5, 4.01e5), 3), round(rng.uniform(5.8e6, 5.801e6), 3)] * 2
+        e[2] = round(e[0] + rng.uniform(-90, 90), 3)
+        e[3] = round(e[1] + rng.uniform(-90, 90), 3)
+        t = rng.random()
+        cases.append((*e, e[0] + t * (e[2] - e[0]), e[1] + t * (e[3] - e[1])))
+    cases += [(0.0, 0.0, 0.5, 0.5, 12.0, 24.0), (0.1, 0.1, 0.3, 0.3, 0.2, 0.2), (0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
+              (12.0, 12.0, 24.0, 24.0, 0.5, 0.5), (-8.0, 49.1, 9.0, 49.1, 0.0, 49.1)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)],
+                               "id int, x1 double, y1 double, x2 double, y2 double, px double, py double")
+    got = [r[0] for r in df.selectExpr("id", "px", "py", "named_struct('x1', x1, 'y1', y1, 'x2', x2, 'y2', y2) as e")
+           .selectExpr("id", f"{G.turn('e', 'px', 'py')} as t").orderBy("id").select("t").collect()]
+    want = [_exact_turn(*c) for c in cases]
+    assert got == want
+    plain = [(d > 0) - (d < 0) for d in ((c[2] - c[0]) * (c[5] - c[1]) - (c[4] - c[0]) * (c[3] - c[1]) for c in cases)]
+    assert plain != want  # the cases are hard enough
+
+
+def test_boundary_of_a_slanted_outline_far_from_the_origin(spark):
+    ox, oy = 467_123.0, 5_912_345.0
+    ring = [(ox, oy), (ox + 99, oy + 33), (ox + 66, oy + 99), (ox, oy)]
+    df = spark.range(1).selectExpr("array(array(" + ", ".join(
+        f"named_struct('x', {x}D, 'y', {y}D)" for x, y in ring) + ")) as g").selectExpr(f"{G.edges('g')} as e")
+    for k in range(1, 33):
+        x, y = ox + 3 * k, oy + k
+        above, below = math.nextafter(y, 1e9), math.nextafter(y, 0)
+        assert df.selectExpr(G.on_boundary("e", f"{x}D", f"{y}D"), G.contains_point("e", f"{x}D", f"{y}D"),
+                             G.contains_point("e", f"{x}D", f"{above!r}D"), G.covers_point("e", f"{x}D", f"{below!r}D")
+                             ).first() == (True, False, True, False)
