@@ -272,6 +272,9 @@ def test_turn_is_exact_where_doubles_are_not(spark):
         e[3] = round(e[1] + rng.uniform(-90, 90), 3)
         t = rng.random()
         cases.append((*e, e[0] + t * (e[2] - e[0]), e[1] + t * (e[3] - e[1])))
+    # the differences themselves are rounded here
+    cases += [(0.5 + i * 2.0**-53, 0.5 + j * 2.0**-53, 12.0, 12.0, 24.0, 24.0)
+              for i in range(0, 24, 2) for j in range(0, 24, 2)]
     cases += [(0.0, 0.0, 0.5, 0.5, 12.0, 24.0), (0.1, 0.1, 0.3, 0.3, 0.2, 0.2), (0.0, 0.0, 0.0, 0.0, 0.0, 0.0),
               (12.0, 12.0, 24.0, 24.0, 0.5, 0.5), (-8.0, 49.1, 9.0, 49.1, 0.0, 49.1)]
     df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)],
