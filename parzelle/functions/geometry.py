@@ -166,14 +166,18 @@ def _edges_meet(e: str, f: str) -> str:
     return f"({overlap('x')} and {overlap('y')} and {apart(e, f)} and {apart(f, e)})"
 
 
+def edges_meet(a: str, b: str) -> str:
+    """Any edges of two lists share a point."""
+    return f"exists({a}, ie -> exists({b}, jf -> {_edges_meet('ie', 'jf')}))"
+
+
 def intersects(a: str, b: str) -> str:
     """Edge lists share at least one point (touching counts).
 
     When no edges meet, one polygon may still hold a part of the other: then the
     vertices of that part lie inside.
     """
-    return (f"(exists({a}, ie -> exists({b}, jf -> {_edges_meet('ie', 'jf')}))"
-            f" or exists({a}, ie -> {_crossings_odd(b, 'ie.x1', 'ie.y1')})"
+    return (f"({edges_meet(a, b)} or exists({a}, ie -> {_crossings_odd(b, 'ie.x1', 'ie.y1')})"
             f" or exists({b}, jf -> {_crossings_odd(a, 'jf.x1', 'jf.y1')}))")
 
 

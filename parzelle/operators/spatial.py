@@ -23,6 +23,8 @@ slices of about that many: a hash of the feature id picks the slice row of a lef
 the slice column of a right feature, and each is copied along the other axis. The
 counts come from a pass over the box columns alone and are joined back on the cell, so
 every heavy cell is cut, however many there are.
+
+*Large outlines* are cut into tiles (``outlines``) that are joined in their place.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parzelle.functions import geometry as G
+from parzelle.operators import outlines
 
 BASE_CELL = 16.0
 FACTOR = 4
@@ -125,7 +128,8 @@ def _slice_hot(cells: DataFrame, hot: DataFrame, ident: str, mine: str, other: s
     return (cells.join(hot, _KEY, "left")
             .selectExpr(
                 *keep,
-                f"cast(pmod(xxhash64(cast({ident} as string)), coalesce(__n_{mine}, 1)) as int)"
+                f"cast(pmod(xxhash64(cast({ident} as string), minx, miny),"
+                f" coalesce(__n_{mine}, 1)) as int)"
                 f" as __{mine}",
                 f"explode(sequence(0, coalesce(__n_{other}, 1) - 1)) as __{other}"))
 
@@ -174,9 +178,68 @@ def points_in_parcels(points: DataFrame, parcels: DataFrame, point_id: str = "po
     """
     dots = points.selectExpr(f"{point_id} as id", "round(x, 3) as minx", "round(y, 3) as miny",
                              "round(x, 3) as maxx", "round(y, 3) as maxy")
-    return (candidates(dots, _prepared(parcels, parcel_id, geom), "id", "id")
-            .filter(G.contains_point("b_edges", "a_minx", "a_miny"))
-            .selectExpr(f"a_id as {point_id}", f"b_id as {parcel_id}"))
+    small, large = outlines.split(parcels, geom)
+    found = (candidates(dots, _prepared(small, parcel_id, geom), "id", "id")
+             .filter(G.contains_point("b_edges", "a_minx", "a_miny")).select("a_id", "b_id"))
+    if large is not None:
+        pairs = candidates(dots, outlines.tiles(large, parcel_id, geom), "id", "id")
+        found = found.union(outlines.holding(pairs, ["a_id", "b_id"]))
+    return found.selectExpr(f"a_id as {point_id}", f"b_id as {parcel_id}")
+
+
+def _corners(polygons: DataFrame, ident: str, geom: str) -> DataFrame:
+    """A vertex of every ring, as a point feature."""
+    return (polygons.selectExpr(f"{ident} as id", f"explode({geom}) as ring").filter("size(ring) > 0")
+            .selectExpr("id", "ring[0].x as minx", "ring[0].y as miny", "ring[0].x as maxx",
+                        "ring[0].y as maxy"))
+
+
+def _touching_large(left: tuple[DataFrame, DataFrame | None], right: tuple[DataFrame, DataFrame | None],
+                    left_id: str, right_id: str, geom: str) -> DataFrame:
+    """Pairs ``a_id, b_id`` that touch and have a large outline on a side.
+
+    Either edges meet, or a whole ring of one lies inside the other: then the ring's first
+    vertex does.
+    """
+    def rows(side: tuple[DataFrame, DataFrame | None], ident: str) -> tuple[DataFrame, DataFrame | None]:
+        small, large = side
+        kept = ["id", *_BOX, "sides"]
+        return (_prepared(small, ident, geom).withColumnRenamed("edges", "sides").select(*kept),
+                None if large is None else outlines.tiles(large, ident, geom))
+    (a_small, a_tiles), (b_small, b_tiles) = rows(left, left_id), rows(right, right_id)
+
+    def of(tiles: DataFrame) -> DataFrame:
+        uncut = F.transform("sides", lambda e: F.struct(*(e[c].alias(c) for c in ("x1", "y1", "x2", "y2"))))
+        return tiles.filter("size(sides) > 0").select("id", *_BOX, uncut.alias("sides"))
+
+    def meeting(a: DataFrame, b: DataFrame) -> DataFrame:
+        return candidates(a, b, "id", "id").filter(G.edges_meet("a_sides", "b_sides")).select("a_id", "b_id")
+
+    def corners(side: tuple[DataFrame, DataFrame | None], ident: str) -> DataFrame:
+        made = [_corners(part, ident, geom) for part in side if part is not None]
+        return made[0] if len(made) == 1 else made[0].union(made[1])
+
+    def inside(dots: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = candidates(dots.withColumn("dot", F.struct("minx", "miny")), b, "id", "id")
+        return outlines.holding(pairs, ["a_id", "a_dot", "b_id"]).select("a_id", "b_id")
+
+    def in_small(dots: DataFrame, b: DataFrame) -> DataFrame:
+        return (candidates(dots, b, "id", "id")
+                .filter(G.contains_point("b_sides", "a_minx", "a_miny")).select("a_id", "b_id"))
+    found = []
+    turned = [F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id")]
+    if a_tiles is not None:
+        found += [meeting(of(a_tiles), b_small), in_small(_corners(left[1], left_id, geom), b_small),
+                  inside(corners(right, right_id), a_tiles).select(*turned)]
+    if b_tiles is not None:
+        found += [meeting(a_small, of(b_tiles)), inside(corners(left, left_id), b_tiles),
+                  in_small(_corners(right[1], right_id, geom), a_small).select(*turned)]
+    if a_tiles is not None and b_tiles is not None:
+        found.append(meeting(of(a_tiles), of(b_tiles)))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.union(more)
+    return pairs.distinct()
 
 
 def parcels_touching(areas: DataFrame, parcels: DataFrame, area_id: str = "area_id",
@@ -185,11 +248,26 @@ def parcels_touching(areas: DataFrame, parcels: DataFrame, area_id: str = "area_
 
     Areas whose outer ring has fewer than three corners select nothing.
     """
-    drawn = areas.filter(f"size({geom}[0]) >= 4")
-    return (candidates(_prepared(drawn, area_id, geom), _prepared(parcels, parcel_id, geom),
-                       "id", "id")
-            .filter(G.intersects("a_edges", "b_edges"))
-            .selectExpr(f"a_id as {area_id}", f"b_id as {parcel_id}"))
+    drawn = outlines.split(areas.filter(f"size({geom}[0]) >= 4"), geom)
+    known = outlines.split(parcels, geom)
+    found = (candidates(_prepared(drawn[0], area_id, geom), _prepared(known[0], parcel_id, geom),
+                        "id", "id")
+             .filter(G.intersects("a_edges", "b_edges")).select("a_id", "b_id"))
+    if drawn[1] is not None or known[1] is not None:
+        found = found.union(_touching_large(drawn, known, area_id, parcel_id, geom))
+    return found.selectExpr(f"a_id as {area_id}", f"b_id as {parcel_id}")
+
+
+def _parts(df: DataFrame, ident: str, geom: str, keep: list[str] | None) -> DataFrame:
+    """The polygon side of an overlay; large outlines as their tiles, which add up to them."""
+    small, large = outlines.split(df, geom)
+    rows = _prepared(small, ident, geom, keep=keep)
+    if large is None:
+        return rows
+    tiles = outlines.tiles(large, ident, geom).select("id", *_BOX, "edges")
+    if keep:
+        tiles = tiles.join(large.selectExpr(f"{ident} as id", *keep), "id")
+    return rows.unionByName(tiles.select(*rows.columns))
 
 
 def _shared_areas(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -238,8 +316,8 @@ def overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str, geom
     touch along a side cannot share an interior and skip the geometry.
     """
     kept = [*[(f"a_{c}", c) for c in keep_left or []], *[(f"b_{c}", c) for c in keep_right or []]]
-    pairs = (candidates(_prepared(left, left_id, geom, keep=keep_left),
-                        _prepared(right, right_id, geom, keep=keep_right), "id", "id")
+    pairs = (candidates(_parts(left, left_id, geom, keep_left),
+                        _parts(right, right_id, geom, keep_right), "id", "id")
              .filter("a_minx < b_maxx and b_minx < a_maxx and a_miny < b_maxy and b_miny < a_maxy"))
     keys = ["a_id", "b_id", *[k for k, _ in kept]]
     return (_shared_areas(pairs, keys)

@@ -536,6 +536,36 @@ oracle("parcels_touching", """
     select soil_id, pid from parcel_v p join soil_v s on p.endet is null
     and p.minx <= s.maxx and s.minx <= p.maxx and p.miny <= s.maxy and s.miny <= p.maxy""",
        "parcel", "soil")
+# edge by edge: the height above a box' lower side, cut at its upper side, is linear
+# between the places where the edge passes them
+OUTLINE = """corner as (select outline_id, rank, n, round(60 * outline_id + radius * cos(angle), 3) as x,
+      round(100 + radius * sin(angle), 3) as y
+    from (select o_custkey % 8 as outline_id, 90 + cast(floor(o_totalprice) as bigint) % 97 / 5e0 as radius,
+        row_number() over w as rank, count(*) over (partition by o_custkey % 8) as n,
+        2 * pi() * (row_number() over w) / count(*) over (partition by o_custkey % 8) as angle
+      from orders window w as (partition by o_custkey % 8 order by o_orderkey))),
+  edge as (select a.outline_id, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from corner a join corner b
+    on a.outline_id = b.outline_id and b.rank = a.rank % a.n + 1)"""
+oracle("large_outline_overlay", """
+    select outline_id, pid, round(shared, 1) as shared from (
+      select outline_id, pid, sum(sign(x1 - x2) * ((t1 - t0) * (h0 + h1) + (t2 - t1) * (h1 + h2)
+        + (t3 - t2) * (h2 + h3)) / 2) as shared
+      from (select *, greatest(least(y1 + m * (t0 - x1), maxy), miny) - miny as h0,
+          greatest(least(y1 + m * (t1 - x1), maxy), miny) - miny as h1,
+          greatest(least(y1 + m * (t2 - x1), maxy), miny) - miny as h2,
+          greatest(least(y1 + m * (t3 - x1), maxy), miny) - miny as h3
+        from (select *, least(ta, tb) as t1, greatest(ta, tb) as t2
+          from (select *, case when m = 0 then t0 else least(greatest(x1 + (miny - y1) / m, t0), t3) end as ta,
+              case when m = 0 then t0 else least(greatest(x1 + (maxy - y1) / m, t0), t3) end as tb
+            from (select *, (y2 - y1) / (x2 - x1) as m, greatest(least(x1, x2), minx) as t0,
+                least(greatest(x1, x2), maxx) as t3
+              from edge join parcel_v on endet is null and x1 <> x2 and least(x1, x2) < maxx
+                and greatest(x1, x2) > minx))))
+      group by outline_id, pid) where shared > 0.01""", "parcel", more=(OUTLINE,))
+oracle("large_outline_points", """
+    select event_id, outline_id from (select event_id, round(x, 3) as x, round(y, 3) as y from point_v) p
+      join edge on (y1 <= y) <> (y2 <= y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+    group by event_id, outline_id having count(*) % 2 = 1""", "point", more=(OUTLINE,))
 oracle("overlay_area", f"select pid, soil_id, round({SHARED}, 6) as shared {PAIRS}",
        "parcel", "soil")
 oracle("yield_index", f"""

@@ -657,6 +657,18 @@ def parcels_touching(spark, sf):
                               "soil_id", "pid")
 
 
+@query
+def large_outline_overlay(spark, sf):
+    """Outlines of thousands of corners against all parcels."""
+    shared = S.overlay(V.outlines(spark, sf), P.current(V.parcels(spark, sf)), "outline_id", "pid")
+    return shared.filter("shared > 0.01").select("outline_id", "pid", F.round("shared", 1).alias("shared"))
+
+
+@query
+def large_outline_points(spark, sf):
+    return S.points_in_parcels(V.view(spark, sf, "point"), V.outlines(spark, sf), "event_id", "outline_id")
+
+
 @query
 def overlay_area(spark, sf):
     shared = soil.parcel_soil(V.parcels(spark, sf), V.surveys(spark, sf), "pid")

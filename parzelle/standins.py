@@ -168,6 +168,21 @@ def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
         "geom", F.expr(G.box_rings("minx", "miny", "maxx", "maxy")))
 
 
+def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight drawn outlines; every order is a corner of one of them."""
+    orders = base(spark, f"{sf_dir}/orders.parquet")
+    corners = orders.selectExpr(
+        "o_custkey % 8 as outline_id", "o_orderkey", "90 + cast(o_totalprice as bigint) % 97 / 5D as radius",
+        "2 * pi() * row_number() over (partition by o_custkey % 8 order by o_orderkey)"
+        " / count(*) over (partition by o_custkey % 8) as angle")
+    rings = corners.selectExpr(
+        "outline_id", "o_orderkey", "named_struct('x', round(60 * outline_id + radius * cos(angle), 3),"
+        " 'y', round(100 + radius * sin(angle), 3)) as corner").groupBy("outline_id").agg(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", "corner"))).alias("ring"))
+    return rings.selectExpr("outline_id", "transform(ring, r -> r.corner) as ring").selectExpr(
+        "outline_id", "array(concat(ring, array(ring[0]))) as geom")
+
+
 def point_rings(x: str, y: str) -> str:
     return f"array(array(named_struct('x', {x}, 'y', {y})))"
 
