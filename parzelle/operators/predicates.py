@@ -111,19 +111,21 @@ def parcels_by_parts(parcels: DataFrame, fs: DataFrame, district: str | None = N
 
 
 def matches_number(key: Column, wanted: numbers.NumberParts) -> Column:
-    """Whether a fixed-width key carries the wanted parts."""
-    w = numbers.WIDTHS
-    head = f"{wanted.district:0{w['district']}d}"
-    at_section = len(head) + 1
-    at_num = at_section + w["section"]
-    at_den = at_num + w["num"]
-    test = key.startswith(head) & (F.length(key) >= at_den + w["den"] - 1)
-    if wanted.section is not None:
-        test &= F.substring(key, at_section, w["section"]) == f"{wanted.section:0{w['section']}d}"
-    test &= F.substring(key, at_num, w["num"]) == f"{wanted.num:0{w['num']}d}"
-    if wanted.den is not None:
-        test &= F.substring(key, at_den, w["den"]) == f"{wanted.den:0{w['den']}d}"
-    return test
+    """Whether a fixed-width key carries the wanted parts.
+
+    A part of more digits than usual moves those behind it.
+    """
+    test, at = F.lit(True), 1
+    for name, part in (("district", wanted.district), ("section", wanted.section),
+                       ("num", wanted.num), ("den", wanted.den)):
+        width = numbers.WIDTHS[name]
+        if part is not None:
+            digits = f"{part:0{width}d}"
+            width = len(digits)
+            # the leading part is a prefix test, which reaches the scan
+            test &= key.startswith(digits) if at == 1 else F.substring(key, at, width) == digits
+        at += width
+    return test & (F.length(key) >= at - 1)
 
 
 def parcels_by_number(parcels: DataFrame, text: str) -> DataFrame:

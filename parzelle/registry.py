@@ -16,6 +16,7 @@ from parzelle.operators import facets, owners, selection, soil
 from parzelle.operators import labels as LB
 from parzelle.operators import layers as L
 from parzelle.operators import predicates as P
+from parzelle.operators import searches as SE
 from parzelle.operators import spatial as S
 from parzelle.operators import styles as ST
 from parzelle.operators import themes as T
@@ -173,6 +174,61 @@ def facet_filter(spark, sf):
     return P.facet_filter(V.parcels(spark, sf), section="002", den="3").select("gml_id", "flsnr")
 
 
+# -- tables of searches ---------------------------------------------------------
+
+@query
+def label_searches(spark, sf):
+    searches = _base(spark, sf, "benchmark").selectExpr("item_id as search_id", "substr(text, 1, 12) as term") \
+        .union(_base(spark, sf, "nation").selectExpr("1000000 + n_nationkey", "left(n_name, 2)"))
+    return SE.labels_by_terms(V.view(spark, sf, "label"), searches).select("search_id", "doc_id")
+
+
+@query
+def street_searches(spark, sf):
+    searches = _base(spark, sf, "supplier").selectExpr(
+        "s_suppkey as search_id", "if(s_suppkey % 2 = 0, 'Street_' || cast(s_nationkey % 10 as string),"
+        " 'fr' || left('ei 1', s_suppkey % 5)) as prefix")
+    return SE.texts_beginning(street_directory(spark, sf), "street", searches)
+
+
+@query
+def owner_searches(spark, sf):
+    r = _register(spark, sf)
+    searches = _base(spark, sf, "supplier").selectExpr(
+        "s_suppkey as search_id", "'CUSTOMER  ' || lpad(cast(s_suppkey as string), 4, '0') as terms")
+    return SE.parcels_by_owners(r["parcel"], r["fs"], r["eignerart"], r["eigner"], searches)
+
+
+@query
+def typed_address_searches(spark, sf):
+    a = _addresses(spark, sf)
+    searches = _base(spark, sf, "supplier").selectExpr(
+        "s_suppkey as search_id", "case s_suppkey % 4 when 0 then 'keine Nummer' when 1 then 'Frei  ' else"
+        " 'street_' || left(cast(s_nationkey as string), s_suppkey % 2) end || ' ' ||"
+        " cast(s_suppkey % 120 + 1 as string) || if(s_suppkey % 7 = 0, 'a', '') as typed")
+    return SE.parcels_by_typed_addresses(V.parcels(spark, sf), a["catalog"], a["numbered"], searches)
+
+
+@query
+def typed_number_searches(spark, sf):
+    searches = _base(spark, sf, "orders").selectExpr(
+        "o_orderkey as search_id", "'Nr. ' || cast(30000 + o_custkey % 51 as string) || if(o_orderkey % 3 = 0,"
+        " '-' || cast(o_orderkey % 8 as string), '') || '-' || cast(o_orderkey % 97 + 1 as string) ||"
+        " if(o_orderkey % 2 = 0, '/' || cast(o_orderkey % 4 as string), '') as typed")
+    return SE.parcels_by_numbers(V.parcels(spark, sf), searches).select("search_id", "gml_id", "flsnr")
+
+
+@query
+def part_set_searches(spark, sf):
+    parcels = V.parcels(spark, sf)
+    searches = _base(spark, sf, "supplier").selectExpr(
+        "s_suppkey as search_id", "if(s_suppkey % 2 = 0, '03' || lpad(cast(s_suppkey % 50 as string), 4, '0'), null)"
+        " as district", "if(s_suppkey % 3 = 0, lpad(cast(s_suppkey % 7 + 1 as string), 3, '0'), '') as section",
+        "if(s_suppkey % 5 = 0, cast(s_suppkey % 97 + 1 as string), null) as num",
+        "if(s_suppkey % 7 = 0, cast(s_suppkey % 4 as string), '') as den")
+    return SE.parcels_by_part_sets(parcels, _fs(parcels), searches).select("search_id", "gml_id", "flsnr")
+
+
 # -- parcel numbers -------------------------------------------------------------
 
 @query
