@@ -18,7 +18,8 @@ browser would, which ends an open head at the first tag or text that can't be in
 never-closed button, select, drawing or player, in which a browser would leave all that
 follows, ends at the next block instead, so that no text is lost to it; pages whose
 blocks all count as furniture give the empty text. Without any page to learn from a
-page's blocks are judged by the layouts alone. Extra columns are not read.
+page's blocks are judged by the layouts alone. Repeated rows are rows of their own; pages
+of any length are read whole, in time linear in their length. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -43,16 +45,18 @@ PATH_SIZE, WORD_SIZE, HIDDEN = 16, 8, 20
 # The tags of HTML by the role they play in a text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins "
                    "kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup "
-                   "time tt u var wbr".split())
-SILENT = frozenset("script style noscript template head title svg math iframe object canvas "
-                   "audio video select textarea datalist button".split())
+                   "time tt u var wbr math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup "
+                   "msubsup munder mover munderover mstyle mspace mpadded mphantom menclose "
+                   "mtable mtr mtd semantics".split())
+SILENT = frozenset("script style noscript template head title svg iframe object canvas "
+                   "audio video select textarea datalist button annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe")
 #: Fixed value: tags that leave an open head open.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style "
                     "template title".split())
 #: Silent tags that the next block ends if they are never closed.
-ENDED_BY_BLOCKS = frozenset("svg math object canvas audio video select datalist button".split())
+ENDED_BY_BLOCKS = frozenset("svg object canvas audio video select datalist button".split())
 ENDS_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figure footer "
                            "form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul "
                            "li dd dt tr td th".split())
@@ -63,16 +67,21 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol"}), "dd": ({"dd", "dt"}, {"dl"}), "dt": ({
             "button": ({"button"}, {"template", "object", "table", "td", "th"}),
             "select": ({"select"}, {"template", "object", "table", "td", "th"})}
 
+#: What stands between a tag's name and its end. A quote opens a value only right after the
+#: equals sign; elsewhere it is a character like any other, and one that is never
+#: closed too. Nothing is tried twice, so the time is linear.
+ATTRIBUTES = r"""(?>[^\s>=/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))?|[\s/]|=)*+"""
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
+    r"|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)(" + ATTRIBUTES + r")(?:>|\Z)",
     re.DOTALL | re.IGNORECASE)
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 PART = re.compile(r"[a-z]+|\d+")
 
 
 class Block:
-    """A leaf block: its text, the path above it and how much of it is links."""
+    """A leaf block: its text, the tags and names above it (each once, the innermost part also
+    with ``^`` before it) and how much of it is links."""
 
     __slots__ = ("text", "path", "linked")
 
@@ -80,6 +89,12 @@ class Block:
         self.text, self.path, self.linked = text, path, linked
 
 
+def _below(path: tuple[str, ...], parts: tuple[str, ...]) -> tuple[str, ...]:
+    """A path with more parts; paths of equal parts are one object however deep they are."""
+    new = tuple(dict.fromkeys(p for p in parts if p not in path))
+    return (*path, *new) if new else path
+
+
 def _names(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
         return ()
@@ -111,17 +126,20 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     tokens = list(TOKEN.finditer(page))
     endless = _never_closed(tokens)
-    # open tags: (tag, path down to it, inside a link, silent, ended by the next block)
-    top = ("", (), False, False, False)
+    # open tags: (tag, parts of the path down to it, innermost part, inside a link, silent,
+    # ended by the next block), and how many there are of each
+    top = ("", (), "", False, False, False)
     stack = [top]
+    open_tags: Counter[str] = Counter()
+    ended = 0
     pieces: list[str] = []
-    linked, path = 0, ()
+    linked, path = 0, ((), "")
 
     def flush():
         nonlocal linked
         text = _plain("".join(pieces))
         if text:
-            out.append(Block(text, path, min(1.0, linked / len(text))))
+            out.append(Block(text, (*path[0], "^" + path[1]), min(1.0, linked / len(text))))
         pieces.clear()
         linked = 0
 
@@ -129,21 +147,29 @@ def blocks(page: str) -> list[Block]:
         nonlocal linked, path
         if stack[-1][0] == "head" and text and not text.isspace():
             close(len(stack) - 1)
-        _, above, link, silent, _ = stack[-1]
+        _, above, inner, link, silent, _ = stack[-1]
         if silent or not text:
             return
         if not text.isspace():
             if not any(not p.isspace() for p in pieces):
-                path = above
+                path = above, inner
             if link:
                 linked += len(text.strip())
         pieces.append(text)
 
     def close(depth: int):
+        nonlocal ended
         while len(stack) > depth:
-            if stack.pop()[0] not in INLINE:
+            last = stack.pop()
+            open_tags[last[0]] -= 1
+            ended -= last[5]
+            if last[0] not in INLINE:
                 flush()
 
+    def deepest(tag: str) -> int:
+        """The place of the innermost open tag of a kind, 0 without one."""
+        return next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0) if open_tags[tag] else 0
+
     at = 0
     for token in tokens:
         take(page[at:token.start()])
@@ -153,7 +179,7 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = tag.lower()
         if token.group(2):
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == tag), 0)
+            depth = deepest(tag)
             if depth:
                 close(depth)
             elif tag not in INLINE:
@@ -169,15 +195,15 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in ENDS_PARAGRAPH:
             flush()
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d][4]:
+            for d in range(len(stack) - 1, 0, -1) if ended else ():
+                if stack[d][5]:
                     close(d)
                 elif stack[d][0] in SILENT:
                     break
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d][0] == "p"), 0)
+            depth = deepest("p")
             if depth:
                 close(depth)
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(open_tags[k] for k in SIBLINGS[tag][0]):
             kinds, limits = SIBLINGS[tag]
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d][0] in limits:
@@ -189,10 +215,14 @@ def blocks(page: str) -> list[Block]:
             flush()
         if tag in VOID or token.group(4).endswith("/") and tag not in ENDS_PARAGRAPH:
             continue
-        _, above, link, silent, _ = stack[-1]
-        step = above if tag in INLINE else (*above, tag, *_names(token.group(4)))
-        stack.append((tag, step, link or tag == "a", silent or tag in SILENT,
+        _, above, inner, link, silent, _ = stack[-1]
+        if tag not in INLINE:
+            parts = (tag, *_names(token.group(4)))
+            above, inner = _below(above, parts), parts[-1]
+        stack.append((tag, above, inner, link or tag == "a", silent or tag in SILENT,
                       token.start() in endless))
+        open_tags[tag] += 1
+        ended += stack[-1][5]
     # a tag that is cut off at the end of the page is no text
     rest = page[at:]
     cut = rest.rfind("<")
@@ -219,12 +249,21 @@ class _Hashed(dict):
 NUMBERS = 9
 
 
-def encode(page: Sequence[Block], path_bucket: _Hashed, word_bucket: _Hashed):
-    """The path buckets and word buckets of every block, and its numbers."""
+#: Part of a path that stands for a name the labeller has not learned.
+STRANGE = ".?"
+
+
+def encode(page: Sequence[Block], path_bucket: _Hashed, word_bucket: _Hashed,
+           names: frozenset[str] = frozenset()):
+    """The path buckets and word buckets of every block, and its numbers; names (of classes,
+    ids and roles) other than ``names`` are all the same strange one."""
+    def known(part: str) -> str:
+        name = part.removeprefix("^")
+        return part if name[:1] != "." or name in names else part[:-len(name)] + STRANGE
     paths, words = [], []
     numbers = np.zeros((len(page), NUMBERS), np.float32)
     for i, b in enumerate(page):
-        paths.append([path_bucket[p] for p in dict.fromkeys((*b.path, "^" + (b.path or ("",))[-1]))])
+        paths.append([path_bucket[p] for p in dict.fromkeys(map(known, b.path))])
         split = b.text.lower().split()
         words.append([word_bucket[w] for w in split])
         n = len(b.text)
@@ -253,6 +292,8 @@ class Labeller:
     """Vectors of path parts and words, an LSTM for each direction, and a logistic unit."""
 
     def __init__(self, seed: int = 3):
+        #: The names that it has learned; others are strange to it.
+        self.names: frozenset[str] = frozenset()
         r = np.random.default_rng(seed)
         size = PATH_SIZE + WORD_SIZE + NUMBERS
         self.p = {"path": r.normal(0, 0.3, (PATHS, PATH_SIZE)),
@@ -390,7 +431,7 @@ class Labeller:
                 end += 1
             part = [pages[i] for i in order[at:end]]
             for i, page, z in zip(order[at:end], part,
-                                  self.logits([encode(p, *buckets) for p in part]), strict=True):
+                                  self.logits([encode(p, *buckets, self.names) for p in part]), strict=True):
                 out[i] = "\n".join(b.text for b, v in zip(page, z, strict=True) if v > 0)
             at = end
         return out
@@ -526,13 +567,21 @@ def build_page(main: Sequence[str], other: Sequence[str], r: np.random.Generator
     return "<html><body>" + "".join(parts) + "</body></html>", labels
 
 
+#: Names of what stands within an article without being part of it.
+BESIDE = frozenset(n for kind in ("side", "notice", "advert", "comments", "share")
+                   for opening in FURNITURE[kind] for n in _names(opening))
+
+
 def _marked(page: Sequence[Block]) -> np.ndarray | None:
     """Which blocks lie in the element that marks the main text, if there is one."""
     inside = np.array([bool({"article", "main"} & set(b.path)) for b in page], bool)
-    furniture = np.array([bool({"nav", "footer", "aside", "form"} & set(b.path)) for b in page], bool)
+    furniture = np.array([bool(({"nav", "footer", "aside", "form"} | BESIDE) & set(b.path))
+                          for b in page], bool)
     return inside & ~furniture if inside.any() else None
 
 
+#: Tags that say what they hold.
+TELLING = frozenset("article main nav aside footer header".split())
 #: Fixed value: text for built pages where there is none to learn from.
 PLAIN = ("Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor "
          "incididunt ut labore et dolore magna aliqua.",)
@@ -551,6 +600,7 @@ def learn(pages: Sequence[str], layouts: int = LAYOUTS, seed: int = 6) -> Labell
             main += [b.text for b, m in zip(parsed, marks, strict=True) if m]
             other += [b.text for b, m in zip(parsed, marks, strict=True) if not m]
     main, other = main or list(PLAIN), other or list(PLAIN)
+    marked = len(found)
     for _ in range(layouts):
         page, known = build_page(main, other, r)
         parsed = blocks(page)
@@ -558,9 +608,24 @@ def learn(pages: Sequence[str], layouts: int = LAYOUTS, seed: int = 6) -> Labell
             found.append(parsed)
             labels.append(np.array(known))
     labeller = Labeller()
+    labeller.names = frozenset(p for page in found for b in page for p in b.path if p[0] == ".")
     buckets = _Hashed(PATHS), _Hashed(WORDS)
     on = [i for i, p in enumerate(found) if p]
-    labeller.train([encode(found[i], *buckets) for i in on], [labels[i] for i in on])
+    # Pages as they are are learned so, and once more like the built ones: names are
+    # withheld from half of those and some from the others, and so are the tags that name
+    # the main text. What a block is must show in where it stands, how long it is and how
+    # much of it is links.
+    encoded = [encode(found[i], *buckets, labeller.names) for i in on if i < marked]
+    on = [i for i in on if i < marked] + on
+    for i in on[len(encoded):]:
+        share = 1.0 if r.random() < 0.5 else 0.3
+        kept = frozenset(n for n in sorted(labeller.names) if r.random() >= share)
+        page = found[i]
+        if r.random() < 0.4:
+            page = [Block(b.text, tuple(p for p in b.path if p.removeprefix("^") not in TELLING), b.linked)
+                    for b in page]
+        encoded.append(encode(page, *buckets, kept))
+    labeller.train(encoded, [labels[i] for i in on])
     return labeller
 
 
@@ -580,12 +645,12 @@ def examples(pages: DataFrame, most: int = EXAMPLES) -> list[str]:
 
 def extract(pages: DataFrame, labeller: Labeller, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep``, ``text`` and ``n_chars`` of every page."""
-    shared = pages.sparkSession.sparkContext.broadcast(labeller.p)
+    shared = pages.sparkSession.sparkContext.broadcast((labeller.p, labeller.names))
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
 
     def run(tables):
         model = Labeller()
-        model.p = shared.value
+        model.p, model.names = shared.value
         buckets = _Hashed(PATHS), _Hashed(WORDS)
         for rows in tables:
             for at in range(0, rows.num_rows, 512):

@@ -2,6 +2,7 @@
 
 import collections
 import random
+import time
 import zlib
 
 import numpy as np
@@ -158,7 +159,7 @@ PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{a:"<p>"}</style>
 
 
 def test_blocks_of_a_page():
-    found = [(b.text, b.path[-1]) for b in htmltext.blocks(PAGE)]
+    found = [(b.text, b.path[-1].removeprefix("^")) for b in htmltext.blocks(PAGE)]
     assert found == [("Menu", "li"), ("Two", "li"), ("Buy & save", ".ad"), ("A <title>", "h1"),
                      ("First line goes on.", "p"), ("Second one &am", "p"), ("x", "li"), ("y", "li"),
                      ("Name", "form"), ("© us", "footer"), ("trailing", "body")]
@@ -194,7 +195,7 @@ def labeller():
     pages = [f"<nav><ul><li><a>{prose(i, 2)}</a></ul></nav><article><h1>{prose(i + 50, 6)}</h1>"
              + "".join(f"<p>{prose(100 * i + k, int(r.integers(3, 90)))}.</p>" for k in range(6))
              + f"</article><footer>&copy; {prose(i + 99, 5)}</footer>" for i in range(40)]
-    return htmltext.learn(pages, layouts=350)
+    return htmltext.learn(pages)
 
 
 def test_gradients():
@@ -227,6 +228,61 @@ def test_gradients():
         assert (up - down) / 2e-3 == pytest.approx(g[at], rel=0.05, abs=2e-4), name
 
 
+def texts(page):
+    return [b.text for b in htmltext.blocks(page)]
+
+
+def test_attributes_by_their_states():
+    assert texts("<p title=it's>First paragraph.</p><p>Second one.</p><p>I don't know <b>this</b> end.</p>") == [
+        "First paragraph.", "Second one.", "I don't know this end."]
+    assert texts('<p><a href="x>broken</a> and on</p><p>next</p>') == ["broken and on", "next"]
+    assert texts("<p class='a>b' id=\"c>d\" x=y'z>one</p><p a='1'b=2 / c>two</p><p =x>three") == ["one", "two", "three"]
+    assert texts("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p>") == ["Let x=2 hold"]
+
+
+def test_unclosed_tags_take_linear_time():
+    for tag in ("<div>", "<div><p>a", "<ul><li>a<div>", "<table><td>b<div>", "<span>", "<p title='", "<b a=\""):
+        start = time.perf_counter()
+        found = htmltext.blocks(tag * 16_000 + "end")
+        assert time.perf_counter() - start < 4, tag
+        assert not found or len(found[-1].path) < 20
+
+
+# Labelled by hand; none of these names appear in the operator's own lists.
+STRANGE_PAGES = [
+    ("<body><div class='kopfzeile'><a href=/>Start</a> <a href=/k>Kontakt</a></div><ul class='leiste'><li><a href=/a>A</a>"
+     "<li><a href=/b>Themen</a><li><a href=/c>Archiv</a></ul><div class='inhalt'><h1>{h}</h1><p>{p0}</p><p>{p1}</p>"
+     "<p>{p2}</p></div><div class='fuss'><a href=/i>Impressum</a> <a href=/d>Datenschutz</a></div>",
+     ["{h}", "{p0}", "{p1}", "{p2}"]),
+    ("<body><div id='oben'><ul><li><a href=1>eins</a><li><a href=2>zwei</a><li><a href=3>drei</a></ul></div>"
+     "<table><tr><td class='haupt'><h2>{h}</h2><p>{p0}</p><ul><li>{l0}<li>{l1}</ul><p>{p1}</p></td></tr></table>"
+     "<div id='unten'><p><a href=4>Karte</a></p></div>", ["{h}", "{p0}", "{l0}", "{l1}", "{p1}"]),
+    ("<body><ul class='wege'><li><a href=/1>uno</a><li><a href=/2>dos</a></ul><section class='cuerpo'><p>{p0}</p><p>{p1}</p>"
+     "<p>{p2}</p><p>{p3}</p></section><div class='pie'><a href=/3>tres</a></div>", ["{p0}", "{p1}", "{p2}", "{p3}"]),
+]
+
+
+PAGES = SF.parent / "sf0.01" / "pages.parquet"
+
+
+@pytest.mark.skipif(not PAGES.exists(), reason="test tables not present")
+def test_pages_with_names_that_were_never_learned(spark):
+    labeller = htmltext.learn(htmltext.examples(spark.read.parquet(str(PAGES))))
+    right = size = whole = 0
+    for seed in range(12):
+        for page, main in STRANGE_PAGES:
+            values = {f"p{k}": prose(900 + 10 * seed + k, 45) + "." for k in range(4)}
+            values |= {"h": prose(700 + seed, 6), "l0": prose(800 + seed, 9), "l1": prose(850 + seed, 12)}
+            parsed = htmltext.blocks(page.format(**values))
+            wanted = [t.format(**values) for t in main]
+            kept = labeller.main_text([parsed], (htmltext._Hashed(htmltext.PATHS), htmltext._Hashed(htmltext.WORDS)))[0]
+            kept = kept.split("\n")
+            right += sum((b.text in kept) == (b.text in wanted) for b in parsed)
+            size += len(parsed)
+            whole += all(values[k] in kept for k in values if "{" + k + "}" in main and k[0] == "p")
+    assert right / size > 0.97 and whole >= 34  # of 36 pages
+
+
 def test_labels_of_layouts_not_seen(labeller):
     r = np.random.default_rng(77)
     main = [prose(k, 60) + "." for k in range(500, 540)]
@@ -237,7 +293,7 @@ def test_labels_of_layouts_not_seen(labeller):
         page, known = htmltext.build_page(main, other, r)
         found = htmltext.blocks(page)
         if len(found) == len(known):
-            z = labeller.logits([htmltext.encode(found, *buckets)])[0]
+            z = labeller.logits([htmltext.encode(found, *buckets, labeller.names)])[0]
             right, size = right + ((z > 0) == known).sum(), size + len(known)
     assert right / size > 0.93
 
