@@ -12,21 +12,28 @@ word by word. An item leaks into a document if along a diagonal with a hit
   of them are equal.
 
 With the two masks below every run of 12 words with 2 substitutions, and of 15 words
-with 3, holds a hit, whatever words are replaced.
+with 3, holds a hit, whatever words are replaced. An item of fewer than 12 words is one
+window, of which a fifth may differ: one word of 5 to 9, two of 10 and 11. It has masks of
+its own besides, which leave out every choice of one of three, or two of four, parts of it
+(all words, for fewer than 5), so again some mask misses all replaced words.
 
 Tokens are runs of letters and digits in lower case, so marks glued to a word don't
 hide it. Defined cases: null and texts without tokens leak nothing and receive
-nothing; items with fewer tokens than the shorter mask is long have a mask of their
-own, the whole sequence; rows equal in id and text are one document; an empty
-table on either side gives no rows.
+nothing; texts of any length are read whole; equal diagonals are told apart by their
+earlier start; rows equal in id and text are one document (and are kept or dropped
+together); an empty table on either side gives no rows; other columns are kept by
+``decontaminate``, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parzelle.llm.common import BROADCAST_ROWS, let
+from parzelle.llm.common import BROADCAST_ROWS, free_name, let
 from parzelle.session import materialize
 
 #: Positions of the masks within eight and six tokens (five positions each).
@@ -45,23 +52,35 @@ def tokens(text: Column) -> Column:
         F.split(F.regexp_replace(plain, TOKEN_BREAK + "$", ""), TOKEN_BREAK))
 
 
-def _seeds_of(hashes: Column, mask: int, positions: tuple[int, ...], alone: bool) -> Column:
-    """The seeds of a mask at every place, with ``alone`` only if it spans the whole."""
-    span = positions[-1] + 1
-    fits = F.size(hashes) == span if alone else F.size(hashes) >= span
+def short_masks(n: int, window_share: float = WINDOW_SHARE) -> list[tuple[int, ...]]:
+    """Masks for items of ``n`` words, fewer than the window: one misses all replaced words
+    wherever as many are replaced as the share allows."""
+    replaced = n - math.ceil(window_share * n - 1e-9)
+    parts = 1 if not replaced else replaced + 2
+    if parts > n:  # nearly every word may be replaced: each place alone
+        return [(i,) for i in range(n)]
+    part_of = [i * parts // n for i in range(n)]
+    return [tuple(i for i in range(n) if part_of[i] not in left_out)
+            for left_out in itertools.combinations(range(parts), replaced)]
+
+
+def _seeds_of(hashes: Column, mask: int, positions: tuple[int, ...], n: int | None,
+              is_item: bool) -> Column:
+    """The seeds of a mask at every place; ``n`` is the length of the items it is for."""
+    span = n or positions[-1] + 1
+    fits = F.size(hashes) == span if n and is_item else F.size(hashes) >= span
     return F.when(fits, F.transform(
         F.sequence(F.lit(0), F.size(hashes) - span),
         lambda i: F.xxhash64(F.lit(mask), *(F.get(hashes, i + p) for p in positions)))).otherwise(
         F.array().cast("array<bigint>"))
 
 
-def _seed_rows(texts: DataFrame, keys: list[str], masks: list[tuple[int, ...]],
+def _seed_rows(texts: DataFrame, keys: list[str], masks: list[tuple[tuple[int, ...], int | None]],
                is_item: bool) -> DataFrame:
     """``keys, seed, at`` for every place of every mask."""
     hashes = F.transform("_tokens", lambda w: F.xxhash64(w))
     lists = texts.select(*keys, let(hashes, lambda h: F.array(
-        *(_seeds_of(h, m, p, is_item and m >= len(MASKS)) for m, p in enumerate(masks)))
-    ).alias("_seeds"))
+        *(_seeds_of(h, m, p, n, is_item) for m, (p, n) in enumerate(masks)))).alias("_seeds"))
     return (lists.select(*keys, F.explode("_seeds").alias("_list"))
             .select(*keys, F.posexplode("_list").alias("at", "seed")))
 
@@ -108,9 +127,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     items = benchmark.select("item_id", tokens(F.col("text")).alias("_tokens"))
     items = materialize(items.where(F.size("_tokens") > 0).distinct()
                         .withColumn("item_digest", F.xxhash64("_tokens")), "items")
-    least = min(p[-1] for p in MASKS) + 1
-    short = items.select(F.size("_tokens").alias("n")).where(F.col("n") < least).distinct()
-    masks = [*MASKS, *(tuple(range(r["n"])) for r in short.orderBy("n").collect())]
+    short = items.select(F.size("_tokens").alias("n")).where(F.col("n") < window).distinct()
+    masks = [*((m, None) for m in MASKS),
+             *((m, r["n"]) for r in short.orderBy("n").collect() for m in short_masks(r["n"], window_share))]
     seeds = materialize(
         _seed_rows(items, ["item_id", "item_digest"], masks, True)
         .withColumnRenamed("at", "item_at").distinct(), "seeds")
@@ -146,7 +165,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents into which no item leaks."""
+    doc, digest = free_name(docs, "doc"), free_name(docs, "digest")
     bad = materialize(leaks(docs, benchmark).select(
-        F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct(), "leaks")
-    return docs.join(_if_small(bad), docs["doc_id"].eqNullSafe(F.col("_id"))
-                     & (F.xxhash64(docs["text"]) == F.col("_digest")), "left_anti")
+        F.col("doc_id").alias(doc), F.col("digest").alias(digest)).distinct(), "leaks")
+    return docs.join(_if_small(bad), docs["doc_id"].eqNullSafe(F.col(doc))
+                     & (F.xxhash64(docs["text"]) == F.col(digest)), "left_anti")

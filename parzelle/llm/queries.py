@@ -155,14 +155,15 @@ with tok as (
   select 'b', item_id, text,
     list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '')
   from (select distinct item_id, text from benchmark)),
-place as (select kind, id, text, t, unnest(range(0, len(t) - 5)) as i from tok),
-seed as (
-  select kind, id, text, i, 1 as mask, [t[i+1], t[i+2], t[i+3], t[i+4], t[i+6]] as s from place
+-- where a fifth of the words at most differ, two neighbours are equal (the word of an item
+-- of one word); every such diagonal is tried, without any mask
+word as (select kind, id, text, i, t[i + 1] || ' ' || t[i + 2] as w
+    from (select *, unnest(range(0, len(t) - 1)) as i from tok)
   union all
-  select kind, id, text, i, 0, [t[i+1], t[i+4], t[i+5], t[i+6], t[i+8]] from place
-  where i <= len(t) - 8),
+  select kind, id, text, i, t[i + 1] from (select *, unnest(range(0, len(t))) as i from tok
+    where kind = 'd' or len(t) = 1)),
 hit as (select distinct d.id as doc_id, d.text as doc, b.id as item_id, b.text as item, d.i - b.i as g
-  from seed d join seed b on d.kind = 'd' and b.kind = 'b' and d.mask = b.mask and d.s = b.s),
+  from word d join word b on d.kind = 'd' and b.kind = 'b' and d.w = b.w),
 pair as (select h.doc_id, h.doc, h.item_id, h.g, d.t as td, b.t as tb,
     greatest(0, -h.g) as lo, least(len(b.t), len(d.t) - h.g) as hi, least(12, len(b.t)) as w
   from hit h join tok d on d.kind = 'd' and d.id is not distinct from h.doc_id

@@ -8,14 +8,15 @@ row counts differ by one at most.
 
 No source is ordered by one task: rows are filed in buckets of the seeded order, the
 number of buckets of a source follows its row count, and a rank is the rows of the
-buckets before plus the place in the bucket. The place in the merged order then needs
-no second sort: how many rows of another source come before is a closed form of the
-ranks, added up over the sources (their table is the mixture's configuration, a row
-for each source).
+buckets before plus the place in the bucket. The place in the merged order comes from ranges
+of it dealt over all tasks: the rows of the ranges before plus the place in the own one. There
+is no list of the sources on the driver and no bound on their number.
 
-Defined cases: null is a source of its own; rows are ordered by a hash of id and text,
-and rows equal in both are interchangeable (a null text counts as empty); an empty table gives
-no rows. Columns of the input that have the name of a result are replaced by it, those of the names in ``OWN`` are dropped.
+Defined cases: null is a source of its own, after all others; rows are ordered by a hash of id
+and text, and rows equal in both are interchangeable (a null text counts as empty); equal
+fractional ranks follow the order of the sources; an empty table gives no rows; fewer rows
+than shards leave the last shards empty. Columns of the input that have the name of a result
+are replaced by it, all others are kept.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parzelle.llm.common import BROADCAST_ROWS, order_key
+from parzelle.operators.grouping import with_position
 from parzelle.session import materialize
 
 SEED = 29
@@ -32,40 +34,13 @@ SHARDS = 16
 #: Rows that a bucket holds on average at most.
 BUCKET_ROWS = 4_000
 MAX_BUCKET_BITS = 24
-#: Columns of the work in progress.
-OWN = ("_source", "_n", "_s", "_bits", "_bucket", "_before", "_place", "_rank", "_odd", "_at",
-       "_key")
 
 
-def _ranked(docs: DataFrame, key: str, bucket_rows: int) -> tuple[DataFrame, list]:
-    """The rows with ``_s`` (number of the source), ``_n`` (its rows) and ``_rank``, and
-    the list of ``(s, n)``.
-
-    Sources are numbered by code point, null last.
-    """
-    bits = F.greatest(F.lit(0), F.least(F.lit(MAX_BUCKET_BITS), F.ceil(
-        F.log2(F.col("_n") / F.lit(float(bucket_rows)))))).cast("int")
-    sources = materialize(
-        docs.groupBy(F.col("source").alias("_source")).agg(F.count("*").alias("_n"))
-        .withColumn("_s", F.row_number().over(W.orderBy(F.col("_source").asc_nulls_last())) - 1)
-        .withColumn("_bits", bits), "shard-sources")
-    if sources.count() > BROADCAST_ROWS:
-        raise ValueError(f"a mixture of more than {BROADCAST_ROWS} sources")
-    # the leading bits of the key: as many as the source has buckets for
-    bucket = F.expr(f"cast(conv(substring(`{key}`, 1, {MAX_BUCKET_BITS // 4}), 16, 10) as long)"
-                    f" div shiftleft(1L, {MAX_BUCKET_BITS} - _bits)")
-    filed = (docs.join(F.broadcast(sources), docs["source"].eqNullSafe(F.col("_source")))
-             .withColumn("_bucket", bucket))
-    rows = materialize(filed.groupBy("_s", "_bucket").agg(F.count("*").alias("rows")),
-                       "shard-buckets")
-    before = F.sum("rows").over(W.partitionBy("_s").orderBy("_bucket").rowsBetween(
-        W.unboundedPreceding, W.currentRow)) - F.col("rows")
-    offsets = rows.select("_s", "_bucket", before.alias("_before"))
-    place = F.row_number().over(W.partitionBy("_s", "_bucket").orderBy(key))
-    ranked = (filed.withColumn("_place", place).join(offsets, ["_s", "_bucket"])
-              .withColumn("_rank", F.col("_before") + F.col("_place")))
-    return (ranked.drop("_source", "_bits", "_bucket", "_before", "_place"),
-            [(r["_s"], r["_n"]) for r in sources.collect()])
+def _sources(docs: DataFrame) -> DataFrame:
+    """``_name, _n, _s``: the sources' row counts and numbers, by code point and null last."""
+    counts = (docs.groupBy(F.col("source").alias("_name")).agg(F.count("*").alias("_n"))
+              .withColumn("_null", F.col("_name").isNull()))
+    return materialize(with_position(counts, [], ["_null", "_name"], "_s").drop("_null"), "shard-sources")
 
 
 def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
@@ -75,26 +50,31 @@ def interleave(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     ``key`` names a column with the seeded order (``order_key``) where it is known
     already, so that the texts need not come along.
     """
-    base = docs.drop("shard", "slot", *OWN)
-    if key is None:
-        base = base.withColumn("_key", order_key(seed))
-    ranked, sizes = _ranked(base, key or "_key", bucket_rows)
-    total = sum(n for _, n in sizes)
-    # Rows of a source of m rows that come before rank r of n: those j with
-    # (2j - 1) / 2m < (2r - 1) / 2n, or equal to it in a source of a lower number.
-    # The products pass 64 bits at 100 TB, hence decimals.
-    table = F.array(*(F.struct(F.lit(s).alias("s"), F.lit(n).cast("decimal(17,0)").alias("m"))
-                      for s, n in sizes or [(0, 0)]))
-    ranked = (ranked.withColumn("_odd", (2 * F.col("_rank") - 1).cast("decimal(19,0)"))
-              .withColumn("_at", F.aggregate(table, F.lit(0).cast("long"), lambda at, x: at + F.call_function(
-                  "div", F.col("_odd") * x["m"] + F.col("_n") - F.when(x["s"] < F.col("_s"), 0).otherwise(1),
-                  2 * F.col("_n")))))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("shard", "slot")))
+    base = docs.select(row.alias("row"), "source", (F.col(key) if key else order_key(seed)).alias("key"))
+    sources = _sources(base)
+    n_sources, total = sources.agg(F.count("*"), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    bits = F.greatest(F.lit(0), F.least(F.lit(MAX_BUCKET_BITS), F.ceil(
+        F.log2(F.col("_n") / F.lit(float(bucket_rows)))))).cast("int")
+    # the leading bits of the key: as many as the source has buckets for
+    bucket = F.expr(f"cast(conv(substring(key, 1, {MAX_BUCKET_BITS // 4}), 16, 10) as long)"
+                    f" div shiftleft(1L, {MAX_BUCKET_BITS} - _bits)")
+    numbered = F.broadcast(sources) if n_sources <= BROADCAST_ROWS else sources
+    filed = (base.join(numbered, base["source"].eqNullSafe(F.col("_name")))
+             .withColumn("_bits", bits).withColumn("_bucket", bucket)
+             .select("row", "key", "_s", "_n", "_bucket"))
+    rows = materialize(filed.groupBy("_s", "_bucket").agg(F.count("*").alias("rows")), "shard-buckets")
+    before = F.sum("rows").over(W.partitionBy("_s").orderBy("_bucket").rowsBetween(
+        W.unboundedPreceding, W.currentRow)) - F.col("rows")
+    offsets = rows.select("_s", "_bucket", before.alias("_before"))
+    place = F.row_number().over(W.partitionBy("_s", "_bucket").orderBy("key"))
+    ranked = filed.withColumn("_place", place).join(offsets, ["_s", "_bucket"]).select(
+        "row", "_s", ((2 * (F.col("_before") + F.col("_place")) - 1) / (2.0 * F.col("_n"))).alias("_share"))
+    at = F.col("at")
     each, larger = divmod(total, shards)
     edge = larger * (each + 1)  # the first shards have a row more
-    at = F.col("_at")
     shard = F.when(at < edge, F.floor(at / (each + 1))).otherwise(
         larger + F.floor((at - edge) / max(each, 1)))
-    return (ranked.withColumn("shard", shard.cast("int"))
-            .withColumn("slot", at - F.col("shard").cast("long") * each
-                        - F.least(F.col("shard"), F.lit(larger)))
-            .drop(*OWN))
+    return (with_position(ranked, [], ["_share", "_s"], "at").withColumn("_shard", shard.cast("int"))
+            .select("row.*", F.col("_shard").alias("shard"), (
+                at - F.col("_shard").cast("long") * each - F.least(F.col("_shard"), F.lit(larger))).alias("slot")))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parzelle.llm import graph
+from parzelle.llm.common import free_name
 from parzelle.llm.words import Batch, batches, texts_of, xxh64
 from parzelle.session import materialize
 
@@ -197,14 +198,15 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     best = (prints.join(roots, "print").groupBy("root").agg(first.alias("best"))
             .select(F.col("best.doc_id").alias("doc_id"), F.col("best.digest").alias("digest")))
     times = prints.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
-    best = best.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
+    doc, digest = free_name(docs, "doc"), free_name(docs, "digest")
+    best = best.withColumnsRenamed({"doc_id": doc, "digest": digest})
     kept = materialize(
-        best.join(times, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_digest") == F.col("digest")))
-        .select("_id", "_digest", "n"), "kept")
+        best.join(times, F.col(doc).eqNullSafe(F.col("doc_id")) & (F.col(digest) == F.col("digest")))
+        .select(doc, digest, "n"), "kept")
 
     def rows(of: DataFrame) -> DataFrame:
-        return docs.join(of, docs["doc_id"].eqNullSafe(F.col("_id"))
-                         & (F.xxhash64(docs["text"]) == F.col("_digest")), "left_semi")
+        return docs.join(of, docs["doc_id"].eqNullSafe(F.col(doc))
+                         & (F.xxhash64(docs["text"]) == F.col(digest)), "left_semi")
 
     single = rows(kept.where("n = 1"))
     repeated = kept.where("n > 1")

@@ -11,7 +11,8 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use for their own columns.
 CLASHES = ("size", "key", "target", "epochs", "cut", "shard", "slot", "digest", "print", "score",
            "anchor", "path", "at", "n", "seed", "item_id", "stream", "place", "quality", "toxic",
-           "_source", "_n", "Score", "root", "u", "v", "bucket", "component_id", "_copy")
+           "_source", "_n", "Score", "root", "u", "v", "bucket", "component_id", "_copy", "_id",
+           "_digest", "_doc", "_at", "_s", "_rank", "_key", "_place", "_bucket")
 
 
 def words(text):

@@ -12,16 +12,13 @@ def tokens(text):
 
 
 def leaks(docs, items):
-    """Compare every document with every item along every diagonal that a mask hits."""
+    """Compare every document with every item along every diagonal."""
     found = set()
     for doc_id, text in docs:
         d = tokens(text)
         for item_id, item in items:
             b = tokens(item)
-            masks = list(D.MASKS) + ([tuple(range(len(b)))] if 0 < len(b) < 6 else [])
-            hit = {i - j for m in masks for i in range(len(d) - m[-1]) for j in range(len(b) - m[-1])
-                   if all(d[i + p] == b[j + p] for p in m)}
-            for g in hit:
+            for g in {i - j for i, x in enumerate(d) for j, y in enumerate(b) if x == y}:
                 lo, hi = max(0, -g), min(len(b), len(d) - g)
                 f = [d[j + g] == b[j] for j in range(lo, hi)]
                 w = min(12, len(b))
@@ -95,3 +92,28 @@ def test_masks_hit_every_pattern(length, substitutions):
     for places in combinations(range(length), substitutions):
         assert any(all(i + p not in places for p in m)
                    for m in D.MASKS for i in range(length - m[-1]))
+
+
+@pytest.mark.parametrize("n", range(1, 12))
+def test_short_items_are_found_whatever_words_are_replaced(spark, n):
+    from itertools import combinations
+    allowed = next(r for r in range(n, -1, -1) if n - r >= 0.8 * n)
+    masks = [*D.short_masks(n), *(m for m in D.MASKS if m[-1] < n)]
+    for places in combinations(range(n), allowed):
+        assert any(not set(places) & set(m) for m in masks), places
+
+
+def test_short_items_against_brute_force(spark):
+    from itertools import combinations
+    docs, items = [], []
+    for n in (4, 5, 6, 7, 8, 10, 11):
+        words = [f"w{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for r in (1, 2, 3):
+            for places in list(combinations(range(n), r))[::7]:
+                changed = [w if k not in places else "other" for k, w in enumerate(words)]
+                docs.append((len(docs), " ".join(["before", "it", *changed, "after"])))
+    found = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"),
+                    spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == leaks(docs, items)
+    assert len(found) > 20

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parzelle.llm import mixing, queries, sharding
-from tests.llm.conftest import edge_rows, words
+from tests.llm.conftest import SCHEMA, edge_rows, words
 
 
 def fill(sizes, weights, most):
@@ -128,7 +128,7 @@ def test_edge_rows_all_get_a_place(edge, empty, clashing):
     assert len({(r["shard"], r["slot"]) for r in rows}) == len(edge_rows())
     assert sharding.interleave(empty).count() == 0
     out = sharding.interleave(clashing, 4)
-    assert set(out.columns) == set(clashing.columns) - {"_source", "_n"} | {"shard", "slot"}
+    assert set(out.columns) == set(clashing.columns) | {"shard", "slot"}
     assert out.count() == len(edge_rows())
 
 
@@ -140,3 +140,23 @@ def test_query_reports_sizes_and_checksums(spark, edge, monkeypatch):
                   for d, t, *_ in edge_rows())
     assert got == want and {r["law"] for r in rows} == {"rows"}
     assert {r["grown_shard"] for r in rows} == {None}
+
+
+def test_any_number_of_sources(spark, monkeypatch):
+    """More sources than may be broadcast, and columns of any name come through."""
+    monkeypatch.setattr(sharding, "BROADCAST_ROWS", 5)
+    rows = [(i, f"t{i}", "en", None if i % 41 == 0 else f"s{i * i % 37}", i) for i in range(400)]
+    frame = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("_n", "_s", "row", "at", "_share")})
+    got = sharding.interleave(frame, 7)
+    assert got.columns == [*frame.columns, "shard", "slot"]
+    got = got.collect()
+    many = collections.defaultdict(list)
+    for r in got:
+        many[r["source"]].append(r)
+    names = sorted(k for k in many if k is not None) + [None]
+    sizes = collections.Counter(r["shard"] for r in got)
+    assert sorted(sizes) == list(range(7)) and max(sizes.values()) - min(sizes.values()) <= 1
+    start = {s: sum(sizes[t] for t in range(s)) for s in sizes}
+    order = [(r["source"]) for r in sorted(got, key=lambda r: start[r["shard"]] + r["slot"])]
+    want = sorted(((2 * k + 1) / (2 * len(many[n])), i) for i, n in enumerate(names) for k in range(len(many[n])))
+    assert order == [names[i] for _, i in want]
