@@ -8,11 +8,14 @@ DHDN to ETRS89, which is good to a few metres.
 from __future__ import annotations
 
 import math
+from collections.abc import Collection
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parzelle.functions.geometry import bbox
+
 
 @dataclass(frozen=True)
 class Ellipsoid:
@@ -244,3 +247,55 @@ def reproject_box(box: Column, src: int, dst: int, steps: int = 21) -> Column:
         F.array_min(F.transform(pts, lambda p: p["y"])).alias("miny"),
         F.array_max(F.transform(pts, lambda p: p["x"])).alias("maxx"),
         F.array_max(F.transform(pts, lambda p: p["y"])).alias("maxy")))
+
+
+def unified(df: DataFrame, target: int, srid: str = "srid", geom: str | None = "geom",
+            point: tuple[str, str] | None = None, sources: Collection[int] = SUPPORTED) -> DataFrame:
+    """All rows in the system ``target``, each moved from the one its ``srid`` names.
+
+    ``geom`` is a column of rings, ``point`` a pair of coordinate columns (with ``geom`` of
+    ``None``); box columns, where present, are taken anew from the moved rings. Rows of a
+    system that isn't among ``sources``, or of none, are refused at run time, not passed on
+    as they are. Naming the sources in use keeps the expression short.
+    """
+    if target not in SUPPORTED:
+        raise ValueError(f"unsupported EPSG code {target}; supported: {SUPPORTED}")
+
+    def moved(value: Column, move) -> Column:
+        refused = F.raise_error(F.concat(F.lit("no way from SRID "), F.coalesce(
+            F.col(srid).cast("string"), F.lit("null")), F.lit(f" to {target}")))
+        out = F.when(F.col(srid) == target, value)
+        for code in sources:
+            if code != target:
+                out = out.when(F.col(srid) == code, move(value, code, target))
+        return out.otherwise(refused)
+
+    if geom is None:
+        x, y = point
+        there = df.withColumn("__p", moved(_pair(F.col(x).cast("double"), F.col(y).cast("double")), reproject))
+        there = there.withColumns({x: F.col("__p.x"), y: F.col("__p.y")}).drop("__p")
+    else:
+        there = df.withColumn(geom, F.when(F.col(geom).isNotNull(), moved(F.col(geom), reproject_rings)))
+        if {"minx", "miny", "maxx", "maxy"} <= set(df.columns):
+            there = there.withColumn("__b", F.expr(bbox(geom)))
+            there = there.withColumns({k: F.col(f"__b.{k}") for k in ("minx", "miny", "maxx", "maxy")}).drop("__b")
+    return there.withColumn(srid, F.lit(target))
+
+
+def common_system(left: DataFrame, right: DataFrame,
+                  srid: str = "srid") -> tuple[int, list[int]] | None:
+    """The system to bring two tables into and those in use; ``None`` if there is just one.
+
+    It is the grid most rows of ``right`` are in. Reads the SRID columns
+    alone; what comes back is at most one number more than there are systems.
+    """
+    counts = (left.select(F.col(srid).alias("s"), F.lit(0).alias("n"))
+              .union(right.select(F.col(srid).alias("s"), F.lit(1).alias("n")))
+              .groupBy("s").agg(F.sum("n").alias("n")).limit(len(SUPPORTED) + 1).collect())
+    if len(counts) <= 1:
+        return None
+    unknown = [r["s"] for r in counts if r["s"] not in SUPPORTED]
+    if unknown:
+        raise ValueError(f"tables of several systems, and no way from SRID {unknown}")
+    target = max((r for r in counts if r["s"] in GRIDS), key=lambda r: (r["n"], -r["s"]))["s"]
+    return target, sorted(r["s"] for r in counts)

@@ -25,6 +25,10 @@ counts come from a pass over the box columns alone and are joined back on the ce
 every heavy cell is cut, however many there are.
 
 *Large outlines* are cut into tiles (``outlines``) that are joined in their place.
+
+*Reference systems.* Where both sides have a column ``srid`` and it names more than one
+system, both are moved into one before they are filed; systems without a way between
+them are an error. Without the column on both sides coordinates are taken as they are.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parzelle.functions import crs
 from parzelle.functions import geometry as G
 from parzelle.operators import outlines
 
@@ -170,12 +175,26 @@ def _prepared(df: DataFrame, ident: str, geom: str, keep: list[str] | None = Non
     return boxed.selectExpr(f"{ident} as id", *_BOX, f"{G.edges(geom)} as edges", *(keep or []))
 
 
+def _one_system(left: DataFrame, right: DataFrame, left_geom: str | None,
+                right_geom: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides in one reference system; a side without ``left_geom`` has points ``x, y``."""
+    if "srid" not in left.columns or "srid" not in right.columns:
+        return left, right
+    systems = crs.common_system(left, right)
+    if systems is None:
+        return left, right
+    target, used = systems
+    return (crs.unified(left, target, geom=left_geom, point=("x", "y"), sources=used),
+            crs.unified(right, target, geom=right_geom, sources=used))
+
+
 def points_in_parcels(points: DataFrame, parcels: DataFrame, point_id: str = "point_id",
                       parcel_id: str = "gml_id", geom: str = "geom") -> DataFrame:
     """``(point_id, parcel_id)`` for every point inside a parcel, borders excluded.
 
     Points have columns ``x`` and ``y``; they are rounded to millimetres first.
     """
+    points, parcels = _one_system(points, parcels, None, geom)
     dots = points.selectExpr(f"{point_id} as id", "round(x, 3) as minx", "round(y, 3) as miny",
                              "round(x, 3) as maxx", "round(y, 3) as maxy")
     small, large = outlines.split(parcels, geom)
@@ -248,6 +267,7 @@ def parcels_touching(areas: DataFrame, parcels: DataFrame, area_id: str = "area_
 
     Areas whose outer ring has fewer than three corners select nothing.
     """
+    areas, parcels = _one_system(areas, parcels, geom, geom)
     drawn = outlines.split(areas.filter(f"size({geom}[0]) >= 4"), geom)
     known = outlines.split(parcels, geom)
     found = (candidates(_prepared(drawn[0], area_id, geom), _prepared(known[0], parcel_id, geom),
@@ -315,6 +335,7 @@ def overlay(left: DataFrame, right: DataFrame, left_id: str, right_id: str, geom
     travel with their rows, which saves joining them back by id. Boxes that only
     touch along a side cannot share an interior and skip the geometry.
     """
+    left, right = _one_system(left, right, geom, geom)
     kept = [*[(f"a_{c}", c) for c in keep_left or []], *[(f"b_{c}", c) for c in keep_right or []]]
     pairs = (candidates(_parts(left, left_id, geom, keep_left),
                         _parts(right, right_id, geom, keep_right), "id", "id")

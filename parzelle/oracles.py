@@ -566,6 +566,13 @@ parcel_oracle("geometry_measures", """
     select gml_id, printf('POLYGON((%.3f %.3f,%.3f %.3f,%.3f %.3f,%.3f %.3f,%.3f %.3f))',
         minx, miny, maxx, miny, maxx, maxy, minx, maxy, minx, miny) as wkt,
       (maxx - minx) * (maxy - miny) as area, minx, maxy from parcels""")
+parcel_oracle("geometry_from_database", """
+    select gml_id, cast(25832 + pid % 2 as int) as srid, (maxx - minx) * (maxy - miny) as area, minx, maxy
+    from parcels""")
+oracle("points_in_two_systems", """
+    select event_id, pid from point_v p join parcel_v f on f.endet is null
+      and round(x, 3) > minx and round(x, 3) < maxx and round(y, 3) > miny
+      and round(y, 3) < maxy""", "point", "parcel")
 oracle("points_in_parcels", """
     select event_id, pid from point_v p join parcel_v f on f.endet is null
       and round(x, 3) > minx and round(x, 3) < maxx and round(y, 3) > miny
@@ -658,6 +665,9 @@ oracle("owner_at_points", """
 oracle("owner_audit_log", """
     select 'tester' as username, 'eigentuemerInfo' as request, 'Akte 7' as case_no,
       cast(pid as varchar) as flsnr from hit""", "point", "parcel", more=(AT_POINTS,))
+oracle("recorded_requests", """
+    select 'tester' as username, 'alle' as search, cast(ceil(count(*) over () / 1000e0) as int) as parts,
+      cast(pid as varchar) as flsnr from parcel_v""", "parcel")
 oracle("house_number_ranks", """
     select schluesselgesamt, choice, cast(row_number() over (partition by schluesselgesamt
       order by rank, num_key nulls last, choice) as int) as place

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parzelle import standins as V
-from parzelle.functions import crs, numbers, text
+from parzelle.functions import crs, numbers, text, wkb
 from parzelle.functions import geometry as G
 from parzelle.operators import addresses as A
 from parzelle.operators import facets, owners, selection, soil
@@ -22,7 +22,7 @@ from parzelle.operators import styles as ST
 from parzelle.operators import themes as T
 from parzelle.plans import drawing, report
 from parzelle.session import shared_dir
-from parzelle.sources import export, tables
+from parzelle.sources import audit, export, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -706,6 +706,28 @@ def points_in_parcels(spark, sf):
                                "event_id", "pid")
 
 
+@query
+def geometry_from_database(spark, sf):
+    """Geometry as a database hands it out, in either byte order."""
+    stored = V.parcels(spark, sf).selectExpr("gml_id", f"""if(pid % 2 = 0, {wkb.to_wkb('geom', '25832')},
+        {wkb.to_wkb('geom', '25833', big=True)}) as wkb_geometry""")
+    parsed = tables.with_geometry(stored, "wkb_geometry")
+    return parsed.selectExpr("gml_id", "srid", f"{G.area('geom')} as area", "minx", "maxy")
+
+
+@query
+def points_in_two_systems(spark, sf):
+    """Points and parcels, some of either stored with and some without the zone's number."""
+    parcels = P.current(V.parcels(spark, sf)).selectExpr(
+        "pid", "if(pid % 2 = 0, 25832, 4647) as srid",
+        "if(pid % 2 = 0, 500000D, 32500000D) as shift", "minx", "miny", "maxx", "maxy").selectExpr(
+        "pid", "srid", G.box_rings("minx + shift", "miny + 5800000", "maxx + shift", "maxy + 5800000") + " as geom")
+    points = V.view(spark, sf, "point").selectExpr(
+        "event_id", "if(event_id % 3 = 0, 4647, 25832) as srid",
+        "x + if(event_id % 3 = 0, 32500000D, 500000D) as x", "y + 5800000 as y")
+    return S.points_in_parcels(points, parcels, "event_id", "pid")
+
+
 @query
 def parcels_touching(spark, sf):
     # the drawn areas are the survey outlines
@@ -863,6 +885,17 @@ def owner_audit_log(spark, sf):
         F.explode("result").alias("flsnr"))
 
 
+@query
+def recorded_requests(spark, sf):
+    """The parts of a request that was made twice under one name: recorded once."""
+    log = shared_dir(spark, "audit")
+    found = V.parcels(spark, sf).select(F.col("pid").cast("string").alias("flsnr"))
+    for _ in range(2):
+        audit.release_with_audit(found, log, "tester", "eigentuemerSuche", "alle", "Akte 7", request="r1")
+    return audit.recorded(spark, log).select(
+        "username", "search", "parts", F.explode("result").alias("flsnr"))
+
+
 @query
 def parcel_report_flat(spark, sf):
     """Sizes of every section of every reported parcel."""

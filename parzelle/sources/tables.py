@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from parzelle.functions import text
+from parzelle.functions import geometry, text, wkb
 
 # SRIDs above this are private and described in the data itself, the
 # format of the import dates, and the style catalogue offered without a table.
 PRIVATE_SRID = 100_000
 IMPORT_DATE = "yyyy-MM-dd'T'HH:mm:ssX"
 DEFAULT_CATALOG = (-1, "Farbe")
+BOX = ("minx", "miny", "maxx", "maxy")
 
 
 @dataclass(frozen=True)
@@ -70,6 +73,7 @@ ABSENT_MESSAGES = ("does not exist", "permission denied for")
 
 
 def _is_missing(error: Exception) -> bool:
+    """Whether a reader failed because the table isn't there or may not be read."""
     condition = getattr(error, "getCondition", lambda: None)() or ""
     return condition.startswith(ABSENT_CONDITIONS) or any(
         m in str(error) for m in ABSENT_MESSAGES)
@@ -111,6 +115,30 @@ def with_default(df: DataFrame, column: str, value: str = "") -> DataFrame:
     return df if has_columns(df, column) else df.withColumn(column, F.lit(value))
 
 
+def with_geometry(df: DataFrame, column: str, geom: str = "geom", srid: str = "srid") -> DataFrame:
+    """Parse a geometry column as databases give it: add ``geom``, ``srid`` and the box columns.
+
+    A binary column is WKB or EWKB; a text column holds, row by row, the hex digits of
+    such a value or well-known text with or without ``SRID=n;``. Values that can't be
+    parsed give null. The SRID is null where the value names none. The source column
+    goes; columns of the new names are replaced.
+    """
+    if isinstance(df.schema[column].dataType, BinaryType):
+        rings, code = wkb.from_wkb(f"`{column}`"), wkb.wkb_srid(f"`{column}`")
+    else:
+        digits = f"`{column}` rlike '^0[01]([0-9A-Fa-f]{{2}}){{4,}}$'"
+        value = f"unhex(`{column}`)"
+        rings = f"if({digits}, {wkb.from_wkb(value)}, {geometry.from_wkt(f'`{column}`')})"
+        code = (f"if({digits}, {wkb.wkb_srid(value)},"
+                f" try_cast(regexp_extract(`{column}`, '(?i)^ *SRID=([0-9]+);', 1) as int))")
+    made = {geom, srid, *BOX}
+    kept = [f"`{c}`" for c in df.columns if c != column and c not in made]
+    return (df.selectExpr(*kept, f"named_struct('g', {rings}, 's', {code}) as __v")
+            .selectExpr(*kept, f"__v.g as `{geom}`", f"__v.s as `{srid}`",
+                        f"{geometry.bbox('__v.g')} as __b")
+            .selectExpr(*kept, f"`{geom}`", f"`{srid}`", *[f"__b.{k}" for k in BOX]))
+
+
 def srid_of(df: DataFrame, column: str = "srid") -> DataFrame:
     """One row ``srid`` of a geometry table (all its rows share one)."""
     return df.select(F.col(column).alias("srid")).filter("srid is not null").limit(1)

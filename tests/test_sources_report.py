@@ -131,6 +131,35 @@ def test_result_is_withheld(spark, tmp_path):
     assert audit.release_with_audit(found(spark, 3), None, "u", "t", "s").count() == 3
 
 
+def test_failed_attempts_are_not_recorded(spark, tmp_path, monkeypatch):
+    log = str(tmp_path / "log")
+    whole = audit._Log.append
+
+    def failing(self, rows):
+        # the sink takes some of the parts and breaks off
+        whole(self, rows.filter("part = 0") if "part" in rows.columns else rows)
+        raise OSError("disk full")
+    monkeypatch.setattr(audit._Log, "append", failing)
+    with pytest.raises(audit.ReleaseRefused):
+        audit.release_with_audit(found(spark, 2500), log, "u", "t", "s", request="r1")
+    assert spark.read.parquet(log).count() == 1 and audit.recorded(spark, log) is None
+    # a sink that loses parts without saying so
+    monkeypatch.setattr(audit._Log, "append",
+                        lambda self, rows: whole(self, rows.filter("part < 2") if "part" in rows.columns else rows))
+    with pytest.raises(audit.ReleaseRefused):
+        audit.release_with_audit(found(spark, 2500), log, "u", "t", "s", request="r1")
+    assert audit.recorded(spark, log) is None
+    monkeypatch.setattr(audit._Log, "append", whole)
+    for _ in range(2):
+        assert audit.release_with_audit(found(spark, 2500), log, "u", "t", "s", request="r1").count() == 2500
+    entries = audit.recorded(spark, log).collect()
+    assert sorted(e["part"] for e in entries) == [0, 1, 2]
+    assert sorted(n for e in entries for n in e["result"]) == [f"n{i:05d}" for i in range(2500)]
+    assert spark.read.parquet(log + "_commits").count() == 1
+    with pytest.raises(audit.ReleaseRefused):
+        audit.release_with_audit(found(spark, 2501), log, "u", "t", "s", request="r1")
+
+
 # -- report ---------------------------------------------------------------------
 
 SQUARE = "POLYGON((0 0,10 0,10 10,0 10,0 0))"

@@ -6,9 +6,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from parzelle.functions import crs
 from parzelle.functions import geometry as G
 from parzelle.operators import soil as O
 from parzelle.operators import spatial as S
+from parzelle.session import materialize
 
 
 def boxes(spark, data):
@@ -176,3 +178,48 @@ def test_valuation_texts(spark):
     codes = spark.createDataFrame([("10", "Unland")], "wert string, beschreibung string")
     assert rows(O.valuation(parcels, valuations, codes), "klf_text", "fl") == [
         ("(11)", 1), ("(Klassifizierung fehlt)", 1), ("Unland", 38)]
+
+
+# -- reference systems --------------------------------------------------------
+
+def _moved(df, srid, geom="geom", point=None):
+    """The rows as if they had been stored in another system."""
+    there = df.filter(f"id % 2 = {1 if srid != 25832 else 0}").withColumn("srid", F.lit(25832))
+    return crs.unified(there, srid, geom=geom, point=point, sources=[25832])
+
+
+def _mixed(df, srid, **k):
+    return _moved(df, 25832, **k).union(_moved(df, srid, **k))
+
+
+@pytest.mark.parametrize("srid", [4647, 25833, 31467])
+def test_rows_of_several_systems(spark, srid):
+    tiles = spark.range(60).selectExpr(
+        "id", G.box_rings("500000 + id % 6 * 10", "5800000 + id div 6 * 10", "500008 + id % 6 * 10",
+                          "5800008 + id div 6 * 10") + " as geom")
+    areas = spark.range(20).selectExpr(
+        "id", G.box_rings("500003.5 + id * 2", "5800004.5 + id * 3", "500015.5 + id * 2",
+                          "5800020.5 + id * 3") + " as geom")
+    dots = spark.range(300).selectExpr("id", "500000.7 + id % 37 * 1.5 as x", "5800000.7 + id * 0.31 as y")
+    here = [areas, tiles, dots]
+    there = [materialize(df, "mixed") for df in (
+        _mixed(areas, srid), S.with_box(_mixed(tiles, srid)), _mixed(dots, srid, geom=None, point=("x", "y")))]
+
+    def found(a, t, d):
+        shared = S.overlay(a.withColumnRenamed("id", "a"), t.withColumnRenamed("id", "t"), "a", "t")
+        return (rows(S.points_in_parcels(d, t, "id", "id").toDF("d", "t")),
+                rows(S.parcels_touching(a, t, "id", "id").toDF("a", "t")),
+                rows(shared.filter("shared > 0.01").select("a", "t", F.round("shared", 1))))
+    assert found(*there) == found(*here)
+
+
+def test_unknown_systems_are_refused(spark):
+    box = spark.range(2).selectExpr("id", G.box_rings("id", "id", "id + 1", "id + 1") + " as geom")
+    private = box.withColumn("srid", F.lit(131466))
+    assert S.parcels_touching(private, private, "id", "id").count() == 4  # one system, whatever it is
+    for other in (25832, None):
+        mixed = box.withColumn("srid", F.lit(other).cast("int"))
+        with pytest.raises(ValueError, match="no way"):
+            S.parcels_touching(private, mixed, "id", "id")
+    with pytest.raises(Exception, match="no way from SRID 131466"):
+        crs.unified(private, 25832).collect()
