@@ -10,7 +10,8 @@ of built-in functions over the texts.
 Defined cases: null is the empty text; texts without words have all statistics 0 and
 fail the base rules; documents without a label or with a null one teach nothing; with
 no labelled document (or none of one class) the list is empty and keeps all that pass
-the base rules. Extra columns are not read.
+the base rules. Texts of any length are read whole; repeated rows are judged each on its
+own; an empty table gives no rows. Extra columns are not read.
 """
 
 from __future__ import annotations

@@ -18,8 +18,11 @@ Every link differing in 1 to 4 bits has such a key; candidates are verified in t
 join. Equal fingerprints are one node, so copies make no pairs.
 
 Defined cases: null and empty texts have no words and fingerprint 0, linked like any
-other; texts of fewer words than a shingle have one shingle, the whole sequence.
-A component's id is its smallest non-null ``doc_id`` (null if it has none).
+other; texts of fewer words than a shingle have one shingle, the whole sequence;
+texts of any length are read whole. A component's id is its smallest non-null ``doc_id``
+(null if it has none). Rows equal in id and text have the same component; ``keep_one``
+leaves one of them. An empty table gives no rows. Other columns are kept by ``keep_one``,
+whatever their names, and not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ on each document's worst passage. Words never seen share n-grams with seen ones.
 Defined cases: null is the empty text; a text without n-grams has the score of the bias
 alone; documents without a label or with a null one teach nothing; without examples of
 both classes the score is the share of toxic examples (0 without any). Only ``text`` is
-an input of a score. Extra columns are kept by ``score`` as they are, unless they have
+an input of a score, and all of it; repeated rows are scored each on its own; an empty table
+gives no rows. Extra columns are kept by ``score`` as they are, unless they have
 the name of its result.
 """
 
