@@ -2,7 +2,8 @@
 
 A border of a million vertices should not travel with every parcel beside it. It is laid on
 a square grid of its own, whose cells are some edges wide, and each cell becomes a small
-feature of its own that the grid join files like any other:
+feature of its own that the grid join files like any other. Where the edges lie so densely
+that a cell would hold very many, cells are smaller, down to the length of an edge:
 
 * *Edges filed by cell.* Each edge is cut at the lines of the grid, row by row and column by
   column; an array of them is never built. A tile holds the pieces of at most ``CHUNK``
@@ -30,8 +31,10 @@ from parzelle.session import materialize
 
 #: Polygons with more edges are tiled.
 LARGE = 1_000
-#: Side of a cell in average edge lengths, and at least.
-ACROSS, LEAST_SIDE = 16, 1.0
+#: Side of a cell in average edge lengths, at most and at least, and in any case at least.
+ACROSS, LEAST_ACROSS, LEAST_SIDE = 16, 1, 1.0
+#: Edges that a cell may hold on average over the box before cells get smaller.
+DENSE = 16
 #: Consecutive edges whose pieces share a row.
 CHUNK = 256
 
@@ -62,12 +65,16 @@ def _edge(x1: str, y1: str, x2: str, y2: str) -> str:
 def _pieces(polygons: DataFrame, ident: str, geom: str) -> DataFrame:
     """A row for each edge and cell that it passes: the piece and the sides it opens."""
     length = "sqrt(power(e.x2 - e.x1, 2) + power(e.y2 - e.y1, 2))"
-    width = f"{ACROSS} * aggregate(es, 0D, (sum, e) -> sum + {length}) / size(es)"
+    dense = f"sqrt({DENSE} * (b.maxx - b.minx) * (b.maxy - b.miny) / size(es))"
+    # the least side if a vertex has no coordinates
+    width = f"if(mean is null, null, greatest({LEAST_ACROSS} * mean, least({ACROSS} * mean, {dense})))"
     edges = (polygons.selectExpr(f"{ident} as id", f"{G.edges(geom)} as es", f"{G.bbox(geom)} as b")
+             .selectExpr("id", "es", "b", f"aggregate(es, 0D, (sum, e) -> sum + {length}) / size(es) as mean")
              .selectExpr("id", f"greatest({LEAST_SIDE}D, ceil({width} * 1000) / 1000D) as side",
                          "floor(b.minx) - 0.0005D as x0", "floor(b.miny) - 0.0005D as y0", "es")
              .selectExpr("id", "side", "x0", "y0", "posexplode(es) as (pos, e)")
-             .selectExpr("id", "side", "x0", "y0", "pos", "e", "floor((e.y1 - y0) / side) as r1",
+             .selectExpr("id", "side", "x0", "y0", f"pos div {CHUNK} as chunk", "e")
+             .selectExpr("id", "side", "x0", "y0", "chunk", "e", "floor((e.y1 - y0) / side) as r1",
                          "floor((e.y2 - y0) / side) as r2"))
 
     def x_at(y: str) -> str:
@@ -99,7 +106,7 @@ def _pieces(polygons: DataFrame, ident: str, geom: str) -> DataFrame:
             .selectExpr("*", *cut("c1", "ax", "ay", "p"), *cut("c2", "bx", "by", "q"),
                         "if(r1 > r2, ax, bx) as xt", "if(r1 < r2, ax, bx) as xb")
             .selectExpr(
-                *_CELL, f"pos div {CHUNK} as chunk", "up", "down", f"{_edge('px', 'py', 'qx', 'qy')} as piece",
+                *_CELL, "chunk", "up", "down", f"{_edge('px', 'py', 'qx', 'qy')} as piece",
                 "named_struct('x1', e.x1, 'y1', e.y1, 'x2', e.x2, 'y2', e.y2, 'lo', least(px, qx),"
                 " 'hi', greatest(px, qx)) as uncut",
                 f"case when up > 0 then {_edge('xt', 'high', 'left', 'high')}"

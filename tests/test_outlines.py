@@ -165,3 +165,10 @@ def test_kept_columns_come_along(spark, few):
                     keep_left=["use"]).collect()
     assert got and all(r["use"] == "u" + r["a"] for r in got)
     assert len({(r["a"], r["b"]) for r in got}) == len(got)
+
+
+def test_cells_of_a_dense_outline_are_small(spark):
+    # edges that go to and fro: sixteen of their lengths would be half of the outline
+    data = polygons(spark, [("1", [star(np.random.default_rng(5), 3_000, 100, 100, 90, 110)])])
+    filed = O.tiles(data, "id", "geom").filter("size(sides) > 0")
+    assert filed.selectExpr("max(maxx - minx) as side").first()["side"] < 20
