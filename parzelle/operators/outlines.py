@@ -73,7 +73,8 @@ def _pieces(polygons: DataFrame, ident: str, geom: str) -> DataFrame:
              .selectExpr("id", f"greatest({LEAST_SIDE}D, ceil({width} * 1000) / 1000D) as side",
                          "floor(b.minx) - 0.0005D as x0", "floor(b.miny) - 0.0005D as y0", "es")
              .selectExpr("id", "side", "x0", "y0", "posexplode(es) as (pos, e)")
-             .selectExpr("id", "side", "x0", "y0", f"pos div {CHUNK} as chunk", "e")
+             # one outline's edges are dealt to many tasks; they are grouped there as well
+             .selectExpr("id", "side", "x0", "y0", f"pos div {CHUNK} as chunk", "e").repartition("id", "chunk")
              .selectExpr("id", "side", "x0", "y0", "chunk", "e", "floor((e.y1 - y0) / side) as r1",
                          "floor((e.y2 - y0) / side) as r2"))
 
