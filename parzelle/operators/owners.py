@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from parzelle.operators.grouping import CHUNK, nest
 from parzelle.operators.predicates import current, current_book, has_all_terms
+from parzelle.session import materialize
 
 # Fixed value: kind of office that keeps the land register.
 REGISTER_COURT = "1000"
@@ -49,7 +50,8 @@ def holdings(eignerart: DataFrame, bestand: DataFrame, eign_shl: DataFrame,
     """
     if "anteil" not in eignerart.columns:
         eignerart = eignerart.withColumn("anteil", F.lit(""))
-    kinds = eign_shl.groupBy("b").agg(F.min("eignerart").alias("eignerart"))
+    # a handful of kinds, each with very many rows: the planner must know that they are few
+    kinds = materialize(eign_shl.groupBy("b").agg(F.min("eignerart").alias("eignerart")), "kinds")
     folio = bestand.select("bestdnr", "gbbz", "gbblnr", "bestfl", F.col("ff_stand").alias("bhist"))
     rows = (eignerart.select("flsnr", "bestdnr", "b", "bvnr", "auftlnr", "anteil",
                              F.col("ff_stand").alias("zhist"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from parzelle import registry
 from parzelle import standins as V
 from parzelle.functions import geometry as G
+from parzelle.operators import owners
 from parzelle.operators.selection import extent_of
 from parzelle.plans import report as R
 from parzelle.sources import audit, export
@@ -311,3 +312,16 @@ def test_write_reports(tables, tmp_path):
     assert text.index("1/0") < text.index("2/0") and "Kein Eigentümer gefunden." in text
     export.write_reports(lines, str(tmp_path / "p"), R.ORDER, fmt="parquet")
     assert (tmp_path / "p" / "gemashl=g1").exists()
+
+
+def test_kinds_of_holdings_deal_out_no_rows(spark):
+    """Three kinds, whose size the planner doesn't know: rows must not be dealt out by kind."""
+    art = spark.range(100).selectExpr("cast(id as string) as flsnr", "cast(id % 9 as string) as bestdnr", "'B' || id % 3 as b",
+                                      "'1' as bvnr", "'1' as auftlnr", "0 as ff_stand")
+    folio = spark.range(9).selectExpr("cast(id as string) as bestdnr", "'1' as gbbz", "'1' as gbblnr", "'1' as bestfl",
+                                      "0 as ff_stand")
+    kinds = spark.createDataFrame(spark.sparkContext.parallelize([(f"B{i}", f"Art {i}") for i in range(2)]),
+                                  "b string, eignerart string")
+    found = owners.holdings(art, folio, kinds)
+    assert "hashpartitioning(b#" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.groupBy("eignerart").count().orderBy("eignerart").collect() == [(None, 33), ("Art 0", 34), ("Art 1", 33)]
