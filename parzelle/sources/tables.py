@@ -133,9 +133,10 @@ def with_geometry(df: DataFrame, column: str, geom: str = "geom", srid: str = "s
                 f" try_cast(regexp_extract(`{column}`, '(?i)^ *SRID=([0-9]+);', 1) as int))")
     made = {geom, srid, *BOX}
     kept = [f"`{c}`" for c in df.columns if c != column and c not in made]
-    return (df.selectExpr(*kept, f"named_struct('g', {rings}, 's', {code}) as __v")
-            .selectExpr(*kept, f"__v.g as `{geom}`", f"__v.s as `{srid}`",
-                        f"{geometry.bbox('__v.g')} as __b")
+    # a generator's rows are worked out once; projections would be merged and parse every
+    # value anew for each use of it
+    return (df.selectExpr(*kept, f"inline(array(named_struct('g', {rings}, 's', {code}))) as (__g, __s)")
+            .selectExpr(*kept, f"__g as `{geom}`", f"__s as `{srid}`", f"{geometry.bbox('__g')} as __b")
             .selectExpr(*kept, f"`{geom}`", f"`{srid}`", *[f"__b.{k}" for k in BOX]))
 
 

@@ -139,3 +139,12 @@ def test_geometry_columns_of_tables(spark):
     got = got.orderBy("id").collect()
     assert [r["srid"] for r in got] == [25833, 25833, 25833, None, 25833, None, None]
     assert [tuple(r)[3:] for r in got] == [box] * 4 + [(None,) * 4] * 3
+
+
+def test_values_are_parsed_once(spark):
+    """Merged projections would parse a value for every use of its geometry."""
+    rows = spark.range(1).selectExpr("id", "unhex('00000000013FF00000000000004000000000000000') as wkb")
+    parsed = tables.with_geometry(rows, "wkb").selectExpr("id", "size(geom) as n", "geom[0][0].x as x", "minx", "maxy")
+    optimized = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("Generate inline") == 1
+    assert [tuple(r) for r in parsed.collect()] == [(0, 1, 1.0, 1.0, 2.0)]
