@@ -163,7 +163,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).between(1, max_bits)
     # a segment's own key meets itself, so one direction is enough there
     once = ~exact | (F.col("a") < F.col("b"))
-    return (filed.join(looked, (F.col("key") == F.col("sought")) & near & once)
+    # a fingerprint makes up to a hundred keys, which the planner doesn't count: neither side is broadcast
+    return (filed.join(looked.hint("merge"), (F.col("key") == F.col("sought")) & near & once)
             .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from parzelle.llm import graph, simhash
 from tests.llm.conftest import edge_rows, prose, words
@@ -102,6 +103,16 @@ def test_links_are_complete(spark):
         simhash.links(spark.createDataFrame(signed, "print long"), 5)
 
 
+def test_keys_are_not_broadcast(spark):
+    # a few fingerprints have very many keys: neither side of the join goes through the driver
+    prints = spark.range(60).select(F.when(F.col("id") < 50, F.xxhash64("id")).otherwise(F.col("id")).alias("print"))
+    links = simhash.links(prints)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+    near = {(a, b) for a, b in itertools.combinations(range(50, 60), 2) if (a ^ b).bit_count() <= 4}
+    assert {tuple(r) for r in links.collect()} == near
+
+
 def test_golay_words_one_bit_apart_share_a_codeword():
     patterns, number = simhash.golay_tables()
     assert sorted(np.unique(number)) == [1, 6]
