@@ -135,8 +135,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         .withColumnRenamed("at", "item_at").distinct(), "seeds")
     digest = F.xxhash64("text")
     texts = docs.select("doc_id", digest.alias("digest"), tokens(F.col("text")).alias("_tokens"))
+    # the planner takes the exploded side to be far shorter than it is: that side is never broadcast
     hits = materialize(
-        _seed_rows(texts, ["doc_id", "digest"], masks, False).join(_if_small(seeds), "seed")
+        _seed_rows(texts, ["doc_id", "digest"], masks, False).hint("merge").join(_if_small(seeds), "seed")
         .select("doc_id", "digest", "item_id", "item_digest",
                 (F.col("at") - F.col("item_at")).alias("diagonal")).distinct(), "hits")
     d = docs.select("doc_id", digest.alias("digest"), "text").alias("d")

@@ -74,6 +74,21 @@ def test_large_tables_are_joined_without_a_broadcast(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in D.leaks(docs, items).collect()} == leaks(rows(), ITEMS)
 
 
+def test_seeds_of_documents_are_not_broadcast(spark, monkeypatch, tmp_path):
+    # written texts are small to the planner, whatever the number of their seeds
+    for df, name in zip(frames(spark), ("docs", "items"), strict=True):
+        df.write.parquet(str(tmp_path / name))
+    docs, items = (spark.read.parquet(str(tmp_path / name)) for name in ("docs", "items"))
+    plans = {}
+    monkeypatch.setattr(D, "materialize", lambda df, name, f=D.materialize: plans.update(
+        {name: df._jdf.queryExecution().executedPlan().toString()}) or f(df, name))
+    assert {(r["doc_id"], r["item_id"]) for r in D.leaks(docs, items).collect()} == leaks(rows(), ITEMS)
+    assert "BroadcastHashJoin" in plans["hits"] and "BuildRight" in plans["hits"]
+    monkeypatch.setattr(D, "_if_small", lambda df: df)
+    assert {(r["doc_id"], r["item_id"]) for r in D.leaks(docs, items).collect()} == leaks(rows(), ITEMS)
+    assert "SortMergeJoin" in plans["hits"] and "Broadcast" not in plans["hits"]
+
+
 def test_decontaminated_documents(spark, empty, clashing):
     docs, items = frames(spark)
     bad = {d for d, _ in leaks(rows(), ITEMS)}
